@@ -1,0 +1,94 @@
+"""Count-min sketches built by partition, shipped sparse and merged in pieces.
+
+A task keeps only the hashes that it sees; for each row of the sketch it emits, piece by piece of the
+cell range, the touched cells and their counts as compressed deltas. Pieces are merged on the
+executors. The driver gets one bit for each cell, "counted at least ``floor`` times", so what is
+collected and broadcast is ``depth * 2**log_width / 8`` bytes, fixed by parameters and not by the data.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Multipliers of the sketch's rows: odd 64-bit numbers.
+ROWS = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOG_PIECE = 18
+SCHEMA = "piece long, cells binary"
+ARROW = pa.schema([("piece", pa.int64()), ("cells", pa.binary())])
+
+
+def cells(hashes: np.ndarray, row: int, log_width: int) -> np.ndarray:
+    return (hashes * ROWS[row]) >> np.uint64(64 - log_width)
+
+
+class Partial:
+    """The sketch of one task. Memory is bounded by ``most`` hashes, however many are added."""
+
+    def __init__(self, log_width: int, depth: int, most: int = 1 << 21):
+        self.log_width, self.depth, self.most = log_width, depth, most
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        self.held.append(hashes)
+        self.n += len(hashes)
+        if self.n >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        hashes = np.concatenate(self.held) if self.held else np.zeros(0, np.uint64)
+        self.held, self.n = [], 0
+        per_row = 1 << (self.log_width - LOG_PIECE)
+        for row in range(self.depth if len(hashes) else 0):
+            at, n = np.unique(cells(hashes, row, self.log_width).astype(np.int64), return_counts=True)
+            cut = np.searchsorted(at, np.arange(per_row + 1) << LOG_PIECE)
+            count = np.minimum(n, 255).astype(np.uint8)
+            for piece in np.flatnonzero(np.diff(cut)):
+                low, high = cut[piece], cut[piece + 1]
+                body = np.diff(at[low:high], prepend=piece << LOG_PIECE).astype(np.uint32).tobytes() + count[low:high].tobytes()
+                yield row * per_row + int(piece), zlib.compress(body, 1)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = zlib.decompress(body)
+    n = len(body) // 5
+    return np.cumsum(np.frombuffer(body, np.uint32, n)), np.frombuffer(body, np.uint8, n, 4 * n)
+
+
+def _merge(floor: int):
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, n = unpacked(body.as_py())
+                held = counts.setdefault(piece, np.zeros(1 << LOG_PIECE, np.uint8))
+                held[at] = np.minimum(held[at].astype(np.uint16) + n, 255)  # cells of one body are distinct
+        for piece, held in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([np.packbits(held >= floor).tobytes()], pa.binary())], schema=ARROW)
+
+    return merged
+
+
+def repeated_cells(partials: DataFrame, log_width: int, depth: int, floor: int = 2) -> np.ndarray:
+    """Bits of the cells counted ``floor`` times or more, for each row of the sketch."""
+    per_row = 1 << (log_width - LOG_PIECE)
+    bits = np.zeros((depth, per_row, (1 << LOG_PIECE) // 8), np.uint8)
+    merged = partials.repartition(max(1, min(depth * per_row, 4 * partials.sparkSession.sparkContext.defaultParallelism)), "piece").mapInArrow(_merge(floor), SCHEMA)
+    for r in merged.toLocalIterator():
+        bits[r["piece"] // per_row, r["piece"] % per_row] = np.frombuffer(r["cells"], np.uint8)
+    return bits.reshape(depth, -1)
+
+
+def estimated(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes the sketch holds for counted often enough: all that are, and few more."""
+    log_width = int(bits.shape[1] * 8).bit_length() - 1
+    out = np.ones(len(hashes), bool)
+    for row in range(len(bits)):
+        at = cells(hashes, row, log_width)
+        out &= (bits[row][at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+    return out
