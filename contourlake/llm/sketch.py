@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 #: Multipliers of the sketch's rows: odd 64-bit numbers.
 ROWS = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOG_PIECE = 18
+LOG_PIECE = 16
 SCHEMA = "piece long, cells binary"
 ARROW = pa.schema([("piece", pa.int64()), ("cells", pa.binary())])
 
@@ -47,43 +47,56 @@ class Partial:
         for row in range(self.depth if len(hashes) else 0):
             at, n = np.unique(cells(hashes, row, self.log_width).astype(np.int64), return_counts=True)
             cut = np.searchsorted(at, np.arange(per_row + 1) << LOG_PIECE)
-            count = np.minimum(n, 255).astype(np.uint8)
+            count = np.minimum(n, 65535).astype(np.uint16)
             for piece in np.flatnonzero(np.diff(cut)):
                 low, high = cut[piece], cut[piece + 1]
-                body = np.diff(at[low:high], prepend=piece << LOG_PIECE).astype(np.uint32).tobytes() + count[low:high].tobytes()
+                body = np.diff(at[low:high], prepend=piece << LOG_PIECE).astype(np.uint16).tobytes() + count[low:high].tobytes()
                 yield row * per_row + int(piece), zlib.compress(body, 1)
 
 
 def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = zlib.decompress(body)
-    n = len(body) // 5
-    return np.cumsum(np.frombuffer(body, np.uint32, n)), np.frombuffer(body, np.uint8, n, 4 * n)
+    n = len(body) // 4
+    return np.cumsum(np.frombuffer(body, np.uint16, n).astype(np.int64)), np.frombuffer(body, np.uint16, n, 2 * n)
 
 
-def _merge(floor: int):
+def _merge(finish):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at, n = unpacked(body.as_py())
-                held = counts.setdefault(piece, np.zeros(1 << LOG_PIECE, np.uint8))
-                held[at] = np.minimum(held[at].astype(np.uint16) + n, 255)  # cells of one body are distinct
+                held = counts.setdefault(piece, np.zeros(1 << LOG_PIECE, np.uint32))
+                held[at] += n  # cells of one body are distinct
         for piece, held in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([np.packbits(held >= floor).tobytes()], pa.binary())], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([finish(held).tobytes()], pa.binary())], schema=ARROW)
 
     return merged
 
 
+def _gathered(partials: DataFrame, pieces: int, finish):
+    """The merged pieces, one after another; each task merges a bounded number of pieces."""
+    tasks = max(1, min(pieces, max(pieces // 64, partials.sparkSession.sparkContext.defaultParallelism)))
+    return partials.repartition(tasks, "piece").mapInArrow(_merge(finish), SCHEMA).toLocalIterator()
+
+
 def repeated_cells(partials: DataFrame, log_width: int, depth: int, floor: int = 2) -> np.ndarray:
     """Bits of the cells counted ``floor`` times or more, for each row of the sketch."""
     per_row = 1 << (log_width - LOG_PIECE)
-    bits = np.zeros((depth, per_row, (1 << LOG_PIECE) // 8), np.uint8)
-    merged = partials.repartition(max(1, min(depth * per_row, 4 * partials.sparkSession.sparkContext.defaultParallelism)), "piece").mapInArrow(_merge(floor), SCHEMA)
-    for r in merged.toLocalIterator():
-        bits[r["piece"] // per_row, r["piece"] % per_row] = np.frombuffer(r["cells"], np.uint8)
+    bits = np.zeros((depth * per_row, (1 << LOG_PIECE) // 8), np.uint8)
+    for r in _gathered(partials, depth * per_row, lambda held: np.packbits(held >= floor)):
+        bits[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
     return bits.reshape(depth, -1)
 
 
+def log_counts(partials: DataFrame, log_width: int) -> np.ndarray:
+    """Eight times the base-2 logarithm of each cell's count, rounded: a byte for each cell of one row."""
+    out = np.zeros((1 << (log_width - LOG_PIECE), 1 << LOG_PIECE), np.uint8)
+    for r in _gathered(partials, len(out), lambda held: np.minimum(np.rint(8 * np.log2(held + 1.0)), 255).astype(np.uint8)):
+        out[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.reshape(-1)
+
+
 def estimated(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which hashes the sketch holds for counted often enough: all that are, and few more."""
     log_width = int(bits.shape[1] * 8).bit_length() - 1

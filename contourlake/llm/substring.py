@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .kernels import Words, grams, inside, slices, sliding_min, text_buffer, words
+from .kernels import Words, grams, inside, mix, slices, sliding_min, text_buffer, words
 from .store import table, written
 
 #: Bounds of the sketch's width: at most 2 * 2**30 / 8 bytes = 256 MB are broadcast.
@@ -49,63 +49,73 @@ def _texts(data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
 
 
 def _first_scan(window: int, log_width: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("seq", pa.binary()), ("piece", pa.int64()), ("cells", pa.binary())])
-
     def rows(pieces):
-        pieces = list(pieces)
-        none = pa.nulls(len(pieces))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=sketch.ARROW)
 
     def scan(batches):
         partial = sketch.Partial(log_width, DEPTH)
         for batch in slices(batches):
-            data, at = text_buffer(batch.column(1))
-            w = words(data, at)
-            seq = pa.array([_digest(t) for t in _texts(data, at)], pa.binary())
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(w.counts(), pa.int64()), seq, none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
+            w = words(*text_buffer(batch.column(1)))
             start, anchor = _spans(w, window)
             if len(start):
                 owner = np.searchsorted(w.bounds, start, side="right")
                 fresh = np.ones(len(start), bool)
                 fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-                for piece in partial.add(anchor[fresh]):
-                    yield rows([piece])
+                if pieces := list(partial.add(anchor[fresh])):
+                    yield rows(pieces)
         if pieces := list(partial.flush()):
             yield rows(pieces)
 
-    return scan, "id long, n long, seq binary, piece long, cells binary"
+    return scan
 
 
 def _second_scan(window: int, bits):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
+    """Runs: consecutive windows with one anchor that may repeat, and a second hash of each of them."""
+    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
 
     def scan(batches):
         for batch in slices(batches):
             data, at = text_buffer(batch.column(1))
             w = words(data, at)
             start, anchor = _spans(w, window)
-            start = start[sketch.estimated(anchor, bits.value)] if len(start) else start
+            if len(start):
+                often = sketch.estimated(anchor, bits.value)
+                start, anchor = start[often], anchor[often]
             if not len(start):
                 continue
-            owner = np.searchsorted(w.bounds, start, side="right") - 1
+            h = grams(w.hashes(1), window, 1)[start]
+            first = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]))))
+            size = np.diff(np.append(first, len(start)))
+            inner = np.arange(len(start)) - np.repeat(first, size)
+            run = np.add.reduceat(mix(h ^ (inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), first)
+            owner = np.searchsorted(w.bounds, start[first], side="right") - 1
             tags = np.zeros(batch.num_rows, np.int64)
             raw = data.tobytes()
             for i in np.unique(owner).tolist():
                 tags[i] = _tag(_digest(raw[at[i] : at[i + 1]]))
-            place = (tags[owner] << 32) | (start - w.bounds[owner])
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)[owner]
-            key = [grams(w.hashes(k), window, k)[start].view(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(ids), pa.array(place)], schema=schema)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+            hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(start)).astype(np.int32) * 8), pa.py_buffer(h)])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array((tags[owner] << 32) | (start[first] - w.bounds[owner])), pa.array(size, pa.int32()), hashes], schema=schema)
+
+    return scan, "anchor long, run long, id long, at long, n int, hashes binary"
 
-    return scan, "h1 long, h2 long, id long, at long"
 
+def _exploded(batches):
+    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("least", pa.int64()), ("k", pa.int32()), ("h", pa.int64())])
+    for batch in batches:
+        hashes = batch.column("hashes")
+        size = np.array([len(x.as_buffer()) // 8 for x in hashes], np.int64)
+        row = pa.array(np.repeat(np.arange(len(size)), size))
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        h = np.frombuffer(b"".join(hashes.to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("anchor", "run", "least")), pa.array(inner, pa.int32()), pa.array(h)], schema=schema)
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words the windows that begin at ``starts`` cover."""
+
+def covered(n: int, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words are covered by runs of ``sizes`` consecutive windows that begin at ``starts``."""
     steps = np.zeros(n + 1, np.int64)
     np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + window, n), -1)
+    np.add.at(steps, np.minimum(starts + sizes - 1 + window, n), -1)
     return np.cumsum(steps[:n]) > 0
 
 
@@ -115,52 +125,55 @@ def log_width_for(n_bytes: int) -> int:
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """``id``, ``n`` words, whether the whole text repeats (``copy``), and the ``starts`` of repeated windows.
+    """``id`` and ``spans``, runs (at, n) of n consecutive repeated windows, for the rows that have some.
 
     A window of a document repeats if its words also begin somewhere in a document with a smaller id.
-    1. A scan digests each whole word sequence and sketches the anchors of its windows (count-min,
-       merged over partitions). The least id of a word sequence speaks for its copies: every window
-       of another copy repeats.
-    2. A second scan of the speakers lets windows pass whose anchor was, by the sketch's
-       overestimate, seen twice. None that repeats is lost.
-    3. Those windows are grouped exactly, by 128 bits, with map-side minima; a join on unique keys,
-       whose other side Spark may split, brings the least id back to each window.
+    1. A scan sketches the anchors of all windows (count-min, merged over partitions).
+    2. A second scan lets the windows pass whose anchor was, by the sketch's overestimate, seen twice:
+       none that repeats is lost. They travel as runs, which have one anchor.
+    3. Equal runs are grouped exactly. All occurrences but those in the least id repeat as a whole.
+       Where unlike runs have one anchor, the windows of each run's least occurrence are grouped
+       exactly. Windows count as equal by 128 bits of hashes.
+    Minima are taken before shuffles, and joins have a side with unique keys, so that Spark may split
+    the other: a passage in a third of all documents burdens no single task.
+
     Null ids: such rows repeat nothing and are no source. Null or empty text: no words. Rows that
-    share an id are no source for each other. ``starts`` carries a tag of the text beside each position,
-    so that different texts under one id don't mix.
+    share an id are no source for each other; ``at`` is the first word's number plus 2**32 times a
+    tag of the text, so that different texts under one id don't mix. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log_width = log_width_for(size)
-    scan, schema = _first_scan(window, log_width)
-    first = written(narrow.mapInArrow(scan, schema), "substring-scan")
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(first.where("piece IS NOT NULL").select("piece", "cells"), log_width, DEPTH))
-    texts = first.where("piece IS NULL AND id IS NOT NULL").select("id", "n", "seq")
-    speakers = texts.groupBy("seq").agg(F.min("id").alias("speaker"))
-    kinds = texts.join(speakers, "seq").groupBy("id").agg(F.max("speaker").alias("speaker"))
-    spoken = narrow.where("id IS NOT NULL").join(kinds.where("speaker = id").select("id"), "id", "left_semi")
+    pieces = narrow.mapInArrow(_first_scan(window, log_width), sketch.SCHEMA)
+    bits = spark.sparkContext.broadcast(sketch.repeated_cells(pieces, log_width, DEPTH))
     scan, schema = _second_scan(window, bits)
-    found = written(spoken.mapInArrow(scan, schema), "substring-windows")
-    least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    hits = found.join(least.select("h1", "h2", "least"), ["h1", "h2"]).where("id > least").select("id", "at")
-    starts = hits.groupBy("id").agg(F.collect_list("at").alias("starts"))
-    return kinds.select("id", (F.col("speaker") < F.col("id")).alias("copy")).join(starts, "id", "left")
+    found = written(narrow.mapInArrow(scan, schema), "substring-runs")
+    key = ["anchor", "run"]
+    runs = written(found.groupBy(key).agg(F.min("id").alias("least")), "substring-distinct")
+    places = written(found.select(*key, "id", "at", "n").join(runs, key), "substring-places")
+    unlike = runs.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
+    asked = runs.join(unlike, "anchor")
+    firsts = found.select(*key, F.col("id").alias("least"), "hashes").join(asked, [*key, "least"]).dropDuplicates(key)
+    windows = written(firsts.mapInArrow(_exploded, "anchor long, run long, least long, k int, h long"), "substring-windows")
+    earlier = windows.groupBy("anchor", "h").agg(F.min("least").alias("earlier"))
+    parts = windows.join(earlier, ["anchor", "h"]).where("earlier < least").groupBy(key).agg(F.collect_list("k").alias("ks"))
+    whole = places.where("id > least").select("id", "at", "n")
+    part = places.where("id = least").join(parts, key).select("id", F.explode("ks").alias("k"), "at").select("id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    return whole.unionByName(part).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def _kept(data: np.ndarray, at: np.ndarray, batch: pa.RecordBatch, window: int):
     """For each text of a batch: its words, and which of them go."""
     w = words(data, at)
     raw = data.tobytes()
-    copies, starts = batch.column("copy").to_pylist(), batch.column("starts")
+    spans = batch.column("spans")
     for i, (low, high) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
-        n, gone = high - low, None
-        if n >= window and copies[i]:
-            gone = np.ones(n, bool)
-        elif starts[i].is_valid:
-            place = starts[i].values.to_numpy()
-            place = place[place >> 32 == _tag(_digest(raw[at[i] : at[i + 1]]))] & 0xFFFFFFFF
-            gone = covered(n, place, window) if len(place) else None
+        gone = None
+        if spans[i].is_valid:
+            place, size = (spans[i].values.field(k).to_numpy() for k in (0, 1))
+            own = place >> 32 == _tag(_digest(raw[at[i] : at[i + 1]]))
+            gone = covered(high - low, place[own] & 0xFFFFFFFF, size[own], window) if own.any() else None
         yield w.start[low:high], w.end[low:high], gone, raw
 
 
@@ -202,7 +215,7 @@ def _cut(window: int, text_col: str):
             text = pa.array(out, pa.string())
             valid = batch.column(text_col).is_valid()
             text = pa.compute.if_else(valid, text, pa.scalar(None, pa.string()))
-            names = [n for n in batch.schema.names if n not in ("id", "copy", "starts")]
+            names = [n for n in batch.schema.names if n not in ("_id", "spans")]
             yield pa.RecordBatch.from_arrays([text if n == text_col else batch.column(n) for n in names], names=names)
 
     return scan
@@ -211,10 +224,12 @@ def _cut(window: int, text_col: str):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """``docs`` without the words that repeated windows cover; the other text, white space included, stays as it is.
 
-    Rows, columns and null texts stay. Columns named ``id``, ``copy`` or ``starts`` aren't allowed beside these.
+    Rows, columns and null texts stay. Columns named ``_id`` or ``spans`` aren't allowed.
     """
-    found = repeated_words(docs, id_col, text_col, window)
-    joined = docs.join(found, docs[id_col].cast("long") == found["id"], "left")
+    if clash := {"_id", "spans"} & set(docs.columns):
+        raise ValueError(f"columns not allowed: {sorted(clash)}")
+    found = repeated_words(docs, id_col, text_col, window).withColumnRenamed("id", "_id")
+    joined = docs.join(found, docs[id_col].cast("long") == found["_id"], "left")
     return joined.mapInArrow(_cut(window, text_col), docs.schema)
 
 
@@ -223,7 +238,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_words(docs)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(found.withColumnRenamed("id", "key"), F.col("doc_id") == F.col("key"), "left")
     scan, schema = _digested(50)
-    return joined.select(F.col("doc_id").alias("id"), "text", "copy", "starts").mapInArrow(scan, schema)
+    return joined.select(F.col("doc_id").alias("id"), "text", "spans").mapInArrow(scan, schema)
 
 
 OP1_SQL = r"""
