@@ -101,14 +101,19 @@ def _second_scan(window: int, bits):
 
 
 def _exploded(batches):
-    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("least", pa.int64()), ("k", pa.int32()), ("h", pa.int64())])
+    """The distinct windows of each run, with their places in it."""
+    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("least", pa.int64()), ("h", pa.int64()), ("ks", pa.list_(pa.int32()))])
     for batch in batches:
         hashes = batch.column("hashes")
         size = np.array([len(x.as_buffer()) // 8 for x in hashes], np.int64)
-        row = pa.array(np.repeat(np.arange(len(size)), size))
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        row = np.repeat(np.arange(len(size)), size)
         h = np.frombuffer(b"".join(hashes.to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("anchor", "run", "least")), pa.array(inner, pa.int32()), pa.array(h)], schema=schema)
+        order = np.lexsort((h, row))  # stable: places stay in order
+        inner = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order]
+        row, h = row[order], h[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(row)])
+        ks = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(inner, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[first])) for c in ("anchor", "run", "least")), pa.array(h[first]), ks], schema=schema)
 
 
 def covered(n: int, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -155,9 +160,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unlike = runs.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
     asked = runs.join(unlike, "anchor")
     firsts = found.select(*key, F.col("id").alias("least"), "hashes").join(asked, [*key, "least"]).dropDuplicates(key)
-    windows = written(firsts.mapInArrow(_exploded, "anchor long, run long, least long, k int, h long"), "substring-windows")
+    windows = written(firsts.mapInArrow(_exploded, "anchor long, run long, least long, h long, ks array<int>"), "substring-windows")
     earlier = windows.groupBy("anchor", "h").agg(F.min("least").alias("earlier"))
-    parts = windows.join(earlier, ["anchor", "h"]).where("earlier < least").groupBy(key).agg(F.collect_list("k").alias("ks"))
+    parts = windows.join(earlier, ["anchor", "h"]).where("earlier < least").groupBy(key).agg(F.flatten(F.collect_list("ks")).alias("ks"))
     whole = places.where("id > least").select("id", "at", "n")
     part = places.where("id = least").join(parts, key).select("id", F.explode("ks").alias("k"), "at").select("id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
     return whole.unionByName(part).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))

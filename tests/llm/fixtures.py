@@ -22,7 +22,7 @@ def edited(text, seed, changes):
 def documents():
     """Copies, near copies, shared passages, empty, null, white space only, short and long texts, repeated rows."""
     base, passage = prose(160, 1), prose(70, 2)
-    texts = [base, base, edited(base, 3, 1), edited(base, 4, 3), edited(base, 5, 9), "", None, " \n\t ", "one", "one two", "one two three", "one\x0btwo\x0cthree four", prose(120, 6) + "\n" + passage + "\n" + prose(90, 7), passage, prose(30, 8) + " " + passage, passage.upper(), "naïve word   \u0085 x" * 30, "same " * 200, "same " * 300, prose(6000, 9), prose(49, 10), prose(49, 10), prose(50, 11), prose(50, 11), "line a b c d e f\nline a b c d e f\n" * 20]
+    texts = [base, base, edited(base, 3, 1), edited(base, 4, 3), edited(base, 5, 9), "", None, " \n\t ", "one", "one two", "one two three", "one\x0btwo\x0cthree four", prose(120, 6) + "\n" + passage + "\n" + prose(90, 7), passage, prose(30, 8) + " " + passage, passage.upper(), "naïve word   \u0085 x" * 30, "same " * 200, "same " * 300, prose(6000, 9), prose(49, 10), prose(49, 10), prose(50, 11), prose(50, 11), "line a b c d e f\nline a b c d e f\n" * 20, "ping pong " * 100, "x ping pong " + "ping pong " * 90 + "y", "ping pong " * 60 + "z"]
     rows = [(i * 3 + 1, t, ["en", "fr", None][i % 3], f"src{i % 4}", len(t or "")) for i, t in enumerate(texts)]
     return [*rows, rows[0], (None, base, None, None, None), (None, None, None, None, None)]
 
