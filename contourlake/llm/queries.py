@@ -5,9 +5,10 @@ from __future__ import annotations
 from .lines import op8_line_dedup
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op7_packing
+from .pieces import op4_sentencepiece, op9_token_counts
 from .quality import op3_quality_rules
 from .sharding import op10_sharding
 from .substring import OP1_SQL, op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_quality_rules, op7_packing, op8_line_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_quality_rules, op4_sentencepiece, op7_packing, op8_line_dedup, op9_token_counts, op10_sharding)}
 ORACLES = {"op1_substring_dedup": OP1_SQL}
