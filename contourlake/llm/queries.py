@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .lines import op8_line_dedup
+from .media import op6_media_columns
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op7_packing
 from .pieces import op4_sentencepiece, op9_token_counts
@@ -10,5 +12,5 @@ from .quality import op3_quality_rules
 from .sharding import op10_sharding
 from .substring import OP1_SQL, op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_quality_rules, op4_sentencepiece, op7_packing, op8_line_dedup, op9_token_counts, op10_sharding)}
-ORACLES = {"op1_substring_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_quality_rules, op4_sentencepiece, op5_chat_formatting, op6_media_columns, op7_packing, op8_line_dedup, op9_token_counts, op10_sharding)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL}
