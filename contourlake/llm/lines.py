@@ -213,37 +213,39 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.join(chosen, "line").select("doc", "place", ((F.col("doc") == F.col("keep.doc")) & (F.col("place") == F.col("keep.place"))).alias("kept"))
 
 
-def _without(text_col: str):
+def _without(text_col: str, keep_emptied: bool):
     def scan(batches):
         for batch in slices(batches, text_col):
             data, at = text_buffer(batch.column(text_col))
             raw = data.tobytes()
-            out = []
+            out, stays = [], []
             for k, places in enumerate(batch.column("_places")):
                 text = raw[at[k] : at[k + 1]]
+                had = places.is_valid and not keep_emptied
                 if places.is_valid:
                     found = places.values.to_numpy()
                     gone = set((found[found >> 32 == text_tag(text)] & 0xFFFFFFFF).tolist())
                     text = b"\n".join(x for j, x in enumerate(text.split(b"\n")) if j not in gone)
                 out.append(text.decode())
+                stays.append(not had or bool(normal(text)))
             text = pa.compute.if_else(batch.column(text_col).is_valid(), pa.array(out, pa.string()), pa.scalar(None, pa.string()))
             names = [n for n in batch.schema.names if n not in ("_id", "_places")]
-            yield pa.RecordBatch.from_arrays([text if n == text_col else batch.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([text if n == text_col else batch.column(n) for n in names], names=names).filter(pa.array(stays, pa.bool_()))
 
     return scan
 
 
-def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_emptied: bool = True, **options) -> DataFrame:
     """``docs`` with only the kept line of each component; other lines, and lines without a word, stay.
 
-    Rows, columns and null texts stay; a document may be left empty. Columns named ``_id`` or
+    Columns, null texts and rows stay, but for rows left without a word if not ``keep_emptied``. Columns named ``_id`` or
     ``_places`` aren't allowed.
     """
     if clash := {"_id", "_places"} & set(docs.columns):
         raise ValueError(f"columns not allowed: {sorted(clash)}")
     gone = line_decisions(docs, id_col, text_col, **options).where("NOT kept").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("place").alias("_places"))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
-    return joined.mapInArrow(_without(text_col), docs.schema)
+    return joined.mapInArrow(_without(text_col, keep_emptied), docs.schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

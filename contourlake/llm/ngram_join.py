@@ -192,5 +192,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "speaker")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their group of similar texts, unchanged.
+
+    Texts without words, and rows without an id, stay. Rows that share an id are one document: they
+    stay if one of their texts leads its group.
+    """
+    lead = jaccard_groups(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(lead, docs[id_col].cast("long") == lead["_lead"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -202,12 +202,13 @@ def _digested(window: int):
     return scan, "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _cut(window: int, text_col: str):
+def _cut(window: int, text_col: str, keep_emptied: bool):
     def scan(batches):
         for batch in slices(batches, text_col):
             data, at = text_buffer(batch.column(text_col))
-            out = []
+            out, stays = [], []
             for k, (start, end, gone, raw) in enumerate(_kept(data, at, batch, window)):
+                stays.append(keep_emptied or gone is None or not gone.all())
                 whole = raw[at[k] : at[k + 1]]
                 if gone is not None and gone.any():
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
@@ -221,21 +222,21 @@ def _cut(window: int, text_col: str):
             valid = batch.column(text_col).is_valid()
             text = pa.compute.if_else(valid, text, pa.scalar(None, pa.string()))
             names = [n for n in batch.schema.names if n not in ("_id", "spans")]
-            yield pa.RecordBatch.from_arrays([text if n == text_col else batch.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([text if n == text_col else batch.column(n) for n in names], names=names).filter(pa.array(stays, pa.bool_()))
 
     return scan
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep_emptied: bool = True) -> DataFrame:
     """``docs`` without the words that repeated windows cover; the other text, white space included, stays as it is.
 
-    Rows, columns and null texts stay. Columns named ``_id`` or ``spans`` aren't allowed.
+    Columns, null texts and rows stay, but for rows left without a word if not ``keep_emptied``. Columns named ``_id`` or ``spans`` aren't allowed.
     """
     if clash := {"_id", "spans"} & set(docs.columns):
         raise ValueError(f"columns not allowed: {sorted(clash)}")
     found = repeated_words(docs, id_col, text_col, window).withColumnRenamed("id", "_id")
     joined = docs.join(found, docs[id_col].cast("long") == found["_id"], "left")
-    return joined.mapInArrow(_cut(window, text_col), docs.schema)
+    return joined.mapInArrow(_cut(window, text_col, keep_emptied), docs.schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
