@@ -47,12 +47,13 @@ def linking(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], com
 
     In each round every token whose members are of several groups proposes one of them as a hub, and
     each member is compared with the hub that most of its tokens propose; links merge groups. When few
-    pairs across groups are left, or after the last round, all of those are compared. So a large group
-    of near copies costs its size, not its square, while pairs that no group joins yet are all judged.
+    pairs across groups are left, or a round did not halve them, all of those are compared. So a large
+    group of near copies that hubs can join costs its size, not its square, and pairs that no group
+    joins are all judged.
     """
-    links, grouped = None, postings.withColumn("group", F.col("id"))
+    links, grouped, before = None, postings.withColumn("group", F.col("id")), None
     most = 4 * postings.count()
-    for round_ in range(max(2, rounds)):
+    for round_ in range(rounds):
         by_group = grouped.groupBy("token", "group").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(round_)), "id", "n")).alias("hub"))
         mixed = by_group.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("k * k")).alias("kk"), F.min("hub").alias("hub")).where("k * k > kk")
         mixed = written(mixed.select("token", F.expr("(k * k - kk) / 2").alias("across"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("m")), "mixed")
@@ -60,12 +61,13 @@ def linking(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], com
         if not n:
             return links
         live = written(grouped.join(mixed, "token").select("token", "id", "n", "group", "hub", "m"), "live")
-        if round_ and (across <= most or round_ >= rounds - 1):
+        if across <= most or round_ == rounds - 1 or (before is not None and 2 * across > before):
             left = live.select("token", F.col("id").alias("a"), "n", F.col("group").alias("ga"))
             right = live.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("group").alias("gb"))
             pairs = left.join(right, "token").where(F.expr(f"a < b AND ga != gb AND {comparable}")).select("a", "b").distinct()
             found = verified(written(pairs, "across"))
             return found if links is None else links.unionByName(found)
+        before = across
         votes = live.where(F.expr(f"id != hub AND {comparable}")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
         best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub")).alias("best"))
         pairs = best.select(F.least("id", "best.hub").alias("a"), F.greatest("id", "best.hub").alias("b")).distinct()

@@ -74,44 +74,34 @@ def _first_scan(n: int, log_once: int):
     return scan, "id long, n long, digest binary, kind int, piece long, cells binary"
 
 
-def _postings(n: int, num: int, den: int, once, counts):
-    """Prefix tokens under the first order. Tokens surely seen once come first and can't be shared: they are left out."""
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+def _second_scan(n: int, num: int, den: int, once, counts):
+    """Sets with prefix tokens that others may have, under the first order.
+
+    Tokens surely seen once come first and can't be shared: they are left out, and so are sets whose
+    whole prefix they fill.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("tokens", pa.binary())])
 
     def scan(batches):
         for batch in slices(batches):
-            token, owner, size = [], [], []
+            rows: list[list] = [[], [], [], [], [], []]
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch, n), strict=True):
-                if not len(s):
+                if i is None or not len(s):
                     continue
+                p = prefix_length(len(s), num, den)
                 often = s[sketch.estimated(s, once.value)]
-                want = prefix_length(len(s), num, den) - (len(s) - len(often))
+                want = p - (len(s) - len(often))
                 if want <= 0:
                     continue
                 rank = counts.value[sketch.cells(often, 0, LOG_COUNTS)]
-                token.append(often[np.lexsort((often, rank))[:want]])
-                owner.append(np.full(len(token[-1]), i))
-                size.append(np.full(len(token[-1]), len(s)))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(size))], schema=schema)
-
-    return scan, "token long, id long, n long"
-
-
-def _set_rows(n: int, num: int, den: int):
-    schema = pa.schema([("id", pa.int64()), ("second", pa.binary()), ("third", pa.binary()), ("tokens", pa.binary())])
-
-    def scan(batches):
-        for batch in slices(batches):
-            second, third, tokens = [], [], []
-            for s in shingle_sets(batch, n):
-                p = prefix_length(len(s), num, den)
-                second.append((s[:p] >> np.uint64(32)).astype(np.uint32).tobytes())
-                third.append((np.sort(mix(s ^ SECOND))[:p] >> np.uint64(32)).astype(np.uint32).tobytes())
-                tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(second, pa.binary()), pa.array(third, pa.binary()), pa.array(tokens, pa.binary())], schema=schema)
+                prefix = often[np.lexsort((often, rank))[:want]].view(np.int64)
+                second = (s[:p] >> np.uint64(32)).astype(np.uint32).tobytes()
+                third = (np.sort(mix(s ^ SECOND))[:p] >> np.uint64(32)).astype(np.uint32).tobytes()
+                for column, value in zip(rows, (i, len(s), prefix, second, third, s.tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return scan, "id long, second binary, third binary, tokens binary"
+    return scan, "id long, n long, prefix array<long>, second binary, third binary, tokens binary"
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -149,8 +139,10 @@ def _verified(sets: DataFrame, num: int, den: int):
         second = sets.select(F.col("id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
         first = sets.select(F.col("id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
         shared = written(pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(_sharing, "a long, b long"), "shared-prefixes")
-        whole = shared.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-        return written(whole.mapInArrow(_alike(num, den), "a long, b long"), "links")
+        asked = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct()
+        whole = written(sets.select("id", "tokens").join(asked, "id", "left_semi"), "asked-sets")
+        both = shared.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
+        return written(both.mapInArrow(_alike(num, den), "a long, b long"), "links")
 
     return verified
 
@@ -174,13 +166,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = broadcast(sketch.log_counts(first.where("kind = 1").select("piece", "cells"), LOG_COUNTS))
     texts = first.where("kind IS NULL").select("id", "n", "digest")
     speakers = texts.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("speaker"))
-    spoken = narrow.join(speakers.select(F.col("speaker").alias("id")).distinct(), "id", "left_semi")
-    scan, schema = _postings(words_each, num, den, once, counts)
-    postings = written(spoken.mapInArrow(scan, schema), "postings")
+    scan, schema = _second_scan(words_each, num, den, once, counts)
+    sets = written(narrow.mapInArrow(scan, schema), "sets")
+    speaking = sets.select("id", "n", "prefix").join(speakers.select(F.col("speaker").alias("id")).distinct(), "id", "left_semi")
+    postings = written(speaking.select(F.explode("prefix").alias("token"), "id", "n"), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     postings = written(postings.join(shared, "token"), "shared-tokens")
-    scan, schema = _set_rows(words_each, num, den)
-    sets = written(narrow.join(postings.select("id").distinct(), "id", "left_semi").mapInArrow(scan, schema), "sets")
     links = linking(postings, _verified(sets, num, den), f"{den} * least(n, m) >= {num} * greatest(n, m)", rounds)
     classes = texts.join(speakers, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("speaker", "id")).otherwise(F.col("id"))
