@@ -124,6 +124,17 @@ def _windows(h: np.ndarray, down: int, across: int, rows: slice) -> np.ndarray:
     return view.reshape(*view.shape[:2], -1)
 
 
+def windowed(h: np.ndarray, down: int, across: int, of) -> np.ndarray:
+    """``of(measured values)`` over the rectangle around each sample; NaN where nothing is measured."""
+    out = np.full(h.shape, np.nan)
+    for r in range(h.shape[0]):
+        for c, w in enumerate(_windows(h, down, across, slice(r, r + 1))[0]):
+            seen = w[~np.isnan(w)]
+            if len(seen):
+                out[r, c] = of(seen)
+    return out
+
+
 def centre_and_spread(h, criterion: str, reach: tuple[int, int] | None = None):
     """Centre and spread over all samples, or over the rectangle of ``reach`` around each one.
 

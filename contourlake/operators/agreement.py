@@ -51,6 +51,27 @@ def check_rule(p) -> None:
         whole(p.high_tolerance, "high_tolerance", least=0)
 
 
+def record(search, rule) -> dict:
+    """What a comparison used: its method, version and every parameter by dotted name, sorted."""
+    from dataclasses import asdict
+
+    method = "high-congruent-matching-cells" if isinstance(rule, HighAgreementRule) else "congruent-matching-cells"
+    values = {f"search.{k}": v for k, v in asdict(search).items()} | {f"rule.{k}": v for k, v in asdict(rule).items()}
+    return {"method": method, "version": "1", "parameters": dict(sorted(values.items()))}
+
+
+def score_pairs(pairs: DataFrame, search, rule) -> tuple[DataFrame, dict]:
+    """Registration and either rule over a table of pairs, with the record of the comparison."""
+    from .placement import registrations
+
+    by_angle = registrations(pairs, search)
+    if isinstance(rule, HighAgreementRule):
+        from ..functions.heights import angles
+
+        return score_high(by_angle, rule, angles(search.rotation_range_deg, search.rotation_step_deg)), record(search, rule)
+    return score(by_angle, rule), record(search, rule)
+
+
 def consensus_median(matches: DataFrame, keys: list[str], columns: dict[str, float | None]) -> DataFrame:
     return matches.groupBy(*keys).agg(*(F.median(c).alias(f"{c}_at") for c in columns))
 

@@ -146,3 +146,47 @@ def admitted(values: DataFrame, bounds: DataFrame) -> DataFrame:
     """(parameter, value, admitted) of numeric ``values`` against ``bounds`` (parameter, lower, upper, nullable); an undeclared one isn't."""
     inside = F.when(F.col("value").isNull(), F.col("nullable")).otherwise((F.col("value") >= F.col("lower")) & (F.col("value") <= F.col("upper")))
     return values.join(bounds, "parameter", "left").select("parameter", "value", F.coalesce(inside, F.lit(False)).alias("admitted"))
+
+
+def load(path, registry=None, bounds: dict[str, Bound] | None = None):
+    """(design, profile, search, rule) of a design document; its profile's path is relative to it.
+
+    Keys are exactly name, version, description, generator, profile, surface, search, rule, pairs and
+    vary. A varied parameter gives ``values``, or a number of ``points`` over its range; a set may give
+    neither and takes all its values.
+    """
+    from pathlib import Path
+
+    from ..operators.agreement import AgreementRule, check_rule
+    from ..operators.placement import SearchParameters, check_search
+    from .profile import exactly, record
+    from .profile import load as load_profile
+    from .steps import STEPS
+    from .sweep import base_of
+
+    path, bounds = Path(path), bounds or {}
+    data = json.loads(path.read_text(encoding="utf-8"))
+    exactly(data, ("name", "version", "description", "generator", "profile", "surface", "search", "rule", "pairs", "vary"), "design")
+    if data["name"] != path.stem:
+        raise Refusal("named-otherwise", f"{path.stem} and {data['name']}")
+    profile = load_profile((path.parent / data["profile"]).resolve(), registry or STEPS)
+    search, rule = record(SearchParameters, data["search"], "search"), record(AgreementRule, data["rule"], "rule")
+    check_search(search)
+    check_rule(rule)
+    vary: dict[str, list] = {}
+    for item in data["vary"]:
+        name = item["parameter"]
+        if name not in bounds:
+            raise Refusal("undeclared-parameter", name)
+        if "values" in item:
+            vary[name] = item["values"]
+        elif "points" in item:
+            vary[name] = bounds[name].spread(item["points"])
+        elif bounds[name].kind == "set":
+            vary[name] = list(bounds[name].values)
+        else:
+            raise Refusal("no-values", name)
+    pairs = tuple(Pair(**{k: p[k] for k in ("name", "kind", "seed")}) for p in data["pairs"])
+    found = Design(data["name"], data["version"], data["generator"], base_of(profile, search, rule), vary, pairs, data["surface"])
+    found.check(bounds)
+    return found, profile, search, rule

@@ -69,6 +69,14 @@ def parse(text: str) -> Manifest:
     return Manifest(**data).check()
 
 
+SCHEMA_DDL = "schema_version int, inputs array<struct<role:string,sha256:string>>, profile struct<name:string,version:string>, seed long, outputs array<struct<role:string,sha256:string>>"
+
+
+def scan(spark, path: str):
+    """Manifests under a path as a table: one row for each file, failing on one that isn't JSON."""
+    return spark.read.schema(SCHEMA_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def environment() -> dict[str, Any]:
     import pyspark
 
