@@ -19,6 +19,10 @@ PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: A special token that parts words encoded together, and how many go together.
+BETWEEN, TOGETHER = "<|endoftext|>", 64
+
+
 def tokenizer_file(name: str) -> str:
     """A path as it is; else the name of an installed public vocabulary, found on the machine that asks."""
     if os.path.sep in name:
@@ -42,6 +46,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.between = self.tokenizer.token_to_id(BETWEEN)
+        self.mark = np.array([self.between or 0], np.uint32)
         self.reset()
 
     def reset(self) -> None:
@@ -55,19 +61,42 @@ class WordIds(dict):
         self.pending.append(word)
         return at
 
+    def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the words' ids, and all ids in a row. Words are encoded many to a text, a special token between them."""
+        texts = [BETWEEN.join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)] if self.between is not None else words
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.between is None:
+            return np.array([len(x) for x in found], np.int64), np.concatenate(found)
+        flat = np.concatenate([x for ids in found for x in (ids, self.mark)])
+        cut = flat == self.between
+        return np.diff(np.flatnonzero(cut), prepend=-1) - 1, flat[~cut]
+
     def _encode(self) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in self.pending], add_special_tokens=False)
-        rows = [e.ids for e in found]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, int(size.sum()))
-        n, m = self.known + len(rows), self.used + len(flat)
+        plain = [k for k, w in enumerate(self.pending) if b"<|" not in w]
+        size = np.zeros(len(self.pending), np.int64)
+        parts: dict[int, np.ndarray] = {}
+        for k, w in enumerate(self.pending):
+            if b"<|" in w:
+                parts[k] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                size[k] = len(parts[k])
+        flat = np.zeros(0, np.uint32)
+        if plain:
+            size[plain], flat = self._rows([self.pending[k].decode() for k in plain])
+        starts = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.uint32)
+        spot = np.ones(len(ids), bool)
+        for k, part in parts.items():
+            ids[starts[k] : starts[k] + len(part)] = part
+            spot[starts[k] : starts[k] + len(part)] = False
+        ids[spot] = flat
+        n, m = self.known + len(size), self.used + len(ids)
         while n > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while m > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.size[self.known : n] = size
-        self.start[self.known : n] = self.used + np.cumsum(size) - size
-        self.ids[self.used : m] = flat
+        self.start[self.known : n] = self.used + starts
+        self.ids[self.used : m] = ids
         self.known, self.used, self.pending = n, m, []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
