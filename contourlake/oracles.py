@@ -179,6 +179,8 @@ ORACLES = {
       SELECT source, CAST(line AS INTEGER) AS line, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) + 1 AS INTEGER) AS "column", ws[i] AS word
       FROM w WHERE regexp_matches(lower(ws[i]), '^(identif|exclud|match|ther)') AND lower(ws[i]) NOT IN ('identifier', 'identifiers')""",
 }
+ORACLES["rotate_right_angle"] = _field("SELECT a.surface_id, a.r, a.c, round(q.h, 6) AS h FROM e a LEFT JOIN e q ON q.surface_id = a.surface_id AND q.r = (a.n_rows - 1) / 2.0 - (a.c - 31.5) AND q.c = (a.r - (a.n_rows - 1) / 2.0) + 31.5")
+ORACLES["container_roundtrip"] = _field("SELECT DISTINCT surface_id, CAST(n_rows AS INTEGER) AS n_rows, 64 AS n_cols, true AS was_read, true AS heights_agree FROM e")
 ORACLES["chain_trim_grow"] = ORACLES["trim_grow"]
 ORACLES["registered_score"] = _field(
     f"""SELECT pair_id, count(*) FILTER (ok) AS congruent, count(*) AS eligible, count(*) FILTER (NOT ok) AS discarded FROM
