@@ -5,8 +5,9 @@ lowered. Lines without a word are never touched.
 
 Signatures use one-permutation hashing: a shingle's hash picks one of ``BANDS * ROWS`` bins and the bin
 keeps its least value, so that the cost doesn't grow with the signature; an empty bin borrows from the
-next one that isn't. With 20 bands of 8 rows, lines of similarity 0.8 meet in a band with probability
-0.97 (0.9: more than 0.9999), while lines below 0.3, which nearly all pairs are, meet once in a thousand.
+first filled one in a random order of its own. With 20 bands of 8 rows, lines of similarity 0.8 meet in
+a band with probability 0.97 (0.9: more than 0.9999), while lines below 0.3, which nearly all pairs
+are, meet once in a thousand.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .components import components, linking
+from .components import by_unit, components, joined_within, linking
 from .kernels import mix, slices, text_buffer
 from .store import table, written
 
@@ -27,7 +28,13 @@ SHINGLE, BANDS, ROWS = 5, 20, 8
 BINS = BANDS * ROWS
 #: Lines whose signatures are made at once, which bounds memory when lines are short.
 LINES_AT_ONCE = 4096
-LOG_ONCE = 27
+#: Widest sketch: 2**29 / 8 bytes = 64 MB are broadcast at most for bands, twice that for lines.
+MOST_LOG_ONCE = 29
+EMPTY = np.uint32(0xFFFFFFFF)
+#: Odd factors of a shingle's characters.
+FACTORS = np.random.default_rng(5).integers(0, 2**31, SHINGLE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: For each attempt and bin, the bin to borrow from.
+DONORS = np.random.default_rng(160).integers(0, BINS, (64, BINS))
 
 
 def normal(line: bytes) -> bytes:
@@ -61,156 +68,226 @@ def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(lines: list[bytes]) -> np.ndarray:
     """One row of ``BINS`` least hashes for each line."""
-    h, bounds = shingle_hashes(lines)
-    n = len(lines)
-    cell = np.repeat(np.arange(n) * BINS, np.diff(bounds)) + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(least, cell, (h & np.uint64(0x7FFFFFFF)).astype(np.uint32))
+    n, gap = len(lines), SHINGLE - 1
+    points = np.frombuffer((b"\0" * gap).join([*lines, b""]).decode().encode("utf-32-le"), np.uint32)
+    length = np.array([len(x.decode()) for x in lines], np.int64)
+    h = np.zeros(len(points) - gap, np.uint32)
+    for k, factor in enumerate(FACTORS):
+        h += points[k : k + len(h)] * factor
+    count = np.maximum(1, length - gap)
+    whole = np.repeat(np.tile([True, False], n), np.stack([count, length + gap - count], axis=1).ravel())
+    h = h[whole[: len(h)]]
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    h ^= h >> np.uint32(15)
+    cell = np.repeat(np.arange(n) * BINS, count) + ((h >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16))
+    value = h * np.uint32(0x9E3779B1)
+    value = (value ^ (value >> np.uint32(15))) >> np.uint32(1)
+    least = np.full(n * BINS, EMPTY, np.uint32)
+    np.minimum.at(least, cell, value)
     least = least.reshape(n, BINS)
-    column = np.broadcast_to(np.arange(2 * BINS), (n, 2 * BINS))
-    twice = np.concatenate((least, least), axis=1)
-    source = np.where(twice != 0xFFFFFFFF, column, 2 * BINS)
-    source = np.minimum.accumulate(source[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    return np.take_along_axis(twice, source, axis=1)
+    out = least.copy()
+    line, column = np.nonzero(least == EMPTY)
+    for donors in DONORS:
+        found = least[line, donors[column]]
+        ok = found != EMPTY
+        out[line[ok], column[ok]] = found[ok]
+        line, column = line[~ok], column[~ok]
+        if not len(line):
+            break
+    if len(line):
+        out[line, column] = least.min(axis=1)[line]
+    return out
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
-    """A 64-bit key for each line and band."""
+    """A 32-bit key for each line and band."""
     rows = signatures(lines).reshape(len(lines), BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(lines), BANDS)).copy()
+    out = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(ROWS):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
-    return out
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k] + np.uint64(1))
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def line_similarity(a: bytes, b: bytes) -> tuple[int, int]:
-    """Common shingles of two normal lines, and those in either."""
-    h, bounds = shingle_hashes([a, b])
-    x, y = np.unique(h[: bounds[1]]), np.unique(h[bounds[1] :])
-    both = np.sort(np.concatenate((x, y)))
-    common = int((both[1:] == both[:-1]).sum())
-    return common, len(x) + len(y) - common
+def tokens(bands: list[bytes]) -> np.ndarray:
+    """64-bit tokens of packed band keys, one for each line and band."""
+    keys = np.frombuffer(b"".join(bands), np.uint32).reshape(-1, BANDS).astype(np.uint64)
+    return mix(keys | (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))).reshape(-1)
 
 
-def _lines(batches):
-    schema = pa.schema([("line", pa.binary()), ("doc", pa.int64()), ("place", pa.int64())])
-    for batch in slices(batches):
-        data, at = text_buffer(batch.column(1))
-        raw = data.tobytes()
-        line, doc, place = [], [], []
-        for i, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            text = raw[a:b]
-            tag = text_tag(text) << 32
-            for k, x in enumerate(text.split(b"\n")):
-                if x := normal(x):
-                    line.append(line_id(x))
-                    doc.append(i)
-                    place.append(tag | k)
-        yield pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64())], schema=schema)
-
-
-def _leading(batches, column: str = "places"):
-    """The lines of a batch that lead their copies: (normal line) by row."""
-    for batch in slices(batches):
-        data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
-        raw = data.tobytes()
-        found: list[bytes] = []
-        for places, a, b in zip(batch.column(column), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            text = raw[a:b]
-            tag, split = text_tag(text), text.split(b"\n")
-            wanted = places.values.to_numpy()
-            found += [normal(split[k]) for k in (wanted[wanted >> 32 == tag] & 0xFFFFFFFF).tolist()]
-        for low in range(0, len(found), LINES_AT_ONCE):
-            yield found[low : low + LINES_AT_ONCE]
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each normal line."""
+    h, bounds = shingle_hashes(lines)
+    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _banded(batches):
-    schema = pa.schema([("line", pa.binary()), ("n", pa.int64()), ("bands", pa.binary())])
-    for lines in _leading(batches):
-        keys = band_keys(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(map(line_id, lines), pa.binary()), pa.array([max(1, len(x.decode()) - SHINGLE + 1) for x in lines], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], schema=schema)
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return den * common >= num * (len(x) + len(y) - common)
 
 
-def _sketched(batches):
-    partial = sketch.Partial(LOG_ONCE, 1)
+def _split(batch: pa.RecordBatch):
+    """(id, place, normal line) of every line with a word."""
+    data, at = text_buffer(batch.column(1))
+    raw = data.tobytes()
+    for i, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        text = raw[a:b]
+        tag = text_tag(text) << 32
+        for k, x in enumerate(text.split(b"\n")):
+            if x := normal(x):
+                yield i, tag | k, x
 
-    def rows(pieces):
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=sketch.ARROW)
 
-    for batch in batches:
-        if batch.num_rows and (pieces := list(partial.add(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)))):
-            yield rows(pieces)
-    if pieces := list(partial.flush()):
-        yield rows(pieces)
+LINES = pa.schema([("line", pa.binary()), ("doc", pa.int64()), ("place", pa.int64()), ("bands", pa.binary())])
+#: Line ids that a task remembers to band each line once; further copies are only banded again.
+REMEMBERED = 1 << 20
+
+
+def _lines(batches):
+    """Every line's place; the first of equal lines in the task also with its band keys."""
+    seen: set[bytes] = set()
+    for batch in slices(batches):
+        found = list(_split(batch))
+        for low in range(0, len(found), LINES_AT_ONCE):
+            doc, place, body = zip(*found[low : low + LINES_AT_ONCE], strict=True)
+            line = list(map(line_id, body))
+            fresh = []
+            for k, x in enumerate(line):
+                if x not in seen:
+                    fresh.append(k)
+                    if len(seen) < REMEMBERED:
+                        seen.add(x)
+            bands: list[bytes | None] = [None] * len(line)
+            if fresh:
+                for k, keys in zip(fresh, band_keys([body[k] for k in fresh]), strict=True):
+                    bands[k] = keys.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((line, doc, place, bands), LINES, strict=True)], schema=LINES)
+
+
+def _sketched(log_width: int, depth: int, of):
+    def scan(batches):
+        partial = sketch.Partial(log_width, depth)
+        for batch in batches:
+            if batch.num_rows and (pieces := list(partial.add(of(batch.column(0).to_pylist())))):
+                yield sketch.rows(pieces)
+        if pieces := list(partial.flush()):
+            yield sketch.rows(pieces)
+
+    return scan
 
 
 def _postings(bits):
-    schema = pa.schema([("token", pa.int64()), ("id", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def scan(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            pick = np.flatnonzero(sketch.estimated(keys, bits.value))
-            row = pa.array(pick // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[pick].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], schema=schema)
+            found = tokens(batch.column(1).to_pylist())
+            pick = np.flatnonzero(sketch.estimated(found, bits.value))
+            yield pa.RecordBatch.from_arrays([pa.array(found[pick].view(np.int64)), batch.column(0).take(pa.array(pick // BANDS)), pa.array(np.ones(len(pick), np.int64))], schema=schema)
 
-    return scan, "token long, id binary, n long"
+    return scan, "token long, id long, n long"
 
 
-def _texts(batches):
-    schema = pa.schema([("id", pa.binary()), ("body", pa.binary())])
-    for lines in _leading(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(map(line_id, lines), pa.binary()), pa.array(lines, pa.binary())], schema=schema)
+def id_hashes(ids: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), np.uint64)[::2].copy()
+
+
+def _bodies(bits):
+    """Lines whose id the filter holds, once in a task as far as it remembers."""
+    schema = pa.schema([("line", pa.binary()), ("body", pa.binary())])
+
+    def scan(batches):
+        seen: set[bytes] = set()
+        for batch in slices(batches):
+            body = [x for *_, x in _split(batch)]
+            line = list(map(line_id, body))
+            out = []
+            for k in np.flatnonzero(sketch.estimated(id_hashes(line), bits.value)).tolist() if line else ():
+                if line[k] not in seen:
+                    out.append(k)
+                    if len(seen) < REMEMBERED:
+                        seen.add(line[k])
+            yield pa.RecordBatch.from_arrays([pa.array([line[k] for k in out], pa.binary()), pa.array([body[k] for k in out], pa.binary())], schema=schema)
+
+    return scan
 
 
 def _alike(num: int, den: int):
     def scan(batches):
         for batch in batches:
+            pairs = list(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True))
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                common, either = line_similarity(x, y)
-                keep.append(den * common >= num * either)
+            for low in range(0, len(pairs), LINES_AT_ONCE):
+                part = pairs[low : low + LINES_AT_ONCE]
+                bodies = list(dict.fromkeys(x for p in part for x in p))
+                sets = dict(zip(bodies, shingle_sets(bodies), strict=True))
+                keep += [similar(sets[x], sets[y], num, den) for x, y in part]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return scan
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 8, den: int = 10, rounds: int = 3) -> DataFrame:
-    """``doc``, ``place`` and ``kept`` of every line with a word, in rows whose id isn't null.
+def _alike_blocks(num: int, den: int):
+    """What connects the linked members of each unit, given with their lines."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[tuple]):
+        ids, groups, block, bodies = zip(*rows, strict=True)
+        for i, j in joined_within(shingle_sets(list(bodies)), np.array(groups), np.array(block), num, den):
+            yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    return by_unit(links, ("id", "group", "block", "body"), schema)
+
+
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 8, den: int = 10, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``doc`` and ``place`` of every line with a word, in rows whose id isn't null, and of the lines that go.
 
     Of each component of similar lines (den * common shingles >= num * all) the line with the least
     (id, text, line number) is kept. ``place`` is a tag of the text, times 2**32, plus the line number.
-    Exact copies are one line from the start, so only the first of them is banded and compared. Rows
+    Exact copies are one line from the start: each is banded once by a task and once in all. Only the
+    lines that share a band with another are read again, by a filter of fixed size, to be compared. Rows
     that share an id and a text lose the same lines; an empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = written(narrow.mapInArrow(_lines, "line binary, doc long, place long"), "lines")
-    leaders = written(lines.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first")).select("line", "first.doc", "first.place"), "leaders")
-    asked = leaders.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "id")
-    banded = written(narrow.join(asked, "id").select("text", "places").mapInArrow(_banded, "line binary, n long, bands binary").dropDuplicates(["line"]), "bands")
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(banded.select("bands").mapInArrow(_sketched, sketch.SCHEMA), LOG_ONCE, 1))
+    found = written(narrow.mapInArrow(_lines, "line binary, doc long, place long, bands binary"), "lines")
+    lines = found.select("line", "doc", "place")
+    banded = written(found.where("bands IS NOT NULL").select("line", "bands").distinct().withColumn("id", F.monotonically_increasing_id()), "bands")
+    broadcast = spark.sparkContext.broadcast
+    log_once = min(MOST_LOG_ONCE, max(20, (12 * BANDS * banded.count()).bit_length()))
+    bits = broadcast(sketch.repeated_cells(banded.select("bands").mapInArrow(_sketched(log_once, 1, tokens), sketch.SCHEMA), log_once, 1))
     scan, schema = _postings(bits)
-    postings = written(banded.select("line", "n", "bands").mapInArrow(scan, schema), "postings")
+    postings = written(banded.select("id", "bands").mapInArrow(scan, schema), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     postings = written(postings.join(shared, "token"), "shared-bands")
-    wanted = leaders.join(postings.select(F.col("id").alias("line")).distinct(), "line").groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "id")
-    bodies = written(narrow.join(wanted, "id").select("text", "places").mapInArrow(_texts, "id binary, body binary").dropDuplicates(["id"]), "bodies")
+    wanted = written(banded.select("line", "id").join(postings.select("id").distinct(), "id", "left_semi"), "wanted-lines")
+    log_wanted = min(MOST_LOG_ONCE, max(20, (16 * wanted.count()).bit_length()))
+    held = broadcast(sketch.repeated_cells(wanted.select("line").mapInArrow(_sketched(log_wanted, 2, id_hashes), sketch.SCHEMA), log_wanted, 2, floor=1))
+    bodies = narrow.mapInArrow(_bodies(held), "line binary, body binary").distinct()
+    bodies = written(bodies.join(wanted, "line").select("id", "body"), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
         second = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
-        return written(pairs.join(first, "a").join(second, "b").mapInArrow(_alike(num, den), "a binary, b binary"), "similar-lines")
+        return written(pairs.join(first, "a").join(second, "b").mapInArrow(_alike(num, den), "a long, b long"), "similar-lines")
+
+    def verified_blocks(units: DataFrame) -> DataFrame:
+        dealt = units.join(bodies, "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
-    links = linking(postings, verified, "true", rounds)
-    if links is not None:
-        groups = written(components(links), "line-groups")
-        named = leaders.join(groups, leaders["line"] == groups["id"], "left").select("line", "doc", "place", F.coalesce("component", "line").alias("group"))
+    links = linking(postings, verified, "true", rounds, verified_blocks)
+    leaders = lines.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
+    if links is None:
+        chosen = leaders.where("copies > 1").select("line", F.col("first").alias("keep"))
     else:
-        named = leaders.withColumn("group", F.col("line"))
-    keepers = named.groupBy("group").agg(F.min(F.struct("doc", "place")).alias("keep"))
-    chosen = named.join(keepers, "group").select("line", "keep")
-    return lines.join(chosen, "line").select("doc", "place", ((F.col("doc") == F.col("keep.doc")) & (F.col("place") == F.col("keep.place"))).alias("kept"))
+        groups = components(links).join(wanted, "id").select("line", "component")
+        named = written(leaders.join(groups, "line", "left").where("copies > 1 OR component IS NOT NULL").select("line", "first", "component"), "line-groups")
+        keepers = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keep"))
+        chosen = named.join(keepers, "component", "left").select("line", F.coalesce("keep", "first").alias("keep"))
+    return lines, lines.join(chosen, "line").where((F.col("doc") != F.col("keep.doc")) | (F.col("place") != F.col("keep.place"))).select("doc", "place")
 
 
 def _without(text_col: str, keep_emptied: bool):
@@ -243,7 +320,7 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if clash := {"_id", "_places"} & set(docs.columns):
         raise ValueError(f"columns not allowed: {sorted(clash)}")
-    gone = line_decisions(docs, id_col, text_col, **options).where("NOT kept").groupBy(F.col("doc").alias("_id")).agg(F.collect_list("place").alias("_places"))
+    gone = line_decisions(docs, id_col, text_col, **options)[1].groupBy(F.col("doc").alias("_id")).agg(F.collect_list("place").alias("_places"))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
     return joined.mapInArrow(_without(text_col, keep_emptied), docs.schema)
 
@@ -251,8 +328,10 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document with an id: its lines with a word, how many go, and which (numbers from 0, in order)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines, gone = line_decisions(docs)
+    counted = lines.groupBy("doc").agg(F.size(F.collect_set("place")).cast("long").alias("n"))
     number = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    judged = line_decisions(docs).groupBy("doc").agg(F.size(F.collect_set("place")).cast("long").alias("n"), F.array_sort(F.collect_set(F.when(~F.col("kept"), number))).alias("gone"))
-    joined = docs.select("doc_id").join(judged, F.col("doc_id") == F.col("doc"), "left")
-    gone = F.coalesce("gone", F.array().cast("array<long>"))
-    return joined.select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
+    listed = gone.groupBy(F.col("doc").alias("gone_doc")).agg(F.array_sort(F.collect_set(number)).alias("gone"))
+    joined = docs.select("doc_id").join(counted, F.col("doc_id") == F.col("doc"), "left").join(listed, F.col("doc_id") == F.col("gone_doc"), "left")
+    numbers = F.coalesce("gone", F.array().cast("array<long>"))
+    return joined.select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_lines"), F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed_lines"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sketch
 from .kernels import slices, text_buffer
 from .store import scratch_path, table, written
 
@@ -75,62 +76,117 @@ def _filesystem(root: str):
     return FileSystem.from_uri(root)
 
 
+PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+PLACES_DDL = "digest string, shard string, offset long, length long"
 IMAGES = pa.schema([("digest", pa.string()), ("image", pa.binary())])
+#: The sketch that tells texts seen once: of two rows, with 2 * 2**29 / 8 bytes = 128 MB to broadcast at most.
+MOST_LOG_ONCE, DEPTH = 29, 2
 
 
-def _imaged(batches):
-    """One image for each distinct text of the task."""
-    seen: set[bytes] = set()
-    for batch in slices(batches):
-        data, at = text_buffer(batch.column(0))
-        raw = data.tobytes()
-        digests, images = [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            digest = hashlib.sha256(text := raw[a:b])
-            if digest.digest() not in seen:
-                seen.add(digest.digest())
-                digests.append(digest.hexdigest())
-                images.append(to_png(payload(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], schema=IMAGES)
+class ShardWriter:
+    """Appends members to tar files of about ``shard_bytes`` under ``root``, and tells where their bodies lie."""
 
+    def __init__(self, root: str, shard_bytes: int):
+        self.fs, self.base = _filesystem(root)
+        self.fs.create_dir(self.base, recursive=True)
+        self.most, self.out, self.name, self.at = shard_bytes, None, "", 0
+
+    def add(self, digest: str, image: bytes) -> tuple[str, int]:
+        if self.out is None or self.at > self.most:
+            self.close()
+            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
+            self.out = self.fs.open_output_stream(f"{self.base}/{self.name}")
+        member = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
+        member.size = len(image)
+        for part in (member.tobuf(tarfile.USTAR_FORMAT), image, b"\0" * (-len(image) % 512)):
+            self.out.write(part)
+            self.at += len(part)
+        return self.name, self.at - len(image) - -len(image) % 512
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(b"\0" * 1024)
+            self.out.close()
+            self.out = None
 
-PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
+def _digests(batch: pa.RecordBatch):
+    data, at = text_buffer(batch.column(0))
+    raw = data.tobytes()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield hashlib.sha256(raw[a:b]).digest(), raw[a:b]
 
-def _stored(root: str, shard_bytes: int):
-    """Writes each digest's image once; all rows of a digest are in one task."""
+
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint64)[::4].copy()
+
+
+def _sketched(log_width: int):
+    def scan(batches):
+        partial = sketch.Partial(log_width, DEPTH)
+        for batch in slices(batches):
+            if pieces := list(partial.add(_hashes([d for d, _ in _digests(batch)]))):
+                yield sketch.rows(pieces)
+        if pieces := list(partial.flush()):
+            yield sketch.rows(pieces)
+
+    return scan
+
+
+def _written_once(root: str, shard_bytes: int, bits):
+    """Stores the texts that are surely seen once."""
+
+    def scan(batches):
+        shards = ShardWriter(root, shard_bytes)
+        for batch in slices(batches):
+            rows = []
+            found = list(_digests(batch))
+            again = sketch.estimated(_hashes([d for d, _ in found]), bits.value)
+            for k in np.flatnonzero(~again).tolist():
+                image = to_png(payload(found[k][1]))
+                rows.append((found[k][0].hex(), *shards.add(found[k][0].hex(), image), len(image)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(PLACES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+        shards.close()
+
+    return scan
+
+
+def _imaged(bits):
+    """An image of each other text, once in a task."""
+
+    def scan(batches):
+        seen: set[bytes] = set()
+        for batch in slices(batches):
+            digests, images = [], []
+            found = list(_digests(batch))
+            for k in np.flatnonzero(sketch.estimated(_hashes([d for d, _ in found]), bits.value)).tolist():
+                digest, text = found[k]
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest.hex())
+                    images.append(to_png(payload(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], schema=IMAGES)
+
+    return scan
+
+
+def _then_written(root: str, shard_bytes: int):
+    """Stores each digest's image once; all rows of a digest are in one task."""
 
     def scan(batches):
-        fs, base = _filesystem(root)
-        fs.create_dir(base, recursive=True)
         seen: set[str] = set()
-        out, name, at = None, "", 0
+        shards = ShardWriter(root, shard_bytes)
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows = []
             for digest, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                if out is None or at > shard_bytes:
-                    if out is not None:
-                        out.write(b"\0" * 1024)
-                        out.close()
-                    name, at = f"{uuid.uuid4().hex}.tar", 0
-                    out = fs.open_output_stream(f"{base}/{name}")
-                image = image.as_py()
-                member = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
-                member.size = len(image)
-                head = member.tobuf(tarfile.USTAR_FORMAT)
-                out.write(head)
-                out.write(image)
-                out.write(b"\0" * (-len(image) % 512))
-                for column, value in zip(rows, (digest, name, at + len(head), len(image)), strict=True):
-                    column.append(value)
-                at += len(head) + len(image) + -len(image) % 512
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, PLACES, strict=True)], schema=PLACES)
-        if out is not None:
-            out.write(b"\0" * 1024)
-            out.close()
+                if digest not in seen:
+                    seen.add(digest)
+                    image = image.as_py()
+                    rows.append((digest, *shards.add(digest, image), len(image)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(PLACES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+        shards.close()
 
     return scan
 
@@ -157,13 +213,18 @@ def _read_at(root: str, columns: dict[str, pa.DataType], of, length):
 def store_texts(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
     """(digest, shard, offset, length) of every distinct text's image, and the folder of the shards.
 
-    ``digest`` is the text's SHA-256. A task makes one image for each distinct text it reads, and only
-    images are shuffled, by digest: of copies, as many meet as there were tasks. A shard takes members
-    until it exceeds ``shard_bytes``. Null texts count as empty. An empty table makes no shard.
+    ``digest`` is the text's SHA-256. A sketch of fixed size tells which texts surely occur once; the
+    task that reads such a text stores it. Of the others a task makes one image each, and only these
+    are shuffled, by digest: of copies, as many meet as there were tasks. A shard takes members until
+    it exceeds ``shard_bytes``. Null texts count as empty. An empty table makes no shard.
     """
-    root = scratch_path(docs.sparkSession, "media")
-    images = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_imaged, "digest string, image binary")
-    return written(images.repartition("digest").mapInArrow(_stored(root, shard_bytes), "digest string, shard string, offset long, length long"), "media-places"), root
+    spark, root = docs.sparkSession, scratch_path(docs.sparkSession, "media")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    log_width = min(MOST_LOG_ONCE, max(20, (16 * docs.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(sketch.repeated_cells(texts.mapInArrow(_sketched(log_width), sketch.SCHEMA), log_width, DEPTH))
+    once = written(texts.mapInArrow(_written_once(root, shard_bytes, bits), PLACES_DDL), "media-once")
+    again = texts.mapInArrow(_imaged(bits), "digest string, image binary").repartition("digest")
+    return once.unionByName(written(again.mapInArrow(_then_written(root, shard_bytes), PLACES_DDL), "media-again")), root
 
 
 def with_header(places: DataFrame, root: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .components import components, linking
+from .components import by_unit, components, joined_within, linking
 from .kernels import LOWER, grams, inside, mix, slices, text_buffer, words
 from .store import table, written
 
@@ -49,6 +49,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1
 
 
+def region(n: int, num: int, den: int) -> int:
+    """How many of a set's tokens, the least under the second order, the bound on the overlap looks at."""
+    return max(prefix_length(n, num, den), -(-35 * n // 100))
+
+
 def _first_scan(n: int, log_once: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("kind", pa.int32()), ("piece", pa.int64()), ("cells", pa.binary())])
 
@@ -95,7 +100,7 @@ def _second_scan(n: int, num: int, den: int, once, counts):
                     continue
                 rank = counts.value[sketch.cells(often, 0, LOG_COUNTS)]
                 prefix = often[np.lexsort((often, rank))[:want]].view(np.int64)
-                second = (s[:p] >> np.uint64(32)).astype(np.uint32).tobytes()
+                second = (s[: region(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
                 third = (np.sort(mix(s ^ SECOND))[:p] >> np.uint64(32)).astype(np.uint32).tobytes()
                 for column, value in zip(rows, (i, len(s), prefix, second, third, s.tobytes()), strict=True):
                     column.append(value)
@@ -109,14 +114,45 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _sharing(batches):
-    """Pairs that share prefix tokens under the second and the third order too (32 bits of each: none is lost)."""
-    for batch in batches:
-        keep = []
-        for a2, a3, b2, b3 in zip(*(batch.column(c) for c in ("a2", "a3", "b2", "b3")), strict=True):
-            views = [np.frombuffer(x.as_buffer(), np.uint32) for x in (a2, b2, a3, b3)]
-            keep.append(bool(len(np.intersect1d(views[0], views[1])) and len(np.intersect1d(views[2], views[3]))))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
+    """Whether sets of n and m tokens, of which the least are known, can still be similar.
+
+    Up to the lesser of both known ends everything is known; beyond it at most the smaller rest is
+    shared. (32 bits of each token: equal ones stay equal, so the bound is never too low.)
+    """
+    if not len(np.intersect1d(a[: prefix_length(n, num, den)], b[: prefix_length(m, num, den)])):
+        return False
+    end = min(a[-1], b[-1])
+    x, y = a[: np.searchsorted(a, end, side="right")], b[: np.searchsorted(b, end, side="right")]
+    most = _common(x, y) + min(n - len(x), m - len(y))
+    return den * most >= num * (n + m - most)
+
+
+def _sharing(num: int, den: int):
+    """Pairs that share prefix tokens under the second and the third order too, and whose overlap may suffice."""
+
+    def scan(batches):
+        for batch in batches:
+            keep = []
+            for n, a2, a3, m, b2, b3 in zip(*(batch.column(c) for c in ("an", "a2", "a3", "bn", "b2", "b3")), strict=True):
+                a2, a3, b2, b3 = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a2, a3, b2, b3))
+                keep.append(_may_link(a2, b2, n.as_py(), m.as_py(), num, den) and bool(len(np.intersect1d(a3, b3))))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return scan
+
+
+def _alike_blocks(num: int, den: int):
+    """What connects the linked members of each unit, given with whole sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[tuple]):
+        ids, groups, block, tokens = zip(*rows, strict=True)
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+        for i, j in joined_within(sets, np.array(groups), np.array(block), num, den):
+            yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    return by_unit(links, ("id", "group", "block", "tokens"), schema)
 
 
 def _alike(num: int, den: int):
@@ -136,9 +172,9 @@ def _verified(sets: DataFrame, num: int, den: int):
     """Those of the distinct pairs (a, b) that are similar."""
 
     def verified(pairs: DataFrame) -> DataFrame:
-        second = sets.select(F.col("id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
-        first = sets.select(F.col("id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
-        shared = written(pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(_sharing, "a long, b long"), "shared-prefixes")
+        second = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("second").alias("b2"), F.col("third").alias("b3"))
+        first = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("second").alias("a2"), F.col("third").alias("a3"))
+        shared = written(pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(_sharing(num, den), "a long, b long"), "shared-prefixes")
         asked = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct()
         whole = written(sets.select("id", "tokens").join(asked, "id", "left_semi"), "asked-sets")
         both = shared.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
@@ -172,7 +208,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     postings = written(speaking.select(F.explode("prefix").alias("token"), "id", "n"), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     postings = written(postings.join(shared, "token"), "shared-tokens")
-    links = linking(postings, _verified(sets, num, den), f"{den} * least(n, m) >= {num} * greatest(n, m)", rounds)
+
+    def verified_blocks(units: DataFrame) -> DataFrame:
+        dealt = units.join(sets.select("id", "tokens"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
+
+    links = linking(postings, _verified(sets, num, den), f"{den} * least(n, m) >= {num} * greatest(n, m)", rounds, verified_blocks)
     classes = texts.join(speakers, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("speaker", "id")).otherwise(F.col("id"))
     named = classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("speaker"))

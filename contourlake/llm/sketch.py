@@ -29,7 +29,7 @@ def cells(hashes: np.ndarray, row: int, log_width: int) -> np.ndarray:
 class Partial:
     """The sketch of one task. Memory is bounded by ``most`` hashes, however many are added."""
 
-    def __init__(self, log_width: int, depth: int, most: int = 1 << 21):
+    def __init__(self, log_width: int, depth: int, most: int = 1 << 20):
         self.log_width, self.depth, self.most = log_width, depth, most
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -54,6 +54,10 @@ class Partial:
                 yield row * per_row + int(piece), zlib.compress(body, 1)
 
 
+def rows(pieces: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=ARROW)
+
+
 def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = zlib.decompress(body)
     n = len(body) // 4
@@ -74,17 +78,22 @@ def _merge(finish):
     return merged
 
 
-def _gathered(partials: DataFrame, pieces: int, finish):
-    """The merged pieces, one after another; each task merges a bounded number of pieces."""
+#: Merged bytes that are collected at once; of larger sketches one task's pieces after another.
+AT_ONCE = 96 << 20
+
+
+def _gathered(partials: DataFrame, pieces: int, piece_bytes: int, finish):
+    """The merged pieces; each task merges a bounded number of them."""
     tasks = max(1, min(pieces, max(pieces // 64, partials.sparkSession.sparkContext.defaultParallelism)))
-    return partials.repartition(tasks, "piece").mapInArrow(_merge(finish), SCHEMA).toLocalIterator()
+    merged = partials.repartition(tasks, "piece").mapInArrow(_merge(finish), SCHEMA)
+    return merged.collect() if pieces * piece_bytes <= AT_ONCE else merged.toLocalIterator()
 
 
 def repeated_cells(partials: DataFrame, log_width: int, depth: int, floor: int = 2) -> np.ndarray:
     """Bits of the cells counted ``floor`` times or more, for each row of the sketch."""
     per_row = 1 << (log_width - LOG_PIECE)
     bits = np.zeros((depth * per_row, (1 << LOG_PIECE) // 8), np.uint8)
-    for r in _gathered(partials, depth * per_row, lambda held: np.packbits(held >= floor)):
+    for r in _gathered(partials, depth * per_row, bits.shape[1], lambda held: np.packbits(held >= floor)):
         bits[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
     return bits.reshape(depth, -1)
 
@@ -92,7 +101,7 @@ def repeated_cells(partials: DataFrame, log_width: int, depth: int, floor: int =
 def log_counts(partials: DataFrame, log_width: int) -> np.ndarray:
     """Eight times the base-2 logarithm of each cell's count, rounded: a byte for each cell of one row."""
     out = np.zeros((1 << (log_width - LOG_PIECE), 1 << LOG_PIECE), np.uint8)
-    for r in _gathered(partials, len(out), lambda held: np.minimum(np.rint(8 * np.log2(held + 1.0)), 255).astype(np.uint8)):
+    for r in _gathered(partials, len(out), out.shape[1], lambda held: np.minimum(np.rint(8 * np.log2(held + 1.0)), 255).astype(np.uint8)):
         out[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
     return out.reshape(-1)
 

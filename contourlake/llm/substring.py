@@ -49,9 +49,6 @@ def _texts(data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
 
 
 def _first_scan(window: int, log_width: int):
-    def rows(pieces):
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=sketch.ARROW)
-
     def scan(batches):
         partial = sketch.Partial(log_width, DEPTH)
         for batch in slices(batches):
@@ -62,9 +59,9 @@ def _first_scan(window: int, log_width: int):
                 fresh = np.ones(len(start), bool)
                 fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
                 if pieces := list(partial.add(anchor[fresh])):
-                    yield rows(pieces)
+                    yield sketch.rows(pieces)
         if pieces := list(partial.flush()):
-            yield rows(pieces)
+            yield sketch.rows(pieces)
 
     return scan
 

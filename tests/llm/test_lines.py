@@ -1,7 +1,8 @@
 import random
 from collections import defaultdict
 
-from contourlake.llm.lines import drop_similar_lines, line_similarity, normal, op8_line_dedup
+from contourlake.llm import components
+from contourlake.llm.lines import drop_similar_lines, line_decisions, normal, op8_line_dedup, shingle_sets, similar
 
 from .fixtures import documents, edited, frame, prose, stored
 
@@ -57,6 +58,17 @@ def test_equals_brute_force(spark, tmp_path):
     assert len(got) == len(rows)
 
 
+def test_large_buckets_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 2)
+    monkeypatch.setattr(components, "BLOCK", 3)
+    base = prose(60, 400)
+    rows = [(i, edited(base, i, 1 + i % 6), None, None, 0) for i in range(60)]
+    for rounds in (1, 3):
+        got = line_decisions(frame(spark, rows), rounds=rounds)[1].collect()
+        want = {i for i, _ in brute(rows)}
+        assert {r["doc"] for r in got} <= want and len(got) >= 0.9 * len(want)
+
+
 def test_texts_lose_only_those_lines(spark):
     rows = many()
     gone = brute(rows)
@@ -67,9 +79,12 @@ def test_texts_lose_only_those_lines(spark):
 
 
 def test_similarity():
-    for a, b in (("abcdefgh", "abcdefgx"), ("ab", "ab"), ("ab", "abc"), ("é" * 9, "éa"), ("", "a")):
+    for a, b in (("abcdefgh", "abcdefgx"), ("ab", "ab"), ("ab", "abc"), ("é" * 9, "éa"), ("", "a"), ("abcdefghijklmnopq", "abcdefghijklmnopr")):
         x, y = shingles(a), shingles(b)
-        assert line_similarity(a.encode(), b.encode()) == (len(x & y), len(x | y))
+        found = shingle_sets([a.encode(), b.encode()])
+        assert list(map(len, found)) == [len(x), len(y)]
+        for num in range(11):
+            assert similar(*found, num, 10) == (10 * len(x & y) >= num * len(x | y))
 
 
 def test_empty_table(spark, tmp_path):

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from contourlake.llm import components as module
 from contourlake.llm.components import components
 from contourlake.llm.ngram_join import jaccard_groups, op2_ngram_jaccard_join
 
@@ -57,6 +58,13 @@ def test_other_parameters(spark):
     assert sorted(got, key=str) == brute(many(), 5, 8, 10)
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "FEW", 2)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    got = [tuple(r) for r in jaccard_groups(frame(spark, many())).collect()]
+    assert sorted(got, key=str) == brute(many())
+
+
 def test_empty_table(spark, tmp_path):
     assert op2_ngram_jaccard_join(spark, stored(spark, tmp_path, [])).count() == 0
 
