@@ -122,7 +122,7 @@ def linking(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], com
     joins are all judged.
     """
     links, grouped, before = None, postings.withColumn("group", F.col("id")), None
-    most = BLOCK * postings.count()
+    most = 64 * postings.count()
     for round_ in range(rounds):
         by_group = grouped.groupBy("token", "group").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(round_)), "id", "n")).alias("hub"))
         mixed = by_group.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("k * k")).alias("kk"), F.min("hub").alias("hub")).where("k * k > kk")

@@ -17,7 +17,13 @@ from pyspark.sql import DataFrame
 
 #: Multipliers of the sketch's rows: odd 64-bit numbers.
 ROWS = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOG_PIECE = 16
+
+
+def log_piece(log_width: int) -> int:
+    """Cells of one piece, as a power of two: a row of any width has some thousand pieces at most."""
+    return max(16, log_width - 10)
+
+
 SCHEMA = "piece long, cells binary"
 ARROW = pa.schema([("piece", pa.int64()), ("cells", pa.binary())])
 
@@ -29,7 +35,7 @@ def cells(hashes: np.ndarray, row: int, log_width: int) -> np.ndarray:
 class Partial:
     """The sketch of one task. Memory is bounded by ``most`` hashes, however many are added."""
 
-    def __init__(self, log_width: int, depth: int, most: int = 1 << 20):
+    def __init__(self, log_width: int, depth: int, most: int = 1 << 21):
         self.log_width, self.depth, self.most = log_width, depth, most
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -43,14 +49,15 @@ class Partial:
     def flush(self) -> Iterator[tuple[int, bytes]]:
         hashes = np.concatenate(self.held) if self.held else np.zeros(0, np.uint64)
         self.held, self.n = [], 0
-        per_row = 1 << (self.log_width - LOG_PIECE)
+        size = log_piece(self.log_width)
+        per_row = 1 << (self.log_width - size)
         for row in range(self.depth if len(hashes) else 0):
             at, n = np.unique(cells(hashes, row, self.log_width).astype(np.int64), return_counts=True)
-            cut = np.searchsorted(at, np.arange(per_row + 1) << LOG_PIECE)
+            cut = np.searchsorted(at, np.arange(per_row + 1) << size)
             count = np.minimum(n, 65535).astype(np.uint16)
             for piece in np.flatnonzero(np.diff(cut)):
                 low, high = cut[piece], cut[piece + 1]
-                body = np.diff(at[low:high], prepend=piece << LOG_PIECE).astype(np.uint16).tobytes() + count[low:high].tobytes()
+                body = np.diff(at[low:high], prepend=piece << size).astype(np.uint32).tobytes() + count[low:high].tobytes()
                 yield row * per_row + int(piece), zlib.compress(body, 1)
 
 
@@ -60,17 +67,17 @@ def rows(pieces: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = zlib.decompress(body)
-    n = len(body) // 4
-    return np.cumsum(np.frombuffer(body, np.uint16, n).astype(np.int64)), np.frombuffer(body, np.uint16, n, 2 * n)
+    n = len(body) // 6
+    return np.cumsum(np.frombuffer(body, np.uint32, n).astype(np.int64)), np.frombuffer(body, np.uint16, n, 4 * n)
 
 
-def _merge(finish):
+def _merge(finish, size: int):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at, n = unpacked(body.as_py())
-                held = counts.setdefault(piece, np.zeros(1 << LOG_PIECE, np.uint32))
+                held = counts.setdefault(piece, np.zeros(1 << size, np.uint32))
                 held[at] += n  # cells of one body are distinct
         for piece, held in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([finish(held).tobytes()], pa.binary())], schema=ARROW)
@@ -82,26 +89,29 @@ def _merge(finish):
 AT_ONCE = 96 << 20
 
 
-def _gathered(partials: DataFrame, pieces: int, piece_bytes: int, finish):
+def _gathered(partials: DataFrame, pieces: int, piece_bytes: int, finish, size: int):
     """The merged pieces; each task merges a bounded number of them."""
-    tasks = max(1, min(pieces, max(pieces // 64, partials.sparkSession.sparkContext.defaultParallelism)))
-    merged = partials.repartition(tasks, "piece").mapInArrow(_merge(finish), SCHEMA)
+    held = (1 << 22) >> size or 1  # pieces that a task holds: some 16 MB of counts
+    tasks = max(1, min(pieces, max(pieces // max(held, 8), partials.sparkSession.sparkContext.defaultParallelism)))
+    merged = partials.repartition(tasks, "piece").mapInArrow(_merge(finish, size), SCHEMA)
     return merged.collect() if pieces * piece_bytes <= AT_ONCE else merged.toLocalIterator()
 
 
 def repeated_cells(partials: DataFrame, log_width: int, depth: int, floor: int = 2) -> np.ndarray:
     """Bits of the cells counted ``floor`` times or more, for each row of the sketch."""
-    per_row = 1 << (log_width - LOG_PIECE)
-    bits = np.zeros((depth * per_row, (1 << LOG_PIECE) // 8), np.uint8)
-    for r in _gathered(partials, depth * per_row, bits.shape[1], lambda held: np.packbits(held >= floor)):
+    size = log_piece(log_width)
+    per_row = 1 << (log_width - size)
+    bits = np.zeros((depth * per_row, (1 << size) // 8), np.uint8)
+    for r in _gathered(partials, depth * per_row, bits.shape[1], lambda held: np.packbits(held >= floor), size):
         bits[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
     return bits.reshape(depth, -1)
 
 
 def log_counts(partials: DataFrame, log_width: int) -> np.ndarray:
     """Eight times the base-2 logarithm of each cell's count, rounded: a byte for each cell of one row."""
-    out = np.zeros((1 << (log_width - LOG_PIECE), 1 << LOG_PIECE), np.uint8)
-    for r in _gathered(partials, len(out), out.shape[1], lambda held: np.minimum(np.rint(8 * np.log2(held + 1.0)), 255).astype(np.uint8)):
+    size = log_piece(log_width)
+    out = np.zeros((1 << (log_width - size), 1 << size), np.uint8)
+    for r in _gathered(partials, len(out), out.shape[1], lambda held: np.minimum(np.rint(8 * np.log2(held + 1.0)), 255).astype(np.uint8), size):
         out[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
     return out.reshape(-1)
 

@@ -31,4 +31,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    # Nothing needs the shuffle files behind the table any more; Spark deletes them once the driver has collected their handles.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

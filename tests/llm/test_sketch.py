@@ -1,0 +1,30 @@
+import numpy as np
+
+from contourlake.llm import sketch
+
+
+def test_estimates_never_fall_short(spark):
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**63, 30_000, dtype=np.uint64) * np.uint64(2)
+    repeated = hashes[:4000]
+    for log_width, depth in ((16, 2), (20, 1), (27, 2)):
+        def scan(batches, log_width=log_width, depth=depth):
+            partial = sketch.Partial(log_width, depth, most=5000)
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    part = hashes if x == 0 else repeated
+                    for low in range(0, len(part), 1000):
+                        if pieces := list(partial.add(part[low : low + 1000])):
+                            yield sketch.rows(pieces)
+            if pieces := list(partial.flush()):
+                yield sketch.rows(pieces)
+
+        partials = spark.range(2).repartition(2).mapInArrow(scan, sketch.SCHEMA).cache()
+        bits = sketch.repeated_cells(partials, log_width, depth)
+        found = sketch.estimated(hashes, bits)
+        assert found[:4000].all()
+        assert log_width < 27 or found[4000:].mean() < 0.01
+        once = sketch.estimated(hashes, sketch.repeated_cells(partials, log_width, depth, floor=1))
+        assert once.all()
+        counts = sketch.log_counts(partials.where(f"piece < {1 << (log_width - sketch.log_piece(log_width))}"), log_width)
+        assert (counts[sketch.cells(repeated, 0, log_width)] >= 12).all()
