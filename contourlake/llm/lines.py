@@ -121,12 +121,30 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-        return False
-    both = np.sort(np.concatenate((x, y)))
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return den * common >= num * (len(x) + len(y) - common)
+def similar_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether lines a[k] and b[k] are similar, for up to 4096 pairs of up to 4096 lines.
+
+    52 bits of each shingle's hash and 12 of its line, or pair, are sorted at once: repeats are then neighbours.
+    """
+    h, bounds = shingle_hashes(lines)
+    low = np.uint64(12)
+    key = np.sort((h >> low) | (np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(bounds)) << np.uint64(52)))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    size = np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=len(lines))
+    start = np.cumsum(size) - size
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    out = den * small >= num * large
+    pair = np.flatnonzero(out)
+    parts = []
+    for side in (a[pair], b[pair]):
+        n = size[side]
+        at = np.repeat(start[side] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        parts.append((key[at] & np.uint64((1 << 52) - 1)) | (np.repeat(np.arange(len(pair), dtype=np.uint64), n) << np.uint64(52)))
+    both = np.sort(np.concatenate(parts))
+    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(52)
+    common = np.bincount(twice.astype(np.int64), minlength=len(pair))
+    out[pair] = den * common >= num * (small[pair] + large[pair] - common)
+    return out
 
 
 def _split(batch: pa.RecordBatch):
@@ -218,14 +236,12 @@ def _bodies(bits):
 def _alike(num: int, den: int):
     def scan(batches):
         for batch in batches:
-            pairs = list(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True))
-            keep = []
-            for low in range(0, len(pairs), LINES_AT_ONCE):
-                part = pairs[low : low + LINES_AT_ONCE]
-                bodies = list(dict.fromkeys(x for p in part for x in p))
-                sets = dict(zip(bodies, shingle_sets(bodies), strict=True))
-                keep += [similar(sets[x], sets[y], num, den) for x, y in part]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y, keep = batch.column("x").to_pylist(), batch.column("y").to_pylist(), []
+            for low in range(0, len(x), LINES_AT_ONCE // 2):
+                number: dict[bytes, int] = {}
+                a, b = (np.array([number.setdefault(t, len(number)) for t in side[low : low + LINES_AT_ONCE // 2]], np.int64) for side in (x, y))
+                keep.append(similar_pairs(list(number), a, b, num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return scan
 
@@ -253,9 +269,9 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = written(narrow.mapInArrow(_lines, "line binary, doc long, place long, bands binary"), "lines")
+    found = written(narrow.mapInArrow(_lines, "line binary, doc long, place long, bands binary"), "lines", dictionary=False)
     lines = found.select("line", "doc", "place")
-    banded = written(found.where("bands IS NOT NULL").select("line", "bands").distinct().withColumn("id", F.monotonically_increasing_id()), "bands")
+    banded = written(found.where("bands IS NOT NULL").select("line", "bands").distinct().withColumn("id", F.monotonically_increasing_id()), "bands", dictionary=False)
     broadcast = spark.sparkContext.broadcast
     log_once = min(MOST_LOG_ONCE, max(20, (12 * BANDS * banded.count()).bit_length()))
     bits = broadcast(sketch.repeated_cells(banded.select("bands").mapInArrow(_sketched(log_once, 1, tokens), sketch.SCHEMA), log_once, 1))

@@ -26,11 +26,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to shared storage and read back: its lineage ends here, and losing an executor loses nothing."""
+def written(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
+    """``df`` written once to shared storage and read back: its lineage ends here, and losing an executor loses nothing.
+
+    Without ``dictionary``, for columns of hashes, Parquet doesn't try to find repeated values.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     # Nothing needs the shuffle files behind the table any more; Spark deletes them once the driver has collected their handles.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from contourlake.llm import components
-from contourlake.llm.lines import drop_similar_lines, line_decisions, normal, op8_line_dedup, shingle_sets, similar
+from contourlake.llm.lines import drop_similar_lines, line_decisions, normal, op8_line_dedup, shingle_sets, similar_pairs
 
 from .fixtures import documents, edited, frame, prose, stored
 
@@ -79,12 +81,13 @@ def test_texts_lose_only_those_lines(spark):
 
 
 def test_similarity():
-    for a, b in (("abcdefgh", "abcdefgx"), ("ab", "ab"), ("ab", "abc"), ("é" * 9, "éa"), ("", "a"), ("abcdefghijklmnopq", "abcdefghijklmnopr")):
-        x, y = shingles(a), shingles(b)
-        found = shingle_sets([a.encode(), b.encode()])
-        assert list(map(len, found)) == [len(x), len(y)]
-        for num in range(11):
-            assert similar(*found, num, 10) == (10 * len(x & y) >= num * len(x | y))
+    lines = ["abcdefgh", "abcdefgx", "ab", "abc", "é" * 9, "éa", "", "a", "abcdefghijklmnopq", "abcdefghijklmnopr", "x" * 300]
+    raw = [x.encode() for x in lines]
+    assert list(map(len, shingle_sets(raw))) == [len(shingles(x)) for x in lines]
+    a, b = (x.ravel() for x in np.indices((len(lines), len(lines))))
+    for num in range(11):
+        want = [10 * len(x & y) >= num * len(x | y) for x, y in ((shingles(lines[i]), shingles(lines[j])) for i, j in zip(a, b, strict=True))]
+        assert similar_pairs(raw, a, b, num, 10).tolist() == want
 
 
 def test_empty_table(spark, tmp_path):
