@@ -62,7 +62,7 @@ def _first_scan(n: int, log_once: int):
         return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([kind] * len(pieces), pa.int32()), pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=schema)
 
     def scan(batches):
-        partials = (sketch.Partial(log_once, 1), sketch.Partial(LOG_COUNTS, 1))
+        partials = (sketch.Partial(log_once, 1), sketch.DensePartial(LOG_COUNTS))
         for batch in slices(batches):
             sets = shingle_sets(batch, n)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -194,7 +194,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_once = min(MOST_LOG_ONCE, max(20, (size // 3).bit_length()))
+    log_once = min(MOST_LOG_ONCE, max(20, (size // 2).bit_length()))
     scan, schema = _first_scan(words_each, log_once)
     first = written(narrow.mapInArrow(scan, schema), "shingle-scan")
     broadcast = spark.sparkContext.broadcast

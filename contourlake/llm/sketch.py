@@ -61,6 +61,26 @@ class Partial:
                 yield row * per_row + int(piece), zlib.compress(body, 1)
 
 
+class DensePartial(Partial):
+    """The same for a narrow sketch of one row: its counts are kept, and emitted once."""
+
+    def __init__(self, log_width: int):
+        super().__init__(log_width, 1)
+        self.counts = np.zeros(1 << log_width, np.uint32)
+
+    def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        np.add.at(self.counts, cells(hashes, 0, self.log_width).astype(np.int64), 1)
+        return iter(())
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        size = log_piece(self.log_width)
+        for piece, counts in enumerate(self.counts.reshape(-1, 1 << size)):
+            at = np.flatnonzero(counts)
+            if len(at):
+                body = np.diff(at, prepend=0).astype(np.uint32).tobytes() + np.minimum(counts[at], 65535).astype(np.uint16).tobytes()
+                yield piece, zlib.compress(body, 1)
+
+
 def rows(pieces: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=ARROW)
 

@@ -28,3 +28,19 @@ def test_estimates_never_fall_short(spark):
         assert once.all()
         counts = sketch.log_counts(partials.where(f"piece < {1 << (log_width - sketch.log_piece(log_width))}"), log_width)
         assert (counts[sketch.cells(repeated, 0, log_width)] >= 12).all()
+
+
+def test_dense_counts_are_those_of_the_sparse():
+    hashes = np.random.default_rng(9).integers(0, 2**63, 5000, dtype=np.uint64)
+    dense, sparse = sketch.DensePartial(17), sketch.Partial(17, 1)
+    for part in (hashes, hashes[:100]):
+        assert not list(dense.add(part)) and not list(sparse.add(part))
+
+    def counted(pieces):
+        out = np.zeros(1 << 17, np.int64)
+        for piece, body in pieces:
+            at, n = sketch.unpacked(body)
+            out[(piece << sketch.log_piece(17)) + at] += n
+        return out
+
+    assert np.array_equal(counted(dense.flush()), counted(sparse.flush()))
