@@ -345,7 +345,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document with an id: its lines with a word, how many go, and which (numbers from 0, in order)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines, gone = line_decisions(docs)
-    counted = lines.groupBy("doc").agg(F.size(F.collect_set("place")).cast("long").alias("n"))
+    counted = lines.select("doc", "place").distinct().groupBy("doc").agg(F.count("*").alias("n"))
     number = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     listed = gone.groupBy(F.col("doc").alias("gone_doc")).agg(F.array_sort(F.collect_set(number)).alias("gone"))
     joined = docs.select("doc_id").join(counted, F.col("doc_id") == F.col("doc"), "left").join(listed, F.col("doc_id") == F.col("gone_doc"), "left")
