@@ -260,19 +260,21 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _score(models):
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), ("log_perplexity", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), ("log_perplexity", pa.float64()), ("score", pa.float64())])
 
     def scan(batches):
         for batch in slices(batches):
             found = base_features(batch)
-            value, n = np.full(batch.num_rows, np.nan), found["n_words"]
+            value, score, n = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan), found["n_words"]
             for lang, rows, texts in _by_language(batch):
                 keys, bounds = ngram_keys(texts)
                 sums = np.append(0, np.cumsum(models.value[lang].log_probability(keys), dtype=np.float64))
-                value[rows] = np.where(n[rows] > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(n[rows], 1), np.nan)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang").fill_null(""), *(pa.array(found[f], pa.int64()) for f in FEATURES), pa.array(value, pa.float64(), mask=np.isnan(value))], schema=schema)
+                cost, each, length = np.maximum(sums[bounds[:-1]] - sums[bounds[1:]], 1e-9), np.maximum(n[rows], 1), np.maximum(np.diff(bounds), 1)
+                value[rows] = np.where(n[rows] > 0, cost / each, np.nan)
+                score[rows] = np.where(n[rows] > 0, np.log(cost / length) + np.log(each / length), np.nan)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang").fill_null(""), *(pa.array(found[f], pa.int64()) for f in FEATURES), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (value, score))], schema=schema)
 
-    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + ", log_perplexity double"
+    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + ", log_perplexity double, score double"
 
 
 def _slices_of(counted: DataFrame) -> list[list[str]]:
@@ -299,15 +301,17 @@ def _model_of(counted: DataFrame, langs: list[str]) -> dict[str, Model]:
     return out
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 8.0, least_docs: int = 20) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 2.5, above: float = 2.5, least_docs: int = 20) -> DataFrame:
     """``id``, ``text_hash``, the counted features, ``log_perplexity`` (natural
-    logarithm, for each word), ``base_failed`` and ``kept`` of every row.
+    logarithm, for each word), ``score``, ``base_failed`` and ``kept`` of every row.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in three-word windows that
-    occur twice. Of the others, those whose log perplexity under their language's model lies outside
-    the language's band are rejected. The band reaches ``reach`` times the distance of the quartiles
-    below the lower and above the upper one, over all texts of the language that passed the base
-    rules; a language with fewer than ``least_docs`` of them has no band and rejects nothing.
+    occur twice. Of the others, those whose score lies outside the language's band are
+    rejected. The score is the logarithm of log perplexity for each symbol under the language's model
+    times words for each symbol: in either factor alone the quartiles of clean text are wider. The band reaches ``below`` times the distance of the quartiles
+    below the lower and ``above`` times it above the upper one, over all texts of the language that
+    passed the base rules; text padded with a few strings lies below it, text without the language's
+    common words above it; a language with fewer than ``least_docs`` of them has no band and rejects nothing.
 
     Null texts are empty (no words: base_failed); a null language is one of its own; null and repeated
     ids are judged like others. An empty table gives no rows.
@@ -329,9 +333,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         part = narrow.where(where).mapInArrow(scan, schema)
         scored = part if scored is None else scored.unionByName(part)
     scored = written(scored.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "scores")
-    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.least(F.col("log_perplexity"), F.lit(100.0)) * 100).alias("bin")).agg(F.count("*").alias("n"))
-    bands = spark.createDataFrame(_bands(bins.collect(), reach, least_docs), "lang string, low double, high double")
-    kept = F.expr("NOT base_failed AND (low IS NULL OR log_perplexity BETWEEN low AND high)")
+    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("score") * 5000).alias("bin")).agg(F.count("*").alias("n"))
+    bands = spark.createDataFrame(_bands(bins.collect(), below, above, least_docs), "lang string, low double, high double")
+    kept = F.expr("NOT base_failed AND (low IS NULL OR score BETWEEN low AND high)")
     return scored.join(F.broadcast(bands), "lang", "left").withColumn("kept", kept)
 
 
@@ -342,8 +346,8 @@ class _Known(dict):
         return next(iter(self.values()))
 
 
-def _bands(rows: list, reach: float, least_docs: int) -> list[tuple[str, float, float]]:
-    """From histograms of a hundredth: at most some ten thousand bins for each language."""
+def _bands(rows: list, below: float, above: float, least_docs: int) -> list[tuple[str, float, float]]:
+    """From histograms of a five-thousandth of the logarithmic score: some ten thousand bins for each language."""
     by_lang: dict[str, dict[int, int]] = {}
     for r in rows:
         by_lang.setdefault(r["lang"], {})[r["bin"]] = r["n"]
@@ -352,9 +356,9 @@ def _bands(rows: list, reach: float, least_docs: int) -> list[tuple[str, float,
         at = np.array(sorted(bins))
         total = np.cumsum([bins[b] for b in at.tolist()])
         if total[-1] >= least_docs:
-            low, high = (at[np.searchsorted(total, q * total[-1])] / 100 for q in (0.25, 0.75))
-            width = max(high - low, 0.01)
-            out.append((lang, float(low - reach * width), float(high + reach * width)))
+            low, high = (at[np.searchsorted(total, q * total[-1])] / 5000 for q in (0.25, 0.75))
+            width = max(high - low, 0.001)
+            out.append((lang, float(low - below * width), float(high + above * width)))
     return out
 
 
@@ -369,4 +373,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"))
+    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), F.round("score", 6).alias("score"))

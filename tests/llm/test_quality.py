@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -86,6 +87,27 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     assert not found[500]["base_failed"] and not found[500]["kept"] and found[501]["log_perplexity"] is None
 
 
+def tongue(n, seed, function_words=True, mark=""):
+    """Half common short words, half words of syllables."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        common = function_words and rng.random() < 0.5
+        out.append(rng.choice(["the", "of", "and", "to", "in", "is"]) if common else "".join(rng.choice(["er", "on", "an", "re", "ti", "nd", "ea", "ou", "st", "en", "at", "ha"]) for _ in range(rng.randint(2, 4))))
+    return " ".join(w + mark for w in out)
+
+
+def test_both_sides_of_the_band_reject(spark):
+    clean = [(i, tongue(200, i), "en", None, 0) for i in range(150)]
+    menus = [(500 + i, tongue(200, 500 + i, False).replace(" ", " | "), "en", None, 0) for i in range(6)]
+    signs = [(600 + i, tongue(200, 600 + i, True, "$$$$"), "en", None, 0) for i in range(6)]
+    found = {r["id"]: r for r in judged(frame(spark, clean + menus + signs)).collect()}
+    middle = sorted(found[i]["score"] for i in range(150))[75]
+    assert not any(r["base_failed"] for r in found.values()) and sum(found[i]["kept"] for i in range(150)) >= 149
+    assert all(not found[i]["kept"] and found[i]["score"] > middle for i, *_ in menus)
+    assert all(not found[i]["kept"] and found[i]["score"] < middle for i, *_ in signs)
+
+
 def test_languages_in_several_broadcasts(spark, monkeypatch):
     rows = [(i, prose(90, i), ["en", "fr", "de", None][i % 4], None, 0) for i in range(40)]
     want = sorted(map(tuple, judged(frame(spark, rows)).collect()))
