@@ -108,6 +108,14 @@ def test_both_sides_of_the_band_reject(spark):
     assert all(not found[i]["kept"] and found[i]["score"] < middle for i, *_ in signs)
 
 
+def test_unspaced_languages_have_a_band(spark):
+    """Runs of 110 characters cost more than 100 nats: band and verdict use the same value."""
+    clean = [(i, " ".join(tongue(80, 60 * i + k, False).replace(" ", "")[:110] for k in range(60)), "zh", None, 0) for i in range(60)]
+    found = judged(frame(spark, clean)).collect()
+    assert min(r["log_perplexity"] for r in found) > 100 and not any(r["base_failed"] for r in found)
+    assert sum(r["kept"] for r in found) >= 58
+
+
 def test_languages_in_several_broadcasts(spark, monkeypatch):
     rows = [(i, prose(90, i), ["en", "fr", "de", None][i % 4], None, 0) for i in range(40)]
     want = sorted(map(tuple, judged(frame(spark, rows)).collect()))
