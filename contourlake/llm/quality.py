@@ -9,6 +9,7 @@ context, and what unseen ones back off to.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ LOG_PIECE = 16
 MARKS = np.frombuffer(b"#*$%&|<>", np.uint8)
 #: Packed bytes of the languages whose models are broadcast together; one language alone has at most ``KEYS`` n-grams.
 MOST_PACKED = 32 << 20
+#: Shorter texts have fewer than 50 words.
+LEAST_CHARS = 99
 _TABLE: list[np.ndarray] = []
 
 
@@ -76,9 +79,9 @@ def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key, bounds
 
 
-def _by_language(batch: pa.RecordBatch):
+def _by_language(batch: pa.RecordBatch, column: str = "lang"):
     """(language, its rows, their texts); a null language is the empty string's."""
-    langs = batch.column("lang").fill_null("").to_pylist()
+    langs = batch.column(column).fill_null("").to_pylist()
     texts = batch.column("text").fill_null("").to_pylist()
     for lang in dict.fromkeys(langs):
         rows = [i for i, x in enumerate(langs) if x == lang]
@@ -266,7 +269,7 @@ def _score(models):
         for batch in slices(batches):
             found = base_features(batch)
             value, score, n = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan), found["n_words"]
-            for lang, rows, texts in _by_language(batch):
+            for lang, rows, texts in _by_language(batch, "tongue"):
                 keys, bounds = ngram_keys(texts)
                 sums = np.append(0, np.cumsum(models.value[lang].log_probability(keys), dtype=np.float64))
                 cost, each, length = np.maximum(sums[bounds[:-1]] - sums[bounds[1:]], 1e-9), np.maximum(n[rows], 1), np.maximum(np.diff(bounds), 1)
@@ -297,7 +300,9 @@ def _model_of(counted: DataFrame, langs: list[str]) -> dict[str, Model]:
     out = {}
     for lang, pieces in held.items():
         pieces.sort(key=lambda p: p[0])
-        out[lang] = kneser_ney(np.concatenate([k for _, k, _ in pieces]), np.concatenate([c for *_, c in pieces]))
+        merged = _Counts()
+        merged.held[lang] = [(k, c) for _, k, c in pieces]
+        out[lang] = kneser_ney(*merged.merged(lang))
     return out
 
 
@@ -311,31 +316,36 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     times words for each symbol: in either factor alone the quartiles of clean text are wider. The band reaches ``below`` times the distance of the quartiles
     below the lower and ``above`` times it above the upper one, over all texts of the language that
     passed the base rules; text padded with a few strings lies below it, text without the language's
-    common words above it; a language with fewer than ``least_docs`` of them has no band and rejects nothing.
+    common words above it; languages with fewer than ``least_docs`` of them have one band
+    together, and those with fewer than ``least_docs`` texts that could have 50 words one model, since
+    a model of few texts fits any of them.
 
     Null texts are empty (no words: base_failed); a null language is one of its own; null and repeated
     ids are judged like others. An empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = ngram_counts(narrow)
+    many = [r["lang"] for r in narrow.where(F.length("text") >= LEAST_CHARS).groupBy("lang").count().where(F.col("count") >= least_docs).collect()]
+    tongue = F.when(F.col("lang").isin(many), F.concat(F.lit("="), "lang")).otherwise("")  # small languages have one model
+    narrow = narrow.withColumn("tongue", tongue)
+    counted = ngram_counts(narrow).withColumn("lang", tongue)
     scored = None
     groups = _slices_of(counted) or [[]]
     known = [x for g in groups for x in g]
     for langs in groups:
         models = _model_of(counted, langs)
         if langs == groups[-1]:  # with languages whose texts are all empty
-            where = ~F.col("lang").isin([x for x in known if x not in langs]) if len(groups) > 1 else F.lit(True)
+            where = ~F.col("tongue").isin([x for x in known if x not in langs]) if len(groups) > 1 else F.lit(True)
             models[""] = models.get("") or kneser_ney(np.zeros(1, np.int64), np.ones(1, np.int64))
         else:
-            where = F.col("lang").isin(langs)
+            where = F.col("tongue").isin(langs)
         scan, schema = _score(spark.sparkContext.broadcast(_Known(models)))
         part = narrow.where(where).mapInArrow(scan, schema)
         scored = part if scored is None else scored.unionByName(part)
     scored = written(scored.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "scores")
     bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("score") * 5000).alias("bin")).agg(F.count("*").alias("n"))
     bands = spark.createDataFrame(_bands(bins.collect(), below, above, least_docs), "lang string, low double, high double")
-    kept = F.expr("NOT base_failed AND (low IS NULL OR score BETWEEN low AND high)")
+    kept = F.expr("NOT base_failed AND score BETWEEN low AND high")
     return scored.join(F.broadcast(bands), "lang", "left").withColumn("kept", kept)
 
 
@@ -348,17 +358,19 @@ class _Known(dict):
 
 def _bands(rows: list, below: float, above: float, least_docs: int) -> list[tuple[str, float, float]]:
     """From histograms of a five-thousandth of the logarithmic score: some ten thousand bins for each language."""
-    by_lang: dict[str, dict[int, int]] = {}
+    by_lang: dict[str, Counter] = {}
     for r in rows:
-        by_lang.setdefault(r["lang"], {})[r["bin"]] = r["n"]
+        by_lang.setdefault(r["lang"], Counter())[r["bin"]] = r["n"]
+    few = [lang for lang, bins in by_lang.items() if bins.total() < least_docs]
+    pooled = sum((by_lang[lang] for lang in few), Counter())
     out = []
-    for lang, bins in by_lang.items():
-        at = np.array(sorted(bins))
-        total = np.cumsum([bins[b] for b in at.tolist()])
-        if total[-1] >= least_docs:
+    for langs, bins in [(few, pooled), *(([lang], bins) for lang, bins in by_lang.items() if lang not in few)]:
+        if langs:
+            at = np.array(sorted(bins))
+            total = np.cumsum([bins[b] for b in at.tolist()])
             low, high = (at[np.searchsorted(total, q * total[-1])] / 5000 for q in (0.25, 0.75))
             width = max(high - low, 0.001)
-            out.append((lang, float(low - below * width), float(high + above * width)))
+            out += [(lang, float(low - below * width), float(high + above * width)) for lang in langs]
     return out
 
 

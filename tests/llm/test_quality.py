@@ -116,6 +116,22 @@ def test_unspaced_languages_have_a_band(spark):
     assert sum(r["kept"] for r in found) >= 58
 
 
+def test_small_languages_are_judged_together(spark):
+    clean = [(10 * k + i, tongue(200, 10 * k + i), f"x{k}", None, 0) for k in range(12) for i in range(6)]
+    noise = np.random.default_rng(3).integers(33, 127, (200, 6))
+    odd = [(500, " ".join("".join(map(chr, x)) for x in noise), "x3", None, 0), (501, tongue(200, 501, True, "$$$$"), "x4", None, 0)]
+    found = {r["id"]: r for r in judged(frame(spark, clean + odd)).collect()}
+    assert not any(r["base_failed"] for r in found.values()) and not found[500]["kept"] and not found[501]["kept"]
+    assert sum(found[i]["kept"] for i, *_ in clean) >= 70
+
+
+def test_large_and_small_languages_in_several_broadcasts(spark, monkeypatch):
+    rows = [(i, prose(90, i), ["en", "fr", "de", None][i % 4] if i < 30 else "", None, 0) for i in range(35)]
+    want = sorted(map(tuple, judged(frame(spark, rows), least_docs=8).collect()))
+    monkeypatch.setattr(quality, "MOST_PACKED", 10)
+    assert sorted(map(tuple, judged(frame(spark, rows), least_docs=8).collect())) == want
+
+
 def test_languages_in_several_broadcasts(spark, monkeypatch):
     rows = [(i, prose(90, i), ["en", "fr", "de", None][i % 4], None, 0) for i in range(40)]
     want = sorted(map(tuple, judged(frame(spark, rows)).collect()))
