@@ -129,10 +129,10 @@ def _disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", _cell_list("only_original"), _cell_list("only_high"))
 
 
-def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bootstrap(spark: SparkSession, sf_dir: str, resamples: int = 20) -> DataFrame:
     rows = comparisons(spark, sf_dir)
     sources = rows.select(F.explode(F.array("source_a", "source_b")).alias("source"))
-    found = V.interval(V.resampled(rows, 7, V.hashed_draws(spark, sources, 20, 11)))
+    found = V.interval(V.resampled(rows, 7, V.hashed_draws(spark, sources, resamples, 11)))
     return _rounded(found, low=6, high=6)
 
 
@@ -265,6 +265,7 @@ QUERIES = {
     "log_ratio_point": lambda s, d: _rounded(V.log_ratio_point(comparisons(s, d), 7), log_ratio=6),
     "disjoint_check": lambda s, d: V.touching(comparisons(s, d), ("3", "8")).groupBy("source_a", "source_b").agg(F.count("*").alias("n")),
     "bootstrap_interval": _bootstrap,
+    "bootstrap_interval_200": lambda s, d: _bootstrap(s, d, 200),
     "design_one_at_a_time": lambda s, d: D.one_at_a_time(_design_rows(s, d)),
     "design_factorial": lambda s, d: D.factorial({"grid": [3, 6, 12], "limit": [0, 8], "model": ["plane", "sphere"]}, s),
     "resume_anti_join": _outstanding,

@@ -1,13 +1,16 @@
 import dataclasses
 import json
+import math
 import random
 
 import numpy as np
 import pytest
 
+from contourlake import queries
 from contourlake.errors import Refusal
 from contourlake.functions import heights as H
 from contourlake.operators import agreement as A
+from contourlake.operators import evidence as V
 from contourlake.operators import placement as P
 from contourlake.plans import design, manifest
 from contourlake.plans.determinism import seeded_only
@@ -86,3 +89,17 @@ def test_data_source_and_pairs(spark, tmp_path):
     scored, record = A.score_pairs(pairs, search, A.AgreementRule(4.0, 4.0, 4.0, -1.0, "median"))
     high, other = A.score_pairs(pairs, search, A.HighAgreementRule(4.0, 4.0, -1.0, "median", 0))
     assert scored.first()["eligible"] == high.first()["eligible"] == 4 and record["method"] != other["method"]
+
+
+def test_interval_of_200_resamples_leaves_the_extremes_out(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [("s", str(rng.randrange(12)), str(rng.randrange(12)), rng.randrange(5, 9)) for _ in range(400)]
+    table = spark.createDataFrame(rows, "set_name string, source_a string, source_b string, score int")
+    monkeypatch.setattr(queries, "comparisons", lambda s, d: table)
+    sources = table.selectExpr("explode(array(source_a, source_b)) AS source")
+    draws = sorted(r["log_ratio"] for r in V.resampled(table, 7, V.hashed_draws(spark, sources, 200, 11)).collect() if r["log_ratio"] is not None)
+    (found,) = queries.QUERIES["bootstrap_interval_200"](spark, str(tmp_path)).collect()
+    last = len(draws) - 1
+    assert last > 150 and found["unusable"] == 200 - len(draws)
+    assert [found["low"], found["high"]] == pytest.approx([draws[math.floor(0.025 * last)], draws[math.ceil(0.975 * last)]], abs=1e-6)
+    assert draws[0] < found["low"] < found["high"] < draws[-1]
