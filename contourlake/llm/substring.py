@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import ranges
 from .kernels import Words, grams, inside, mix, slices, sliding_min, text_buffer, words
 from .store import table, written
 
-#: Bounds of the sketch's width: at most 2 * 2**30 / 8 bytes = 256 MB are broadcast.
-LEAST_LOG_WIDTH, MOST_LOG_WIDTH, DEPTH = 20, 30, 2
-TAG_BITS = 24
+#: Rows of the sketch, and bytes of text for each anchor (a half window of two words' bytes or so, at least).
+DEPTH, BYTES_EACH = 2, 64
 
 
 def _spans(w: Words, window: int):
@@ -48,51 +47,55 @@ def _texts(data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
     return (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
-def _first_scan(window: int, log_width: int):
+def _anchored(batches, window: int):
+    """Parts of text, each with its words, window starts, their anchors, and which of these are new in a row; and the keys: the new ones."""
+    for batch in slices(batches):
+        w = words(*text_buffer(batch.column(1)))
+        start, anchor = _spans(w, window)
+        fresh = np.ones(len(start), bool)
+        if len(start):
+            owner = np.searchsorted(w.bounds, start, side="right")
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+        yield (batch, w, start, anchor, fresh), anchor[fresh]
+
+
+def _first_scan(window: int, dealt: ranges.Ranges):
     def scan(batches):
-        partial = sketch.Partial(log_width, DEPTH)
-        for batch in slices(batches):
-            w = words(*text_buffer(batch.column(1)))
-            start, anchor = _spans(w, window)
-            if len(start):
-                owner = np.searchsorted(w.bounds, start, side="right")
-                fresh = np.ones(len(start), bool)
-                fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-                if pieces := list(partial.add(anchor[fresh])):
-                    yield sketch.rows(pieces)
-        if pieces := list(partial.flush()):
-            yield sketch.rows(pieces)
+        for segment in ranges.segments(_anchored(batches, window)):
+            yield ranges.batch_of(ranges.questions(ranges.joined(segment), dealt))
 
     return scan
 
 
-def _second_scan(window: int, bits):
+def _second_scan(window: int, told: ranges.Answers):
     """Runs: consecutive windows with one anchor that may repeat, and a second hash of each of them."""
     schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
 
+    def found(batch, w, start, anchor):
+        h = grams(w.hashes(1), window, 1)[start]
+        first = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]))))
+        size = np.diff(np.append(first, len(start)))
+        inner = np.arange(len(start)) - np.repeat(first, size)
+        run = np.add.reduceat(mix(h ^ (inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), first)
+        owner = np.searchsorted(w.bounds, start[first], side="right") - 1
+        tags = np.zeros(batch.num_rows, np.int64)
+        data, at = text_buffer(batch.column(1))
+        raw = data.tobytes()
+        for i in np.unique(owner).tolist():
+            tags[i] = _tag(_digest(raw[at[i] : at[i + 1]]))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+        hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(start)).astype(np.int32) * 8), pa.py_buffer(h)])
+        return pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array((tags[owner] << 32) | (start[first] - w.bounds[owner])), pa.array(size, pa.int32()), hashes], schema=schema)
+
     def scan(batches):
-        for batch in slices(batches):
-            data, at = text_buffer(batch.column(1))
-            w = words(data, at)
-            start, anchor = _spans(w, window)
-            if len(start):
-                often = sketch.estimated(anchor, bits.value)
-                start, anchor = start[often], anchor[often]
-            if not len(start):
-                continue
-            h = grams(w.hashes(1), window, 1)[start]
-            first = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]))))
-            size = np.diff(np.append(first, len(start)))
-            inner = np.arange(len(start)) - np.repeat(first, size)
-            run = np.add.reduceat(mix(h ^ (inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), first)
-            owner = np.searchsorted(w.bounds, start[first], side="right") - 1
-            tags = np.zeros(batch.num_rows, np.int64)
-            raw = data.tobytes()
-            for i in np.unique(owner).tolist():
-                tags[i] = _tag(_digest(raw[at[i] : at[i + 1]]))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(start)).astype(np.int32) * 8), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array((tags[owner] << 32) | (start[first] - w.bounds[owner])), pa.array(size, pa.int32()), hashes], schema=schema)
+        for segment in ranges.segments(_anchored(batches, window)):
+            often = told.classes(ranges.joined(segment)) > 1
+            used = 0
+            for (batch, w, start, anchor, fresh), keys in segment:
+                again = often[used : used + len(keys)][np.cumsum(fresh) - 1]
+                used += len(keys)
+                if again.any():
+                    yield found(batch, w, start[again], anchor[again])
 
     return scan, "anchor long, run long, id long, at long, n int, hashes binary"
 
@@ -121,16 +124,11 @@ def covered(n: int, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.nd
     return np.cumsum(steps[:n]) > 0
 
 
-def log_width_for(n_bytes: int) -> int:
-    """A width of some sixteen cells for each anchor that so many bytes of text can hold, within the bounds."""
-    return min(MOST_LOG_WIDTH, max(LEAST_LOG_WIDTH, (n_bytes // 5).bit_length()))
-
-
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """``id`` and ``spans``, runs (at, n) of n consecutive repeated windows, for the rows that have some.
 
     A window of a document repeats if its words also begin somewhere in a document with a smaller id.
-    1. A scan sketches the anchors of all windows (count-min, merged over partitions).
+    1. A scan sketches the anchors of all windows (count-min, merged by range of the hash).
     2. A second scan lets the windows pass whose anchor was, by the sketch's overestimate, seen twice:
        none that repeats is lost. They travel as runs, which have one anchor.
     3. Equal runs are grouped exactly. All occurrences but those in the least id repeat as a whole.
@@ -143,26 +141,24 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id are no source for each other; ``at`` is the first word's number plus 2**32 times a
     tag of the text, so that different texts under one id don't mix. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_width = log_width_for(size)
-    pieces = narrow.mapInArrow(_first_scan(window, log_width), sketch.SCHEMA)
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(pieces, log_width, DEPTH))
-    scan, schema = _second_scan(window, bits)
+    dealt = ranges.ranges_for(size // BYTES_EACH, DEPTH)
+    told = ranges.answers(narrow.mapInArrow(_first_scan(window, dealt), ranges.DDL), ranges.counts_in(dealt))
+    scan, schema = _second_scan(window, ranges.Answers(told, dealt))
     found = written(narrow.mapInArrow(scan, schema), "substring-runs")
     key = ["anchor", "run"]
     runs = written(found.groupBy(key).agg(F.min("id").alias("least")), "substring-distinct")
-    places = written(found.select(*key, "id", "at", "n").join(runs, key), "substring-places")
     unlike = runs.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
     asked = runs.join(unlike, "anchor")
     firsts = found.select(*key, F.col("id").alias("least"), "hashes").join(asked, [*key, "least"]).dropDuplicates(key)
     windows = written(firsts.mapInArrow(_exploded, "anchor long, run long, least long, h long, ks array<int>"), "substring-windows")
     earlier = windows.groupBy("anchor", "h").agg(F.min("least").alias("earlier"))
     parts = windows.join(earlier, ["anchor", "h"]).where("earlier < least").groupBy(key).agg(F.flatten(F.collect_list("ks")).alias("ks"))
-    whole = places.where("id > least").select("id", "at", "n")
-    part = places.where("id = least").join(parts, key).select("id", F.explode("ks").alias("k"), "at").select("id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
-    return whole.unionByName(part).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    # Of the least occurrence the parts that repeat elsewhere (``ks``), of others the whole run.
+    placed = found.select(*key, "id", "at", "n").join(runs.join(parts, key, "left"), key).where("id > least OR ks IS NOT NULL")
+    spans = F.expr("IF(id > least, array(named_struct('at', at, 'n', n)), transform(ks, k -> named_struct('at', at + k, 'n', 1)))")
+    return placed.select("id", spans.alias("spans")).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _kept(data: np.ndarray, at: np.ndarray, batch: pa.RecordBatch, window: int):
