@@ -54,14 +54,9 @@ def blocks(live: DataFrame) -> DataFrame:
     return dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "group", "block")
 
 
-def joined_within(sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """(root, member) positions that connect what similarity connects in a unit: fewer than it has members.
-
-    Pairs count that are of different groups and, in a unit of two blocks, of different blocks.
-    Overlaps are products of the sets' incidences, some thousand columns at a time.
-    """
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share: products of their incidences, some thousand columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     column = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
@@ -71,9 +66,24 @@ def joined_within(sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray,
         seen = np.zeros((len(sets), 4096), np.float32)
         seen[owner[part], column[part] - low] = 1
         common += seen @ seen.T
-    common = np.rint(common).astype(np.int64)
+    return np.rint(common).astype(np.int64)
+
+
+def joined_within(sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray, num: int, den: int, candidates: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """(root, member) positions that connect what similarity connects in a unit: fewer than it has members.
+
+    Pairs count that are of different groups and, in a unit of two blocks, of different blocks; of
+    these only ``candidates``, where they are given. Sets without a candidate aren't looked at.
+    """
+    size = np.array([len(s) for s in sets])
     apart = (groups[:, None] != groups[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
-    linked = apart & (den * common >= num * (size[:, None] + size[None, :] - common))
+    apart &= (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :])) if candidates is None else candidates
+    live = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
+    linked = np.zeros_like(apart)
+    if len(live):
+        common = common_counts([sets[k] for k in live])
+        linked[np.ix_(live, live)] = den * common >= num * (size[live][:, None] + size[live][None, :] - common)
+        linked &= apart
     linked |= linked.T
     root = np.full(len(sets), -1)
     for start in range(len(sets)):

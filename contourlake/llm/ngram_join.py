@@ -2,27 +2,27 @@
 
 Of a set of n tokens and a partner with Jaccard similarity t or more, ceil(t n) tokens are shared; so
 under any global order the first n - ceil(t n) + 1 tokens of both sets have one in common. Candidates
-must share prefix tokens under each of three orders: (1) tokens seen once first, then by rising
-frequency, as sketches estimate both; (2) and (3) by two hashes.
+must share prefix tokens under each of three orders: (1) tokens with a hash below ``LOW`` by rising
+frequency, as a sketch estimates it, then the others by hash; (2) and (3) by two hashes. Order 1 asks
+for the frequencies of the low tokens only, of which a set has more than its prefix takes.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
-from .components import by_unit, components, joined_within, linking
+from . import ranges
+from .components import by_unit, common_counts, components, joined_within, linking
 from .kernels import LOWER, grams, inside, mix, slices, text_buffer, words
 from .store import table, written
 
-#: Cells that tell tokens seen once from others, and cells with counts that put frequent tokens last.
-MOST_LOG_ONCE, LOG_COUNTS = 29, 21
+#: Tokens below have their frequency estimated; bytes of text for each of them, at least.
+LOW, BYTES_EACH = np.uint64(1 << 63), 8
 SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -54,57 +54,65 @@ def region(n: int, num: int, den: int) -> int:
     return max(prefix_length(n, num, den), -(-35 * n // 100))
 
 
-def _first_scan(n: int, log_once: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("kind", pa.int32()), ("piece", pa.int64()), ("cells", pa.binary())])
+def _low(batches, n: int):
+    """Parts of text, each with its sets and how many low tokens these have; and the keys: all low tokens."""
+    for batch in slices(batches):
+        sets = shingle_sets(batch, n)
+        low = [int(np.searchsorted(s, LOW)) for s in sets]
+        yield (batch, sets, low), np.concatenate([s[:k] for s, k in zip(sets, low, strict=True)])
+
 
-    def rows(kind, pieces):
-        none = pa.nulls(len(pieces))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([kind] * len(pieces), pa.int32()), pa.array([p for p, _ in pieces], pa.int64()), pa.array([c for _, c in pieces], pa.binary())], schema=schema)
+def _first_scan(n: int, dealt: ranges.Ranges):
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), *ranges.SCHEMA])
 
     def scan(batches):
-        partials = (sketch.Partial(log_once, 1), sketch.DensePartial(LOG_COUNTS))
-        for batch in slices(batches):
-            sets = shingle_sets(batch, n)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
-            if sets:
-                for kind, partial in enumerate(partials):
-                    if pieces := list(partial.add(np.concatenate(sets))):
-                        yield rows(kind, pieces)
-        for kind, partial in enumerate(partials):
-            if pieces := list(partial.flush()):
-                yield rows(kind, pieces)
-
-    return scan, "id long, n long, digest binary, kind int, piece long, cells binary"
-
-
-def _second_scan(n: int, num: int, den: int, once, counts):
-    """Sets with prefix tokens that others may have, under the first order.
-
-    Tokens surely seen once come first and can't be shared: they are left out, and so are sets whose
-    whole prefix they fill.
+        for segment in ranges.segments(_low(batches, n)):
+            for (batch, sets, _), _ in segment:
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                own = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(sets), f.type) for f in ranges.SCHEMA)], schema=schema)
+            asked = ranges.batch_of(ranges.questions(ranges.joined(segment), dealt))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(asked.num_rows, schema.field(k).type) for k in range(3)), *asked.columns], schema=schema)
+
+    return scan, f"id long, n long, digest binary, {ranges.DDL}"
+
+
+def first_prefix(s: np.ndarray, low: int, classes: np.ndarray, p: int) -> np.ndarray:
+    """The first ``p`` tokens of a set under the first order, but for those surely seen once, which come first.
+
+    Without answers nothing is known of the order: then all tokens count as prefix, which any partner's prefix meets.
     """
+    if low and classes[0] == ranges.UNKNOWN and (classes == ranges.UNKNOWN).all():
+        return s
+    once = classes < 2
+    want = p - int(once.sum())
+    if want <= 0:
+        return s[:0]
+    often = np.flatnonzero(~once)
+    by_class = s[often[np.argsort(classes[often], kind="stable")[:want]]]
+    return np.concatenate((by_class, s[low : low + want - len(by_class)]))
+
+
+def _second_scan(n: int, num: int, den: int, told: ranges.Answers):
+    """Sets with prefix tokens that others may have; sets whose whole prefix was surely seen once have no partner."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("tokens", pa.binary())])
 
+    def row(i, s: np.ndarray, prefix: np.ndarray) -> tuple:
+        second = (s[: region(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
+        third = (np.sort(mix(s ^ SECOND))[: prefix_length(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
+        return i, len(s), prefix.view(np.int64), second, third, s.tobytes()
+
     def scan(batches):
-        for batch in slices(batches):
-            rows: list[list] = [[], [], [], [], [], []]
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch, n), strict=True):
-                if i is None or not len(s):
-                    continue
-                p = prefix_length(len(s), num, den)
-                often = s[sketch.estimated(s, once.value)]
-                want = p - (len(s) - len(often))
-                if want <= 0:
-                    continue
-                rank = counts.value[sketch.cells(often, 0, LOG_COUNTS)]
-                prefix = often[np.lexsort((often, rank))[:want]].view(np.int64)
-                second = (s[: region(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
-                third = (np.sort(mix(s ^ SECOND))[:p] >> np.uint64(32)).astype(np.uint32).tobytes()
-                for column, value in zip(rows, (i, len(s), prefix, second, third, s.tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        for segment in ranges.segments(_low(batches, n)):
+            classes, used = told.classes(ranges.joined(segment)), 0
+            for (batch, sets, low), _ in segment:
+                rows = []
+                for i, s, k in zip(batch.column(0).to_pylist(), sets, low, strict=True):
+                    prefix = first_prefix(s, k, classes[used : used + k], prefix_length(len(s), num, den)) if len(s) else s
+                    used += k
+                    if i is not None and len(prefix):
+                        rows.append(row(i, s, prefix))
+                yield ranges.batch_of(rows, schema)
 
     return scan, "id long, n long, prefix array<long>, second binary, third binary, tokens binary"
 
@@ -147,12 +155,14 @@ def _alike_blocks(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(rows: list[tuple]):
-        ids, groups, block, tokens = zip(*rows, strict=True)
+        ids, groups, block, tokens, second, third = zip(*rows, strict=True)
         sets = [np.frombuffer(t, np.uint64) for t in tokens]
-        for i, j in joined_within(sets, np.array(groups), np.array(block), num, den):
+        prefixes = [np.frombuffer(x, np.uint32)[: prefix_length(len(s), num, den)] for x, s in zip(second, sets, strict=True)]
+        candidates = (common_counts(prefixes) > 0) & (common_counts([np.frombuffer(x, np.uint32) for x in third]) > 0)
+        for i, j in joined_within(sets, np.array(groups), np.array(block), num, den, candidates):
             yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
-    return by_unit(links, ("id", "group", "block", "tokens"), schema)
+    return by_unit(links, ("id", "group", "block", "tokens", "second", "third"), schema)
 
 
 def _alike(num: int, den: int):
@@ -191,18 +201,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with nothing; a null id links with nothing and has no component. Rows that share an id each get
     the component of their own text. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_once = min(MOST_LOG_ONCE, max(20, (size // 2).bit_length()))
-    scan, schema = _first_scan(words_each, log_once)
+    dealt = ranges.ranges_for(size // BYTES_EACH)
+    scan, schema = _first_scan(words_each, dealt)
     first = written(narrow.mapInArrow(scan, schema), "shingle-scan")
-    broadcast = spark.sparkContext.broadcast
-    once = broadcast(sketch.repeated_cells(first.where("kind = 0").select("piece", "cells"), log_once, 1))
-    counts = broadcast(sketch.log_counts(first.where("kind = 1").select("piece", "cells"), LOG_COUNTS))
-    texts = first.where("kind IS NULL").select("id", "n", "digest")
+    told = ranges.Answers(ranges.answers(first.where("seg IS NOT NULL"), ranges.counts_in(dealt)), dealt)
+    texts = first.where("seg IS NULL").select("id", "n", "digest")
     speakers = texts.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("speaker"))
-    scan, schema = _second_scan(words_each, num, den, once, counts)
+    scan, schema = _second_scan(words_each, num, den, told)
     sets = written(narrow.mapInArrow(scan, schema), "sets")
     speaking = sets.select("id", "n", "prefix").join(speakers.select(F.col("speaker").alias("id")).distinct(), "id", "left_semi")
     postings = written(speaking.select(F.explode("prefix").alias("token"), "id", "n"), "postings")
@@ -210,7 +217,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     postings = written(postings.join(shared, "token"), "shared-tokens")
 
     def verified_blocks(units: DataFrame) -> DataFrame:
-        dealt = units.join(sets.select("id", "tokens"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        dealt = units.join(sets.select("id", "tokens", "second", "third"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
     links = linking(postings, _verified(sets, num, den), f"{den} * least(n, m) >= {num} * greatest(n, m)", rounds, verified_blocks)

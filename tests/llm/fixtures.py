@@ -1,7 +1,9 @@
 """Small tables with every awkward case, and brute-force helpers."""
 
+import os
 import random
 import re
+import shutil
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,3 +37,16 @@ def stored(spark, tmp_path, rows=None):
     """A folder with ``documents.parquet``, as queries read it."""
     frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
+
+
+def forgetful(answers, step):
+    """``ranges.answers`` that loses the answers of every ``step``-th segment afterwards."""
+
+    def lost(asked, of):
+        root = answers(asked, of)
+        path = root.removeprefix("file://")
+        for name in sorted(x for x in os.listdir(path) if x.startswith("seg="))[::step]:
+            shutil.rmtree(f"{path}/{name}")
+        return root
+
+    return lost

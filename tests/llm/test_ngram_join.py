@@ -3,11 +3,13 @@ import random
 from pyspark.sql import functions as F
 
 from contourlake.llm import components as module
+from contourlake.llm import ngram_join
 from contourlake.llm.components import components
 from contourlake.llm.ngram_join import jaccard_groups, op2_ngram_jaccard_join
 
-from .fixtures import WORD, documents, edited, frame, prose, stored
+from .fixtures import WORD, documents, edited, forgetful, frame, prose, stored
 
+ranges_answers = ngram_join.ranges.answers
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -58,6 +60,14 @@ def test_other_parameters(spark):
     assert sorted(got, key=str) == brute(many(), 5, 8, 10)
 
 
+def test_segments_without_answers(spark, monkeypatch):
+    """Where no segment finds its answer, and where only every other one does."""
+    for step in (1, 2):
+        monkeypatch.setattr(ngram_join.ranges, "answers", forgetful(ranges_answers, step))
+        got = [tuple(r) for r in jaccard_groups(frame(spark, many())).collect()]
+        assert sorted(got, key=str) == brute(many())
+
+
 def test_large_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(module, "FEW", 2)
     monkeypatch.setattr(module, "BLOCK", 3)
