@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import ranges
 from .components import by_unit, components, joined_within, linking
 from .kernels import mix, slices, text_buffer
 from .store import table, written
@@ -28,8 +28,6 @@ SHINGLE, BANDS, ROWS = 5, 20, 8
 BINS = BANDS * ROWS
 #: Lines whose signatures are made at once, which bounds memory when lines are short.
 LINES_AT_ONCE = 4096
-#: Widest sketch: 2**29 / 8 bytes = 64 MB are broadcast at most for bands, twice that for lines.
-MOST_LOG_ONCE = 29
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Odd factors of a shingle's characters.
 FACTORS = np.random.default_rng(5).integers(0, 2**31, SHINGLE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -159,52 +157,87 @@ def _split(batch: pa.RecordBatch):
                 yield i, tag | k, x
 
 
-LINES = pa.schema([("line", pa.binary()), ("doc", pa.int64()), ("place", pa.int64()), ("bands", pa.binary())])
+LINES = pa.schema([("line", pa.binary()), ("doc", pa.int64()), ("place", pa.int64()), ("bands", pa.binary()), *ranges.SCHEMA])
+LINES_DDL = f"line binary, doc long, place long, bands binary, {ranges.DDL}"
 #: Line ids that a task remembers to band each line once; further copies are only banded again.
 REMEMBERED = 1 << 20
 
 
-def _lines(batches):
-    """Every line's place; the first of equal lines in the task also with its band keys."""
-    seen: set[bytes] = set()
+def _found(batches):
+    """The lines of each part of text; and the keys: their ids' hashes."""
     for batch in slices(batches):
         found = list(_split(batch))
-        for low in range(0, len(found), LINES_AT_ONCE):
-            doc, place, body = zip(*found[low : low + LINES_AT_ONCE], strict=True)
-            line = list(map(line_id, body))
-            fresh = []
-            for k, x in enumerate(line):
-                if x not in seen:
-                    fresh.append(k)
-                    if len(seen) < REMEMBERED:
-                        seen.add(x)
-            bands: list[bytes | None] = [None] * len(line)
-            if fresh:
-                for k, keys in zip(fresh, band_keys([body[k] for k in fresh]), strict=True):
-                    bands[k] = keys.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((line, doc, place, bands), LINES, strict=True)], schema=LINES)
-
-
-def _sketched(log_width: int, depth: int, of):
+        line = [line_id(x) for *_, x in found]
+        yield (found, line), id_hashes(line)
+
+
+def _lines(dealt: ranges.Ranges):
+    """Every line's place; the first of equal lines in the task also with its band keys. Segments ask which lines are wanted."""
+
+    def scan(batches):
+        seen: set[bytes] = set()
+        for segment in ranges.segments(_found(batches)):
+            for (found, ids), _ in segment:
+                for low in range(0, len(found), LINES_AT_ONCE):
+                    doc, place, body = zip(*found[low : low + LINES_AT_ONCE], strict=True)
+                    line = ids[low : low + LINES_AT_ONCE]
+                    fresh = []
+                    for k, x in enumerate(line):
+                        if x not in seen:
+                            fresh.append(k)
+                            if len(seen) < REMEMBERED:
+                                seen.add(x)
+                    bands: list[bytes | None] = [None] * len(line)
+                    if fresh:
+                        for k, keys in zip(fresh, band_keys([body[k] for k in fresh]), strict=True):
+                            bands[k] = keys.tobytes()
+                    own = [pa.array(c, f.type) for c, f in zip((line, doc, place, bands), LINES, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(line), f.type) for f in ranges.SCHEMA)], schema=LINES)
+            asked = ranges.batch_of(ranges.questions(ranges.joined(segment), dealt, counted=False))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(asked.num_rows, LINES.field(k).type) for k in range(4)), *asked.columns], schema=LINES)
+
+    return scan
+
+
+def _tokens(batches):
+    """Line numbers; and the keys: the tokens of their bands."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, LINES_AT_ONCE):
+            part = batch.slice(low, LINES_AT_ONCE)
+            yield part.column(0), tokens(part.column(1).to_pylist())
+
+
+def _counted(dealt: ranges.Ranges):
+    """Segments ask how many lines have each of their tokens."""
+
+    def scan(batches):
+        for segment in ranges.segments(_tokens(batches), most_parts=64):
+            yield ranges.batch_of(ranges.questions(ranges.joined(segment), dealt))
+
+    return scan
+
+
+def _wanted(dealt: ranges.Ranges):
+    """Members, which count but don't ask."""
+
     def scan(batches):
-        partial = sketch.Partial(log_width, depth)
         for batch in batches:
-            if batch.num_rows and (pieces := list(partial.add(of(batch.column(0).to_pylist())))):
-                yield sketch.rows(pieces)
-        if pieces := list(partial.flush()):
-            yield sketch.rows(pieces)
+            if batch.num_rows:
+                yield ranges.batch_of(ranges.questions(id_hashes(batch.column(0).to_pylist()), dealt, asked=False))
 
     return scan
 
 
-def _postings(bits):
+def _postings(told: ranges.Answers):
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def scan(batches):
-        for batch in batches:
-            found = tokens(batch.column(1).to_pylist())
-            pick = np.flatnonzero(sketch.estimated(found, bits.value))
-            yield pa.RecordBatch.from_arrays([pa.array(found[pick].view(np.int64)), batch.column(0).take(pa.array(pick // BANDS)), pa.array(np.ones(len(pick), np.int64))], schema=schema)
+        for segment in ranges.segments(_tokens(batches), most_parts=64):
+            again, used = told.classes(ranges.joined(segment)) > 1, 0
+            for ids, keys in segment:
+                pick = np.flatnonzero(again[used : used + len(keys)])
+                used += len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[pick].view(np.int64)), ids.take(pa.array(pick // BANDS)), pa.array(np.ones(len(pick), np.int64))], schema=schema)
 
     return scan, "token long, id long, n long"
 
@@ -213,22 +246,23 @@ def id_hashes(ids: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(ids), np.uint64)[::2].copy()
 
 
-def _bodies(bits):
-    """Lines whose id the filter holds, once in a task as far as it remembers."""
+def _bodies(told: ranges.Answers):
+    """Lines that may be wanted, once in a task as far as it remembers."""
     schema = pa.schema([("line", pa.binary()), ("body", pa.binary())])
 
     def scan(batches):
         seen: set[bytes] = set()
-        for batch in slices(batches):
-            body = [x for *_, x in _split(batch)]
-            line = list(map(line_id, body))
-            out = []
-            for k in np.flatnonzero(sketch.estimated(id_hashes(line), bits.value)).tolist() if line else ():
-                if line[k] not in seen:
-                    out.append(k)
-                    if len(seen) < REMEMBERED:
-                        seen.add(line[k])
-            yield pa.RecordBatch.from_arrays([pa.array([line[k] for k in out], pa.binary()), pa.array([body[k] for k in out], pa.binary())], schema=schema)
+        for segment in ranges.segments(_found(batches)):
+            wanted, used = told.classes(ranges.joined(segment)) > 0, 0
+            for (found, line), keys in segment:
+                out = []
+                for k in np.flatnonzero(wanted[used : used + len(keys)]).tolist():
+                    if line[k] not in seen:
+                        out.append((line[k], found[k][2]))
+                        if len(seen) < REMEMBERED:
+                            seen.add(line[k])
+                used += len(keys)
+                yield ranges.batch_of(out, schema)
 
     return scan
 
@@ -263,26 +297,28 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Of each component of similar lines (den * common shingles >= num * all) the line with the least
     (id, text, line number) is kept. ``place`` is a tag of the text, times 2**32, plus the line number.
-    Exact copies are one line from the start: each is banded once by a task and once in all. Only the
-    lines that share a band with another are read again, by a filter of fixed size, to be compared. Rows
-    that share an id and a text lose the same lines; an empty table gives no rows.
+    Exact copies are one line from the start: each is banded once by a task and once in all. Bands that
+    surely one line has are left out, and only the lines that share a band with another are read again
+    to be compared; of both, segments are told by ranges of the hash. Rows that share an id and a text
+    lose the same lines; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = written(narrow.mapInArrow(_lines, "line binary, doc long, place long, bands binary"), "lines", dictionary=False)
-    lines = found.select("line", "doc", "place")
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = ranges.ranges_for(size // 64)
+    found = written(narrow.mapInArrow(_lines(dealt), LINES_DDL), "lines", dictionary=False)
+    lines = found.where("line IS NOT NULL").select("line", "doc", "place")
     banded = written(found.where("bands IS NOT NULL").select("line", "bands").distinct().withColumn("id", F.monotonically_increasing_id()), "bands", dictionary=False)
-    broadcast = spark.sparkContext.broadcast
-    log_once = min(MOST_LOG_ONCE, max(20, (12 * BANDS * banded.count()).bit_length()))
-    bits = broadcast(sketch.repeated_cells(banded.select("bands").mapInArrow(_sketched(log_once, 1, tokens), sketch.SCHEMA), log_once, 1))
-    scan, schema = _postings(bits)
-    postings = written(banded.select("id", "bands").mapInArrow(scan, schema), "postings")
+    by_band = ranges.ranges_for(BANDS * banded.count())
+    bands = banded.select("id", "bands")
+    told = ranges.answers(bands.mapInArrow(_counted(by_band), ranges.DDL), ranges.counts_in(by_band))
+    scan, schema = _postings(ranges.Answers(told, by_band))
+    postings = written(bands.mapInArrow(scan, schema), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     postings = written(postings.join(shared, "token"), "shared-bands")
     wanted = written(banded.select("line", "id").join(postings.select("id").distinct(), "id", "left_semi"), "wanted-lines")
-    log_wanted = min(MOST_LOG_ONCE, max(20, (16 * wanted.count()).bit_length()))
-    held = broadcast(sketch.repeated_cells(wanted.select("line").mapInArrow(_sketched(log_wanted, 2, id_hashes), sketch.SCHEMA), log_wanted, 2, floor=1))
-    bodies = narrow.mapInArrow(_bodies(held), "line binary, body binary").distinct()
+    asked = found.where("body IS NOT NULL").select(*ranges.SCHEMA.names)
+    told = ranges.answers(asked.unionByName(wanted.select("line").mapInArrow(_wanted(dealt), ranges.DDL)), ranges.counts_in(dealt))
+    bodies = narrow.mapInArrow(_bodies(ranges.Answers(told, dealt)), "line binary, body binary").distinct()
     bodies = written(bodies.join(wanted, "line").select("id", "body"), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
