@@ -16,10 +16,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import ranges
 from .kernels import slices, text_buffer
 from .store import scratch_path, table, written
 
@@ -79,8 +79,6 @@ def _filesystem(root: str):
 PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 PLACES_DDL = "digest string, shard string, offset long, length long"
 IMAGES = pa.schema([("digest", pa.string()), ("image", pa.binary())])
-#: The sketch that tells texts seen once: of two rows, with 2 * 2**29 / 8 bytes = 128 MB to broadcast at most.
-MOST_LOG_ONCE, DEPTH = 29, 2
 
 
 class ShardWriter:
@@ -117,75 +115,76 @@ def _digests(batch: pa.RecordBatch):
         yield hashlib.sha256(raw[a:b]).digest(), raw[a:b]
 
 
-def _hashes(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.uint64)[::4].copy()
+def _keyed(batches):
+    """The texts of each part; and the keys: 64 bits of their digests."""
+    for batch in slices(batches):
+        found = list(_digests(batch))
+        yield found, np.frombuffer(b"".join(d for d, _ in found), np.uint64)[::4].copy()
 
 
-def _sketched(log_width: int):
+def _candidates(log_pieces: int):
+    """What segments ask: to which of their digests they are the first. Whole keys are sent, a segment's least copy only."""
+
     def scan(batches):
-        partial = sketch.Partial(log_width, DEPTH)
-        for batch in slices(batches):
-            if pieces := list(partial.add(_hashes([d for d, _ in _digests(batch)]))):
-                yield sketch.rows(pieces)
-        if pieces := list(partial.flush()):
-            yield sketch.rows(pieces)
+        for segment in ranges.segments(_keyed(batches)):
+            keys = ranges.joined(segment)
+            seg, own = ranges.name_of(keys), np.unique(keys)
+            piece = (own >> np.uint64(64 - log_pieces)).astype(np.int64)
+            cut = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(own)]
+            yield ranges.batch_of([(seg, 0, int(piece[low]), own[low:high].tobytes()) for low, high in zip(cut[:-1], cut[1:], strict=True)])
 
     return scan
 
 
-def _written_once(root: str, shard_bytes: int, bits):
-    """Stores the texts that are surely seen once."""
+def _elected(bodies):
+    """Each key goes to one of the segments that have it, to the least in the order of their names."""
+    bodies = sorted(bodies)
+    keys = [np.frombuffer(body, np.uint64) for _, body in bodies]
+    first = np.zeros(sum(map(len, keys)), bool)
+    first[np.unique(np.concatenate(keys), return_index=True)[1]] = True
+    for (seg, _), mine in zip(bodies, np.split(first, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+        yield seg, np.uint32(len(mine)).tobytes() + np.packbits(mine).tobytes()
 
-    def scan(batches):
-        shards = ShardWriter(root, shard_bytes)
-        for batch in slices(batches):
-            rows = []
-            found = list(_digests(batch))
-            again = sketch.estimated(_hashes([d for d, _ in found]), bits.value)
-            for k in np.flatnonzero(~again).tolist():
-                image = to_png(payload(found[k][1]))
-                rows.append((found[k][0].hex(), *shards.add(found[k][0].hex(), image), len(image)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACES, strict=True)], schema=PLACES)
-        shards.close()
 
-    return scan
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    return ranges.batch_of(rows, PLACES)
 
 
-def _imaged(bits):
-    """An image of each other text, once in a task."""
+def _first_written(root: str, shard_bytes: int, told: str):
+    """Stores the texts that the segment was elected to store. A segment without an answer stores none; nor does a second text of one key."""
 
     def scan(batches):
-        seen: set[bytes] = set()
-        for batch in slices(batches):
-            digests, images = [], []
-            found = list(_digests(batch))
-            for k in np.flatnonzero(sketch.estimated(_hashes([d for d, _ in found]), bits.value)).tolist():
-                digest, text = found[k]
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest.hex())
-                    images.append(to_png(payload(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], schema=IMAGES)
+        shards = ShardWriter(root, shard_bytes)
+        for segment in ranges.segments(_keyed(batches)):
+            keys = ranges.joined(segment)
+            at = np.unique(keys, return_index=True)[1]
+            found = [np.unpackbits(np.frombuffer(b, np.uint8, offset=4), count=int.from_bytes(b[:4], "little")) for b in ranges.answer_rows(told, ranges.name_of(keys)).values()]
+            mine = np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
+            store = set(at[mine].tolist()) if len(mine) == len(at) else set()
+            rows, k = [], 0
+            for found, _ in segment:
+                for digest, text in found:
+                    if k in store:
+                        image = to_png(payload(text))
+                        rows.append((digest.hex(), *shards.add(digest.hex(), image), len(image)))
+                    k += 1
+            yield _places(rows)
+        shards.close()
 
     return scan
 
 
 def _then_written(root: str, shard_bytes: int):
-    """Stores each digest's image once; all rows of a digest are in one task."""
+    """Stores each digest's text; a digest has one row."""
 
     def scan(batches):
-        seen: set[str] = set()
         shards = ShardWriter(root, shard_bytes)
         for batch in batches:
             rows = []
-            for digest, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest not in seen:
-                    seen.add(digest)
-                    image = image.as_py()
-                    rows.append((digest, *shards.add(digest, image), len(image)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                image = to_png(payload(text.as_py().encode()))
+                rows.append((digest, *shards.add(digest, image), len(image)))
+            yield _places(rows)
         shards.close()
 
     return scan
@@ -202,6 +201,8 @@ def _read_at(root: str, columns: dict[str, pa.DataType], of, length):
             found = []
             for shard, offset, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
+                    if file is not None:
+                        file.close()
                     name, file = shard, fs.open_input_file(f"{base}/{shard}")
                 found.append(of(file.read_at(length(size), offset)))
             values = list(zip(*found, strict=True)) or [()] * len(columns)
@@ -210,21 +211,31 @@ def _read_at(root: str, columns: dict[str, pa.DataType], of, length):
     return scan
 
 
+def digest_of(text_col: str) -> Column:
+    return F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+
+
 def store_texts(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
     """(digest, shard, offset, length) of every distinct text's image, and the folder of the shards.
 
-    ``digest`` is the text's SHA-256. A sketch of fixed size tells which texts surely occur once; the
-    task that reads such a text stores it. Of the others a task makes one image each, and only these
-    are shuffled, by digest: of copies, as many meet as there were tasks. A shard takes members until
-    it exceeds ``shard_bytes``. Null texts count as empty. An empty table makes no shard.
+    ``digest`` is the text's SHA-256. Segments of the scan ask ranges of the digests to which texts they
+    are the first, and store these as they read them: texts aren't shuffled, and a text that every task
+    has costs each eight bytes. Digests without a place afterwards (where the table was read in other
+    splits, or two texts share 64 bits) are stored by a shuffle of just their texts. A shard takes
+    members until it exceeds ``shard_bytes``. Null texts count as empty. Repeated texts share a place.
+    An empty table makes no shard.
     """
-    spark, root = docs.sparkSession, scratch_path(docs.sparkSession, "media")
+    root = scratch_path(docs.sparkSession, "media")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    log_width = min(MOST_LOG_ONCE, max(20, (16 * docs.count()).bit_length()))
-    bits = spark.sparkContext.broadcast(sketch.repeated_cells(texts.mapInArrow(_sketched(log_width), sketch.SCHEMA), log_width, DEPTH))
-    once = written(texts.mapInArrow(_written_once(root, shard_bytes, bits), PLACES_DDL), "media-once")
-    again = texts.mapInArrow(_imaged(bits), "digest string, image binary").repartition("digest")
-    return once.unionByName(written(again.mapInArrow(_then_written(root, shard_bytes), PLACES_DDL), "media-again")), root
+    log_pieces = max(4, docs.count().bit_length() - ranges.LOG_KEYS)
+    told = ranges.answers(texts.mapInArrow(_candidates(log_pieces), ranges.DDL), _elected)
+    first = written(texts.mapInArrow(_first_written(root, shard_bytes, told), PLACES_DDL), "media-first")
+    digests = texts.select(digest_of("text").alias("digest"))
+    missing = written(digests.distinct().join(first.select("digest"), "digest", "left_anti"), "media-missing")
+    if not missing.limit(1).count():
+        return first, root
+    again = texts.select(digest_of("text").alias("digest"), "text").join(missing, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    return first.unionByName(written(again.mapInArrow(_then_written(root, shard_bytes), PLACES_DDL), "media-again")), root
 
 
 def with_header(places: DataFrame, root: str) -> DataFrame:
@@ -248,17 +259,28 @@ def read_back(places: DataFrame, root: str) -> DataFrame:
     return places.mapInArrow(_read_at(root, columns, _features, lambda n: n), ddl)
 
 
+MEDIA = ("digest", "shard", "offset", "length", "width", "height", "bits")
+
+
 def media_columns(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with ``digest``, ``shard``, ``offset``, ``length`` and header columns in place of the text, and the shards' folder."""
+    """``docs`` with ``digest``, ``shard``, ``offset``, ``length``, ``width``, ``height`` and ``bits`` in place of the text, and the shards' folder.
+
+    Columns of ``docs`` with these names are replaced, in any case of letters; other columns and all rows stay, repeated ones too. Null and
+    empty texts have an image of one row. An empty table gives no rows.
+    """
     places, root = store_texts(docs, text_col)
-    named = docs.withColumn("digest", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)).drop(text_col)
-    return named.join(with_header(places, root), "digest"), root
+    found = with_header(places, root)
+    others = [c for c in docs.columns if c.lower() not in MEDIA and c.lower() != text_col.lower()]
+    named = docs.select(*(F.col(f"`{c}`") for c in others), digest_of(text_col).alias("digest"))
+    place = found.select(F.col("digest").alias("digest_of_place"), F.struct(*MEDIA[1:]).alias("place_of_digest"))
+    joined = named.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "digest") if others else named
+    joined = joined.join(place, F.col("digest") == F.col("digest_of_place"))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in others), "digest", *(F.col("place_of_digest").getField(c).alias(c) for c in MEDIA[1:])), root
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     places, root = store_texts(docs)
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    named = docs.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("digest"))
+    named = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), digest_of("text").alias("digest"))
     found = read_back(places, root).drop("length").join(with_header(places, root).select("digest", "height"), "digest")
     return named.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", F.col("height").alias("n_rows"))

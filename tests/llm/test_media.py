@@ -9,7 +9,9 @@ from pyarrow.fs import FileSelector, FileSystem
 
 from contourlake.llm.media import from_png, media_columns, op6_media_columns, payload, png_header, store_texts, to_png
 
-from .fixtures import documents, frame, stored
+from contourlake.llm import media
+
+from .fixtures import documents, forgetful, frame, stored
 
 
 def test_round_trip_and_damage():
@@ -56,5 +58,28 @@ def test_header_columns(spark):
     assert {(r["doc_id"], r["height"]) for r in rows} == {(i, len(payload((t or "").encode())) // 64) for i, t, *_ in documents()}
 
 
+def test_clashing_columns_are_replaced(spark):
+    names = ["digest", "shard", "offset", "LENGTH", "width", "height", "bits", "row", "place_of_digest"]
+    docs = frame(spark).selectExpr("doc_id", "text", *(f"'old' AS `{n}`" for n in names))
+    out, _ = media_columns(docs)
+    assert out.columns == ["doc_id", "row", "place_of_digest", *media.MEDIA]
+    rows = out.collect()
+    assert {(r["doc_id"], r["height"], r["row"]) for r in rows} == {(i, len(payload((t or "").encode())) // 64, "old") for i, t, *_ in documents()}
+    only, _ = media_columns(docs.select("text"))
+    assert only.count() == len(documents()) and only.columns == list(media.MEDIA)
+
+
+def test_segments_without_answers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media.ranges, "answers", forgetful(media.ranges.answers, 2))
+    places, root = store_texts(frame(spark))
+    assert sorted(r["digest"] for r in places.collect()) == sorted({hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in documents()})
+
+
+def test_a_very_long_text(spark):
+    text = "long " * 400_000
+    places, root = store_texts(frame(spark, [(1, text, None, None, 0), (2, text, None, None, 0)]))
+    assert media.read_back(places, root).first()["payload_sha256"] == hashlib.sha256(payload(text.encode())).hexdigest() and places.count() == 1
+
+
 def test_empty_table(spark, tmp_path):
     assert op6_media_columns(spark, stored(spark, tmp_path, [])).count() == 0
