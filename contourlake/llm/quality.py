@@ -1,13 +1,20 @@
 """Quality rules: counted features, and n-gram perplexity under a modified Kneser-Ney model by language.
 
-Texts become symbols of six bits by a fixed rule (``symbol_table``); an n-gram of four is a key of 24
-bits, so no language can have more than 2**24 of them. The model is counted over every text. It keeps, by
-language, the sorted keys of the n-grams seen with their log probabilities, an index into them by
-context, and what unseen ones back off to.
+Units are words with A-Z lowered; words of over 32 bytes, as scripts without spaces have, are cut
+between characters into pieces of some six bytes. The model gives a unit's chance after the one before
+it. As Kneser and Ney count lower orders, a pair counts as often as different units stand before it,
+and a unit as often as different units do: a text copied a thousand times counts like one.
+
+The model grows with the corpus and lies in ranges of the hash, as arrays sorted by a 64-bit key (32
+bits of the context, then 32 of the unit) with their counts. Segments of the scan send each range their
+distinct pairs, with 16 bits of what stands before; the range merges them, keeps its part of the model
+and answers the segments with counts, from which they score their texts. Nothing of the model is
+collected or broadcast but four counts of counts for each language.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -17,216 +24,296 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import grams, slices, text_buffer, words
+from . import ranges
+from .kernels import LOWER, Words, grams, mix, slices, text_buffer, words
 from .store import table, written
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-KEYS = 1 << (ORDER * BITS)
-LOG_PIECE = 16
 MARKS = np.frombuffer(b"#*$%&|<>", np.uint8)
-#: Packed bytes of the languages whose models are broadcast together; one language alone has at most ``KEYS`` n-grams.
-MOST_PACKED = 32 << 20
 #: Shorter texts have fewer than 50 words.
 LEAST_CHARS = 99
-_TABLE: list[np.ndarray] = []
-
-
-def symbol_table() -> np.ndarray:
-    """Code point (below 0x10000) to symbol: 0 white space and controls, 1-26 a-z in either case, 27 digits,
-    28-35 the marks . , ; : ' - ! ?, 36-59 other letters by code point modulo 24, 60-62 other ASCII by
-    code point modulo 3, 63 all else."""
-    if not _TABLE:
-        out = np.full(0x10000, 63, np.uint8)
-        for point in range(0x10000):
-            c = chr(point).lower()[0]
-            if c.isspace() or point < 0x20:
-                out[point] = 0
-            elif "a" <= c <= "z":
-                out[point] = ord(c) - 96
-            elif c.isdigit():
-                out[point] = 27
-            elif c in ".,;:'-!?":
-                out[point] = 28 + ".,;:'-!?".index(c)
-            elif c.isalpha():
-                out[point] = 36 + ord(c) % 24
-            elif point < 0x80:
-                out[point] = 60 + point % 3
-        _TABLE.append(out)
-    return _TABLE[0]
-
-
-def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return symbol_table()[np.where(points < 0x10000, points, 0xFFFF)]
-
-
-def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each symbol of the texts, and where each text's begin.
-
-    A text is preceded by three symbols of white space.
-    """
-    pad = " " * (ORDER - 1)
-    found = symbols(pad + pad.join(texts)).astype(np.int32)
-    key = np.zeros(max(0, len(found) - ORDER + 1), np.int32)
-    for k in range(ORDER):
-        key = (key << BITS) | found[k : k + len(key)]
-    length = np.array([len(t) for t in texts], np.int64)
-    bounds = np.append(0, np.cumsum(length))
-    if len(texts) > 1:  # drop the windows that end in the padding between texts
-        first = bounds[:-1] + (ORDER - 1) * np.arange(len(texts))
-        key = key[np.repeat(first - bounds[:-1], length) + np.arange(bounds[-1])]
-    return key, bounds
+#: Longer words are cut, into pieces of so many bytes.
+LONG, PIECE = 32, 6
+#: The contexts are counted in so many passes, which divides what is shuffled at once.
+PASSES = 2
+#: Units of one segment.
+UNITS_EACH = 1 << 21
+BEFORE = 16
+LOW_WORD = np.uint64(0xFFFFFFFF)
+
+
+def units(data: np.ndarray, at: np.ndarray) -> Words:
+    """The units of texts in a row."""
+    w = words(LOWER[data], at)
+    size = w.end - w.start
+    long = size > LONG
+    if not long.any():
+        return w
+    n = size[long]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(w.start[long], n) + inner
+    starts = (data[place] & 0xC0) != 0x80  # where characters begin
+    place, part = place[starts], inner[starts] // PIECE
+    first = np.ones(len(place), bool)
+    first[1:] = (part[1:] != part[:-1]) | (place[1:] - place[:-1] > 4)
+    start = np.sort(np.concatenate((w.start[~long], place[first])))
+    # A piece ends where the next begins, or with its word.
+    end = np.minimum(np.append(start[1:], len(data)), w.end[np.searchsorted(w.start, start, side="right") - 1])
+    return Words(w.data, start, end, np.searchsorted(start, at))
+
+
+def salt_of(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _by_language(batch: pa.RecordBatch, column: str = "lang"):
-    """(language, its rows, their texts); a null language is the empty string's."""
-    langs = batch.column(column).fill_null("").to_pylist()
-    texts = batch.column("text").fill_null("").to_pylist()
-    for lang in dict.fromkeys(langs):
-        rows = [i for i, x in enumerate(langs) if x == lang]
-        yield lang, rows, [texts[i] for i in rows]
+@dataclass
+class Tongues:
+    """Languages with a model of their own, by number; all others have number 0."""
 
+    names: list[str]
 
-class _Counts:
-    """Counted keys of one task, by language; merged whenever many are held."""
+    def __post_init__(self):
+        self.number = {x: k + 1 for k, x in enumerate(self.names)}
+        self.salts = np.array([salt_of(""), *(salt_of("=" + x) for x in self.names)], np.uint64)
 
-    def __init__(self):
-        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def of(self, langs: list[str]) -> np.ndarray:
+        return np.array([self.number.get(x, 0) for x in langs], np.int64)
 
-    def add(self, lang: str, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        held = self.held.setdefault(lang, [])
-        held.append(np.unique(keys, return_counts=True) if counts is None else (keys, counts))
-        if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1 << 20, len(held[0][0])):
-            self.held[lang] = [self.merged(lang)]
 
-    def merged(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate([k for k, _ in self.held[lang]]), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, back, np.concatenate([c for _, c in self.held[lang]]))
-        return keys, counts
+@dataclass
+class Sequence:
+    """Units of texts in a row: their hashes, of the one before each and of the one before that, and each unit's language."""
 
+    bounds: np.ndarray
+    unit: np.ndarray
+    before: np.ndarray
+    earlier: np.ndarray
+    tongue: np.ndarray
 
-COUNTED = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("cells", pa.binary())])
-COUNTED_DDL = "lang string, piece int, cells binary"
 
+def sequence(data: np.ndarray, at: np.ndarray, tongue: np.ndarray, salts: np.ndarray) -> Sequence:
+    """A text is preceded by its language's mark, twice."""
+    w = units(data, at)
+    n = w.counts()
+    each = np.repeat(tongue, n)
+    unit = mix(w.hashes() ^ salts[each])
+    first = w.bounds[:-1][n > 0]
+    before = np.roll(unit, 1)
+    before[first] = salts[each[first]]
+    earlier = np.roll(before, 1)
+    earlier[first] = salts[each[first]]
+    return Sequence(w.bounds, unit, before, earlier, each)
 
-def _packed(lang: str, keys: np.ndarray, counts: np.ndarray):
-    cut = np.searchsorted(keys, np.arange((KEYS >> LOG_PIECE) + 1) << LOG_PIECE)
-    for piece in np.flatnonzero(np.diff(cut)).tolist():
-        low, high = cut[piece], cut[piece + 1]
-        body = np.diff(keys[low:high], prepend=np.int32(piece << LOG_PIECE)).astype(np.uint16).tobytes() + counts[low:high].astype(np.int64).tobytes()
-        yield lang, piece, zlib.compress(body, 1)
 
+def pair_keys(before: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    return (before & ~LOW_WORD) | (unit >> np.uint64(32))
 
-def _unpacked(piece: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    body = zlib.decompress(body)
-    n = len(body) // 10
-    return (piece << LOG_PIECE) + np.cumsum(np.frombuffer(body, np.uint16, n).astype(np.int64)), np.frombuffer(body, np.int64, n, 2 * n)
 
+def _parts(batches, tongues: Tongues):
+    """Parts of text with their sequences; and the keys: their units."""
+    for batch in slices(batches):
+        data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
+        found = sequence(data, at, tongues.of(batch.column(batch.schema.get_field_index("lang")).to_pylist()), tongues.salts)
+        yield (batch, found), found.unit
+
+
+def _segments(batches, tongues: Tongues):
+    """(parts, name, and for each language its number, its units' places, keys of pairs and what stands before)."""
+    for segment in ranges.segments(_parts(batches, tongues), UNITS_EACH):
+        found = [x for (_, x), _ in segment]
+        tongue, unit, before, earlier = (np.concatenate([getattr(x, c) for x in found]) for c in ("tongue", "unit", "before", "earlier"))
+        each = []
+        for t in np.unique(tongue).tolist():
+            place = np.flatnonzero(tongue == t)
+            each.append((t, place, unit[place], pair_keys(before[place], unit[place]), earlier[place]))
+        yield [part for part, _ in segment], ranges.name_of(unit), each
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns in a row, each with its length."""
+    body = b"".join(np.uint32(len(c)).tobytes() + ranges.planes(c) for c in columns)
+    return zlib.compress(body, 1)
+
+
+def _unpacked(body: bytes, *kinds: type) -> list[np.ndarray]:
+    body, at, out = zlib.decompress(body), 0, []
+    for kind in kinds:
+        n = int(np.frombuffer(body, np.uint32, 1, at)[0])
+        size = n * np.dtype(kind).itemsize
+        out.append(ranges.from_planes(body[at + 4 : at + 4 + size], kind, n))
+        at += 4 + size
+    return out
 
-def _rows(found) -> pa.RecordBatch:
-    lang, piece, cells = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(piece, pa.int32()), pa.array(cells, pa.binary())], schema=COUNTED)
 
+def _cuts(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(piece, low, high) of sorted keys, by their bits above ``shift``."""
+    piece = (keys >> np.uint64(shift)).astype(np.int64)
+    edge = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(keys)]
+    return [(int(piece[low]), low, high) for low, high in zip(edge[:-1], edge[1:], strict=True) if high > low]
 
-def _count(batches):
-    counts = _Counts()
-    for batch in slices(batches):
-        for lang, _, texts in _by_language(batch):
-            counts.add(lang, ngram_keys(texts)[0])
-    for lang in counts.held:
-        if found := list(_packed(lang, *counts.merged(lang))):
-            yield _rows(found)
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
 
-def _merge(batches):
-    total: dict[tuple[str, int], np.ndarray] = {}
-    for batch in batches:
-        for lang, piece, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, counts = _unpacked(piece, body)
-            total.setdefault((lang, piece), np.zeros(1 << LOG_PIECE, np.int64))[keys - (piece << LOG_PIECE)] += counts
-    for (lang, piece), counts in total.items():
-        keys = np.flatnonzero(counts)
-        yield _rows(list(_packed(lang, keys + (piece << LOG_PIECE), counts[keys])))
 
+def _ask_pairs(tongues: Tongues, log_pieces: int, turn: int):
+    """A segment's distinct pairs, with what stands before each, to the pieces whose turn it is."""
+
+    def scan(batches):
+        for _, seg, each in _segments(batches, tongues):
+            rows = []
+            for t, _, _, key, earlier in each:
+                keys, back = np.unique(key, return_inverse=True)
+                triple = np.unique((back.astype(np.uint64) << np.uint64(BEFORE)) | (earlier & np.uint64((1 << BEFORE) - 1)))
+                owner, mark = (triple >> np.uint64(BEFORE)).astype(np.int64), triple.astype(np.uint16)
+                n = np.bincount(owner, minlength=len(keys))
+                first = np.append(0, np.cumsum(n))
+                for piece, low, high in _cuts(keys, 64 - log_pieces):
+                    if piece % PASSES == turn:
+                        rows.append((seg, t, piece, _packed(_gaps(keys[low:high]), np.minimum(n[low:high] - 1, 65535).astype(np.uint16), mark[first[low] : first[high]])))
+            yield ranges.batch_of(rows)
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """Counts of every language's n-grams over whole texts, in packed pieces of the key range."""
-    partial = docs.select("lang", "text").mapInArrow(_count, COUNTED_DDL)
-    return written(partial.repartition("lang", "piece").mapInArrow(_merge, COUNTED_DDL), "ngrams")
+    return scan
 
 
-@dataclass
-class Model:
-    """Log probabilities of a language: of n-grams seen, in key order; of others by back-off.
+def code(x: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: their logarithms to a two-thousandth, one more than that; 0 for none."""
+    return np.where(x > 0, np.rint(2048 * np.log(np.maximum(x, 1))) + 1, 0).astype(np.uint16)
+
+
+def decoded(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, np.rint(np.exp((x.astype(float) - 1) / 2048)), 0)
+
 
-    ``follow`` has a bit for each symbol seen after a context, ``first`` where the context's n-grams
-    begin in the sorted arrays; together they give an n-gram's place without a search.
+def _by_context(keys: np.ndarray) -> np.ndarray:
+    """Where each context's pairs begin in sorted keys."""
+    context = keys >> np.uint64(32)
+    return np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(keys)])
+
+
+def modelled(bodies):
+    """One piece of the model: answers to the segments, and, for none of them, the piece itself.
+
+    Of k different marks of 16 bits, as many units stood before as make k likeliest (linear counting).
     """
+    found = [_unpacked(body, np.uint64, np.uint16, np.uint16) for _, body in bodies]
+    own = [np.cumsum(gaps) for gaps, _, _ in found]
+    keys, back = np.unique(np.concatenate(own), return_inverse=True)
+    each = np.concatenate([n.astype(np.int64) + 1 for _, n, _ in found])
+    triple = np.unique((np.repeat(back, each).astype(np.uint64) << np.uint64(BEFORE)) | np.concatenate([m for _, _, m in found]))
+    k = np.bincount((triple >> np.uint64(BEFORE)).astype(np.int64), minlength=len(keys))
+    count = np.maximum(1, np.rint(-65536 * np.log1p(-np.minimum(k, 65535) / 65536))).astype(np.int64)
+    first = _by_context(keys)
+    stats = np.stack([np.add.reduceat(x, first) for x in (count, count == 1, count == 2, count >= 3)]).astype(np.int64)
+    context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    codes, stats = code(count), code(stats)
+    used = 0
+    for (seg, _), mine in zip(bodies, own, strict=True):
+        at = back[used : used + len(mine)]
+        used += len(mine)
+        yield seg, _packed(codes[at], *stats[:, context[at[_by_context(mine)]]])
+    yield None, _packed(_gaps(keys), count.astype(np.uint32))
 
-    log_seen: np.ndarray
-    follow: np.ndarray
-    first: np.ndarray
-    log_back: np.ndarray
-    log_lower: np.ndarray
-
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
-        context, symbol = keys >> BITS, (keys & (SYMBOLS - 1)).astype(np.uint64)
-        after = self.follow[context]
-        seen = (after >> symbol) & np.uint64(1) > 0
-        out = self.log_back[context] + self.log_lower[keys & (KEYS // SYMBOLS - 1)]
-        below = np.bitwise_count(after & ((np.uint64(1) << symbol) - np.uint64(1)))
-        place = self.first[context] + below
-        out[seen] = self.log_seen[place[seen]]
-        return out
+
+def _model_part(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, count = _unpacked(body, np.uint64, np.uint32)
+    return np.cumsum(gaps), count
+
+
+def _counts_of_counts(n: np.ndarray) -> list[int]:
+    """How many of the counts are 1, 2, 3 and 4, how many there are, and their sum."""
+    return [*np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist(), len(n), int(n.sum())]
+
+
+STATS = ("n1", "n2", "n3", "n4", "kinds", "total")
+STATS_DDL = "row int, " + ", ".join(f"{c} long" for c in STATS)
+
+
+def _pair_stats(batches):
+    schema = pa.schema([("row", pa.int32()), *((c, pa.int64()) for c in STATS)])
+    for batch in batches:
+        yield ranges.batch_of([(t, *_counts_of_counts(_model_part(b)[1])) for t, b in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True)], schema)
+
+
+def _unit_rows(seg, t: int, unit: np.ndarray, counts, log_pieces: int) -> list[tuple]:
+    mask = np.uint64((1 << (32 - log_pieces)) - 1)
+    return [(seg, t, piece, ranges.packed((unit[low:high] & mask).astype(np.int64), None if counts is None else counts[low:high])) for piece, low, high in _cuts(unit, 32 - log_pieces)]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def _count_units(log_pieces: int):
+    """How many contexts of a piece of the model each unit has."""
+
+    def scan(batches):
+        for batch in batches:
+            for t, body in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                yield ranges.batch_of(_unit_rows(None, t, *np.unique(_model_part(body)[0] & LOW_WORD, return_counts=True), log_pieces))
+
+    return scan
+
+
+def _ask_units(tongues: Tongues, log_pieces: int):
+    def scan(batches):
+        for _, seg, each in _segments(batches, tongues):
+            yield ranges.batch_of([row for t, _, unit, _, _ in each for row in _unit_rows(seg, t, np.unique(unit >> np.uint64(32)), None, log_pieces)])
+
+    return scan
+
+
+def _unit_totals(bodies):
+    """Totals of one piece's units: answers to the segments, and, for none of them, counts of counts."""
+    parts = [(seg, *ranges.unpacked(body)) for seg, body in bodies]
+    counted = [(at, n) for _, at, n in parts if n is not None]
+    unit, back = np.unique(np.concatenate([at for at, _ in counted] or [np.zeros(0, np.int64)]), return_inverse=True)
+    total = np.bincount(back, np.concatenate([n for _, n in counted] or [np.zeros(0)]), len(unit)).astype(np.int64)
+    for seg, at, n in parts:
+        if n is None:
+            place = np.minimum(np.searchsorted(unit, at), max(0, len(unit) - 1))
+            yield seg, _packed(code(np.where(unit[place] == at, total[place], 0) if len(unit) else np.zeros(len(at))))
+    yield None, np.array(_counts_of_counts(total), np.int64).tobytes()
+
+
+def _unit_stats(batches):
+    schema = pa.schema([("row", pa.int32()), *((c, pa.int64()) for c in STATS)])
+    for batch in batches:
+        yield ranges.batch_of([(t, *np.frombuffer(b, np.int64).tolist()) for t, b in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True)], schema)
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from the counts of counts 1 to 4.
 
     Where those don't determine one (none of a kind seen), the discount is a half.
     """
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[:5].astype(float)
-    if n[1] == 0 or n[2] == 0:
+    if not n1 or not n2:
         return np.array([0, 0.5, 0.5, 0.5])
-    y = n[1] / (n[1] + 2 * n[2])
+    y, n = n1 / (n1 + 2 * n2), (0, n1, n2, n3, n4)
     d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 for k in (1, 2, 3)]
     return np.array([0, *(min(max(x, 0.01), k - 0.01) for k, x in zip((1, 2, 3), d, strict=True))])
 
 
-def _interpolated(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray):
-    """For one order: probabilities of the keys seen, and the weight that each context leaves to ``lower``."""
-    d = discounts(counts)[np.minimum(counts, 3)]
-    context = keys >> BITS
-    contexts = max(1, lower.size)
-    total = np.bincount(context, counts, contexts)
-    left = np.where(total > 0, np.bincount(context, d, contexts) / np.maximum(total, 1), 1.0)
-    return (counts - d) / total[context] + left[context] * lower[keys & (lower.size - 1)], left
-
-
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of sorted keys and their counts. Lower orders use continuation counts, the lowest backs off to equal chances."""
-    lower, orders = np.full(1, 1 / SYMBOLS), []
-    for order in range(ORDER - 1, 0, -1):  # in how many ways each shorter n-gram is continued to the left
-        orders.append(np.unique((orders[-1][0] if orders else keys) & ((1 << (order * BITS)) - 1), return_counts=True))
-    for k, n in reversed(orders):
-        wide = np.zeros(lower.size * SYMBOLS)
-        if lower.size == 1:
-            d = discounts(n)[np.minimum(n, 3)]
-            wide[:] = d.sum() / n.sum() / SYMBOLS
-            wide[k] += (n - d) / n.sum()
-        else:
-            seen, left = _interpolated(k, n, lower)
-            wide[:] = np.repeat(left, SYMBOLS) * np.tile(lower, SYMBOLS)
-            wide[k] = seen
-        lower = wide
-    seen, left = _interpolated(keys, counts, lower)
-    context = keys >> BITS
-    follow = np.zeros(lower.size, np.uint64)
-    np.bitwise_or.at(follow, context, np.uint64(1) << (keys & (SYMBOLS - 1)).astype(np.uint64))
-    first = np.searchsorted(context, np.arange(lower.size)).astype(np.int32)
-    return Model(np.log(seen).astype(np.float32), follow, first, np.log(left).astype(np.float32), np.log(lower).astype(np.float32))
+def _taken(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(count, 3).astype(np.int64)]
+
+
+def chances(count: np.ndarray, context: np.ndarray, stats: np.ndarray, unit_count: np.ndarray, pair: tuple, unit: tuple) -> np.ndarray:
+    """Interpolated chances of pairs seen: of their counts, their contexts' totals and numbers of counts 1, 2, 3 or more, and their units' counts.
+
+    ``pair`` and ``unit``: ``STATS`` of the language. Units back off to equal chances for all kinds.
+    """
+    d, e = discounts(*pair[:4]), discounts(*unit[:4])
+    kinds, total = max(1, unit[4]), max(1, unit[5])
+    left = e[1] * unit[0] + e[2] * unit[1] + e[3] * (unit[4] - unit[0] - unit[1])
+    alone = (unit_count - _taken(unit_count, e) + left / kinds) / total
+    sums, rest = np.maximum(stats[0], 1), d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]
+    return (count - _taken(count, d) + rest[context] * alone) / sums[context]
+
+
+def _answered(told: list[str], counted: str, seg: str) -> dict[int, tuple]:
+    """For each language the answers on pairs (counts, and four numbers for each context) and on units."""
+    found: dict[int, tuple[list, list]] = {}
+    for (t, piece), body in sorted((key, body) for root in told for key, body in ranges.answer_rows(root, seg).items()):
+        found.setdefault(t, ([], []))[0].append(_unpacked(body, *[np.uint16] * 5))
+    for (t, _), body in ranges.answer_rows(counted, seg).items():
+        found.setdefault(t, ([], []))[1].append(decoded(_unpacked(body, np.uint16)[0]))
+    return {t: (*(decoded(np.concatenate(x)) for x in zip(*pairs, strict=True)), np.concatenate(alone)) for t, (pairs, alone) in found.items() if pairs and alone}
 
 
 def base_features(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -262,102 +349,92 @@ def base_features(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score(models):
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), ("log_perplexity", pa.float64()), ("score", pa.float64())])
+def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, unit_stats: dict):
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), ("log_perplexity", pa.float64()), ("answered", pa.bool_())])
+
+    def costs(seg: str, each: list) -> np.ndarray:
+        """What every unit of a segment costs; NaN where the segment has no answer."""
+        out, known = np.full(sum(len(place) for _, place, *_ in each), np.nan), _answered(told, counted, seg)
+        for t, place, unit, key, _ in each:
+            keys, back = np.unique(key, return_inverse=True)
+            count, *stats, alone = known.get(t, [()] * 6)
+            kinds, first = np.unique(unit >> np.uint64(32)), _by_context(keys)
+            if (len(count), len(stats[0]), len(alone)) == (len(keys), len(first), len(kinds)):
+                context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+                chance = chances(count, context, np.stack(stats), alone[np.searchsorted(kinds, keys & LOW_WORD)], pair_stats[t], unit_stats[t])
+                out[place] = -np.log(np.maximum(chance, 1e-30))[back]
+        return out
 
     def scan(batches):
-        for batch in slices(batches):
-            found = base_features(batch)
-            value, score, n = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan), found["n_words"]
-            for lang, rows, texts in _by_language(batch, "tongue"):
-                keys, bounds = ngram_keys(texts)
-                sums = np.append(0, np.cumsum(models.value[lang].log_probability(keys), dtype=np.float64))
-                cost, each, length = np.maximum(sums[bounds[:-1]] - sums[bounds[1:]], 1e-9), np.maximum(n[rows], 1), np.maximum(np.diff(bounds), 1)
-                value[rows] = np.where(n[rows] > 0, cost / each, np.nan)
-                score[rows] = np.where(n[rows] > 0, np.log(cost / length) + np.log(each / length), np.nan)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang").fill_null(""), *(pa.array(found[f], pa.int64()) for f in FEATURES), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (value, score))], schema=schema)
-
-    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + ", log_perplexity double, score double"
-
-
-def _slices_of(counted: DataFrame) -> list[list[str]]:
-    """Languages in groups whose models are broadcast together."""
-    sizes = counted.groupBy("lang").agg(F.sum(F.length("cells")).alias("n")).collect()
-    groups, room = [], 0
-    for lang, n in sorted((r["lang"], r["n"]) for r in sizes):
-        if not groups or n > room:
-            groups.append([])
-            room = MOST_PACKED
-        groups[-1].append(lang)
-        room -= n
-    return groups
-
-
-def _model_of(counted: DataFrame, langs: list[str]) -> dict[str, Model]:
-    held: dict[str, list] = {x: [] for x in langs}
-    for r in counted.where(F.col("lang").isin(langs)).toLocalIterator():
-        held[r["lang"]].append((r["piece"], *_unpacked(r["piece"], bytes(r["cells"]))))
-    out = {}
-    for lang, pieces in held.items():
-        pieces.sort(key=lambda p: p[0])
-        merged = _Counts()
-        merged.held[lang] = [(k, c) for _, k, c in pieces]
-        out[lang] = kneser_ney(*merged.merged(lang))
-    return out
+        for parts, seg, each in _segments(batches, tongues):
+            cost, used = costs(seg, each), 0
+            for batch, found in parts:
+                n = np.diff(found.bounds)
+                sums = np.append(0, np.cumsum(np.nan_to_num(cost[used : used + len(found.unit)], nan=np.inf)))
+                with np.errstate(invalid="ignore"):
+                    mean = np.maximum(sums[found.bounds[1:]] - sums[found.bounds[:-1]], 1e-9) / np.maximum(n, 1)
+                used += len(found.unit)
+                ok = np.isfinite(mean)
+                features = base_features(batch)
+                value = pa.array(mean, pa.float64(), mask=~ok | (n == 0))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang"), *(pa.array(features[f], pa.int64()) for f in FEATURES), value, pa.array(ok | (n == 0))], schema=schema)
+
+    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + ", log_perplexity double, answered boolean"
+
+
+def _stats(rows: DataFrame) -> dict[int, tuple]:
+    return {r["row"]: tuple(r[c] for c in STATS) for r in rows.groupBy("row").agg(*(F.sum(c).alias(c) for c in STATS)).collect()}
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 2.5, above: float = 2.5, least_docs: int = 20) -> DataFrame:
-    """``id``, ``text_hash``, the counted features, ``log_perplexity`` (natural
-    logarithm, for each word), ``score``, ``base_failed`` and ``kept`` of every row.
+def _scores(narrow: DataFrame, tongues: Tongues, log_pieces: int) -> DataFrame:
+    spark, unit_pieces = narrow.sparkSession, max(4, log_pieces - 4)
+    told = [ranges.answers(narrow.mapInArrow(_ask_pairs(tongues, log_pieces, turn), ranges.DDL), modelled) for turn in range(PASSES)]
+    model = ranges.unasked(spark, *told)
+    asked = model.mapInArrow(_count_units(unit_pieces), ranges.DDL).unionByName(narrow.mapInArrow(_ask_units(tongues, unit_pieces), ranges.DDL))
+    counted = ranges.answers(asked, _unit_totals)
+    pairs, alone = _stats(model.mapInArrow(_pair_stats, STATS_DDL)), _stats(ranges.unasked(spark, counted).mapInArrow(_unit_stats, STATS_DDL))
+    scan, schema = _score(tongues, told, counted, pairs, alone)
+    return written(narrow.mapInArrow(scan, schema), "scores")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 4.0, least_docs: int = 20) -> DataFrame:
+    """``id``, ``text_hash``, the counted features, ``log_perplexity`` (natural logarithm, for each
+    unit), ``base_failed``, ``kept`` and the band (``low``, ``high``) of every row.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in three-word windows that
-    occur twice. Of the others, those whose score lies outside the language's band are
-    rejected. The score is the logarithm of log perplexity for each symbol under the language's model
-    times words for each symbol: in either factor alone the quartiles of clean text are wider. The band reaches ``below`` times the distance of the quartiles
-    below the lower and ``above`` times it above the upper one, over all texts of the language that
-    passed the base rules; text padded with a few strings lies below it, text without the language's
-    common words above it; languages with fewer than ``least_docs`` of them have one band
-    together, and those with fewer than ``least_docs`` texts that could have 50 words one model, since
-    a model of few texts fits any of them.
-
-    Null texts are empty (no words: base_failed); a null language is one of its own; null and repeated
-    ids are judged like others. An empty table gives no rows.
+    occur twice. Of the others, those whose log perplexity lies outside the language's band are
+    rejected. The band reaches ``below`` times the distance of the quartiles below the lower and
+    ``above`` times it above the upper one, over all texts of the language that pass the base rules:
+    padding with a few strings lies below it, lists without sentences above. Languages with fewer
+    than ``least_docs`` of them have one band together, and those with fewer than ``least_docs``
+    texts that could have 50 words one model, since a model of few texts fits any of them.
+
+    Null texts are empty (no words: base_failed, log_perplexity null); a null language is the empty
+    string; null and repeated ids are judged like others; a text of any length is one row of one
+    segment. Languages are listed on the driver. An empty table gives no rows.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    many = [r["lang"] for r in narrow.where(F.length("text") >= LEAST_CHARS).groupBy("lang").count().where(F.col("count") >= least_docs).collect()]
-    tongue = F.when(F.col("lang").isin(many), F.concat(F.lit("="), "lang")).otherwise("")  # small languages have one model
-    narrow = narrow.withColumn("tongue", tongue)
-    counted = ngram_counts(narrow).withColumn("lang", tongue)
-    scored = None
-    groups = _slices_of(counted) or [[]]
-    known = [x for g in groups for x in g]
-    for langs in groups:
-        models = _model_of(counted, langs)
-        if langs == groups[-1]:  # with languages whose texts are all empty
-            where = ~F.col("tongue").isin([x for x in known if x not in langs]) if len(groups) > 1 else F.lit(True)
-            models[""] = models.get("") or kneser_ney(np.zeros(1, np.int64), np.ones(1, np.int64))
-        else:
-            where = F.col("tongue").isin(langs)
-        scan, schema = _score(spark.sparkContext.broadcast(_Known(models)))
-        part = narrow.where(where).mapInArrow(scan, schema)
-        scored = part if scored is None else scored.unionByName(part)
-    scored = written(scored.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "scores")
-    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("score") * 5000).alias("bin")).agg(F.count("*").alias("n"))
+    long = F.count(F.when(F.length("text") >= LEAST_CHARS, 1)).alias("long")
+    found = narrow.groupBy("lang").agg(long, F.sum(F.octet_length("text")).alias("size")).collect()
+    tongues = Tongues(sorted(r["lang"] for r in found if r["long"] >= least_docs))
+    log_pieces = max(5, (sum(r["size"] for r in found) // 6).bit_length() - ranges.LOG_KEYS)
+    scored = _scores(narrow, tongues, log_pieces)
+    if scored.where("NOT answered").limit(1).count():  # the table was read in other splits: once more, from a copy
+        scored = _scores(written(narrow, "quality-texts"), tongues, log_pieces)
+    scored = scored.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     bands = spark.createDataFrame(_bands(bins.collect(), below, above, least_docs), "lang string, low double, high double")
-    kept = F.expr("NOT base_failed AND score BETWEEN low AND high")
-    return scored.join(F.broadcast(bands), "lang", "left").withColumn("kept", kept)
-
+    kept = F.expr("NOT base_failed AND log_perplexity BETWEEN low AND high")
+    return scored.drop("answered").join(F.broadcast(bands), "lang", "left").withColumn("kept", kept)
 
-class _Known(dict):
-    """Models by language; a language without any n-gram has only empty texts and takes any model."""
 
-    def __missing__(self, lang: str) -> Model:
-        return next(iter(self.values()))
+#: Bins of the histogram in one nat.
+BINS = 2000
 
 
 def _bands(rows: list, below: float, above: float, least_docs: int) -> list[tuple[str, float, float]]:
-    """From histograms of a five-thousandth of the logarithmic score: some ten thousand bins for each language."""
+    """From histograms of the log perplexity: some ten thousand bins for each language."""
     by_lang: dict[str, Counter] = {}
     for r in rows:
         by_lang.setdefault(r["lang"], Counter())[r["bin"]] = r["n"]
@@ -368,8 +445,8 @@ def _bands(rows: list, below: float, above: float, least_docs: int) -> list[tupl
         if langs:
             at = np.array(sorted(bins))
             total = np.cumsum([bins[b] for b in at.tolist()])
-            low, high = (at[np.searchsorted(total, q * total[-1])] / 5000 for q in (0.25, 0.75))
-            width = max(high - low, 0.001)
+            low, high = (at[np.searchsorted(total, q * total[-1])] / BINS for q in (0.25, 0.75))
+            width = max(high - low, 0.01)
             out += [(lang, float(low - below * width), float(high + above * width)) for lang in langs]
     return out
 
@@ -385,4 +462,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"), F.round("score", 6).alias("score"))
+    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"))

@@ -14,6 +14,7 @@ in other splits than before, learns ``UNKNOWN``: its keys count as repeated, and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .store import scratch_path
 
@@ -79,27 +81,27 @@ def name_of(keys: np.ndarray) -> str:
     return hashlib.blake2b(np.ascontiguousarray(keys).tobytes(), digest_size=16).hexdigest()
 
 
-def _planes(values: np.ndarray) -> bytes:
+def planes(values: np.ndarray) -> bytes:
     """The values' first bytes, then their second ones, and so on: high bytes are mostly alike."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _from_planes(body: bytes, kind: type, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(-1, n).T).view(kind).reshape(-1)
+def from_planes(body: bytes, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind)
 
 
 def packed(cells: np.ndarray, counts: np.ndarray | None) -> bytes:
-    body = np.uint32(len(cells)).tobytes() + _planes(np.diff(cells, prepend=0).astype(np.uint32))
+    body = np.uint32(len(cells)).tobytes() + planes(np.diff(cells, prepend=0).astype(np.uint32))
     if counts is not None:
-        body += _planes(np.minimum(counts, 65535).astype(np.uint16))
+        body += planes(np.minimum(counts, 65535).astype(np.uint16))
     return zlib.compress(body, 1)
 
 
 def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray | None]:
     body = zlib.decompress(body)
     n = int(np.frombuffer(body, np.uint32, 1)[0])
-    cells = np.cumsum(_from_planes(body[4 : 4 + 4 * n], np.uint32, n), dtype=np.int64)
-    return cells, _from_planes(body[4 + 4 * n :], np.uint16, n) if len(body) > 4 + 4 * n else None
+    cells = np.cumsum(from_planes(body[4 : 4 + 4 * n], np.uint32, n), dtype=np.int64)
+    return cells, from_planes(body[4 + 4 * n :], np.uint16, n) if len(body) > 4 + 4 * n else None
 
 
 def questions(keys: np.ndarray, ranges: Ranges, counted: bool = True, asked: bool = True) -> list[tuple]:
@@ -164,11 +166,18 @@ def answers(asked: DataFrame, of) -> str:
     """Deals questions to their pieces and writes the answers by segment; the folder they lie in."""
     path = scratch_path(asked.sparkSession, "answers")
     dealt = asked.select(*SCHEMA.names).repartition("row", "piece").sortWithinPartitions("row", "piece")
-    dealt.mapInArrow(by_piece(of), DDL).repartition("seg").write.partitionBy("seg").parquet(path)
+    given = dealt.mapInArrow(by_piece(of), DDL).repartition("seg", F.when(F.col("seg").isNull(), F.col("piece")))
+    given.write.partitionBy("seg").parquet(path)
     asked.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files
     return path
 
 
+def unasked(spark: SparkSession, *roots: str) -> DataFrame:
+    """What pieces gave for no segment: row, piece and body."""
+    found = [spark.read.schema(DDL).parquet(root).where("seg IS NULL") for root in roots]
+    return functools.reduce(DataFrame.unionByName, found).select("row", "piece", "body")
+
+
 def answer_rows(root: str, seg: str) -> dict[tuple[int, int], bytes]:
     """A segment's answers by (row, piece), in order; none where it has none."""
     import pyarrow.parquet as pq
