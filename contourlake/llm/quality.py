@@ -34,7 +34,7 @@ LEAST_CHARS = 99
 #: Longer words are cut, into pieces of so many bytes.
 LONG, PIECE = 32, 6
 #: The contexts are counted in so many passes, which divides what is shuffled at once.
-PASSES = 2
+PASSES = 4
 #: Units of one segment.
 UNITS_EACH = 1 << 21
 BEFORE = 16

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import scratch_path
+from .store import release, scratch_path
 
 #: Multipliers of the sketch's rows: odd 64-bit numbers.
 ROWS = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,7 +168,7 @@ def answers(asked: DataFrame, of) -> str:
     dealt = asked.select(*SCHEMA.names).repartition("row", "piece").sortWithinPartitions("row", "piece")
     given = dealt.mapInArrow(by_piece(of), DDL).repartition("seg", F.when(F.col("seg").isNull(), F.col("piece")))
     given.write.partitionBy("seg").parquet(path)
-    asked.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files
+    release(asked.sparkSession, 0.3)
     return path
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession, patience: float = 0.0) -> None:
+    """Has Spark delete the shuffle files that nothing needs any more, as it does once the driver has collected their handles.
+
+    The last job's handles go in a second collection, after ``patience`` seconds in which its events pass.
+    """
+    spark.sparkContext._jvm.System.gc()
+    if patience:
+        time.sleep(patience)
+        spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     """``df`` written once to shared storage and read back: its lineage ends here, and losing an executor loses nothing.
 
@@ -34,6 +46,5 @@ def written(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
-    # Nothing needs the shuffle files behind the table any more; Spark deletes them once the driver has collected their handles.
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
