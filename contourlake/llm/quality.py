@@ -162,14 +162,15 @@ def _ask_pairs(tongues: Tongues, log_pieces: int, turn: int):
         for _, seg, each in _segments(batches, tongues):
             rows = []
             for t, _, _, key, earlier in each:
-                keys, back = np.unique(key, return_inverse=True)
+                mine = (key >> np.uint64(64 - log_pieces)) % np.uint64(PASSES) == turn
+                keys, back = np.unique(key[mine], return_inverse=True)
+                earlier = earlier[mine]
                 triple = np.unique((back.astype(np.uint64) << np.uint64(BEFORE)) | (earlier & np.uint64((1 << BEFORE) - 1)))
                 owner, mark = (triple >> np.uint64(BEFORE)).astype(np.int64), triple.astype(np.uint16)
                 n = np.bincount(owner, minlength=len(keys))
                 first = np.append(0, np.cumsum(n))
                 for piece, low, high in _cuts(keys, 64 - log_pieces):
-                    if piece % PASSES == turn:
-                        rows.append((seg, t, piece, _packed(_gaps(keys[low:high]), np.minimum(n[low:high] - 1, 65535).astype(np.uint16), mark[first[low] : first[high]])))
+                    rows.append((seg, t, piece, _packed(_gaps(keys[low:high]), np.minimum(n[low:high] - 1, 65535).astype(np.uint16), mark[first[low] : first[high]])))
             yield ranges.batch_of(rows)
 
     return scan
@@ -293,17 +294,23 @@ def _taken(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(count, 3).astype(np.int64)]
 
 
-def chances(count: np.ndarray, context: np.ndarray, stats: np.ndarray, unit_count: np.ndarray, pair: tuple, unit: tuple) -> np.ndarray:
+def chances(count: np.ndarray, context: np.ndarray, stats: np.ndarray, unit_count: np.ndarray, pair: tuple, unit: tuple, held_out: bool = False) -> np.ndarray:
     """Interpolated chances of pairs seen: of their counts, their contexts' totals and numbers of counts 1, 2, 3 or more, and their units' counts.
 
     ``pair`` and ``unit``: ``STATS`` of the language. Units back off to equal chances for all kinds.
+    ``held_out``: as if each pair had been counted once less, so that what one text alone has is unseen.
     """
     d, e = discounts(*pair[:4]), discounts(*unit[:4])
     kinds, total = max(1, unit[4]), max(1, unit[5])
     left = e[1] * unit[0] + e[2] * unit[1] + e[3] * (unit[4] - unit[0] - unit[1])
+    sums, ones, twos, more = stats[:, context]
+    if held_out:
+        ones, twos, more = ones - (count == 1) + (count == 2), twos - (count == 2) + (count == 3), more - (count == 3)
+        unit_count = np.maximum(unit_count - (count == 1), 0)
+        count, sums = np.maximum(count - 1, 0), np.maximum(sums - 1, 0)
     alone = (unit_count - _taken(unit_count, e) + left / kinds) / total
-    sums, rest = np.maximum(stats[0], 1), d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]
-    return (count - _taken(count, d) + rest[context] * alone) / sums[context]
+    rest = d[1] * np.maximum(ones, 0) + d[2] * np.maximum(twos, 0) + d[3] * np.maximum(more, 0)
+    return np.where(sums > 0, (count - _taken(count, d) + rest * alone) / np.maximum(sums, 1), alone)
 
 
 def _answered(told: list[str], counted: str, seg: str) -> dict[int, tuple]:
@@ -349,20 +356,25 @@ def base_features(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+#: Log perplexity held out, and with the text's own counts.
+MEASURES = ("log_perplexity", "own_log_perplexity")
+
+
 def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, unit_stats: dict):
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), ("log_perplexity", pa.float64()), ("answered", pa.bool_())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), *((c, pa.float64()) for c in MEASURES), ("answered", pa.bool_())])
 
     def costs(seg: str, each: list) -> np.ndarray:
-        """What every unit of a segment costs; NaN where the segment has no answer."""
-        out, known = np.full(sum(len(place) for _, place, *_ in each), np.nan), _answered(told, counted, seg)
+        """What every unit of a segment costs, held out and with its own counts; infinite where the segment has no answer."""
+        out, known = np.full((2, sum(len(place) for _, place, *_ in each)), np.inf), _answered(told, counted, seg)
         for t, place, unit, key, _ in each:
             keys, back = np.unique(key, return_inverse=True)
             count, *stats, alone = known.get(t, [()] * 6)
             kinds, first = np.unique(unit >> np.uint64(32)), _by_context(keys)
             if (len(count), len(stats[0]), len(alone)) == (len(keys), len(first), len(kinds)):
                 context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-                chance = chances(count, context, np.stack(stats), alone[np.searchsorted(kinds, keys & LOW_WORD)], pair_stats[t], unit_stats[t])
-                out[place] = -np.log(np.maximum(chance, 1e-30))[back]
+                alone = alone[np.searchsorted(kinds, keys & LOW_WORD)]
+                for row, held_out in zip(out, (True, False), strict=True):
+                    row[place] = -np.log(np.maximum(chances(count, context, np.stack(stats), alone, pair_stats[t], unit_stats[t], held_out), 1e-30))[back]
         return out
 
     def scan(batches):
@@ -370,16 +382,16 @@ def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, un
             cost, used = costs(seg, each), 0
             for batch, found in parts:
                 n = np.diff(found.bounds)
-                sums = np.append(0, np.cumsum(np.nan_to_num(cost[used : used + len(found.unit)], nan=np.inf)))
-                with np.errstate(invalid="ignore"):
-                    mean = np.maximum(sums[found.bounds[1:]] - sums[found.bounds[:-1]], 1e-9) / np.maximum(n, 1)
+                sums = np.append(np.zeros((2, 1)), np.cumsum(cost[:, used : used + len(found.unit)], axis=1), axis=1)
                 used += len(found.unit)
-                ok = np.isfinite(mean)
+                ok = np.isfinite(sums[0, found.bounds[1:]]) | (n == 0)
+                with np.errstate(invalid="ignore"):
+                    mean = (sums[:, found.bounds[1:]] - sums[:, found.bounds[:-1]]) / np.maximum(n, 1)
                 features = base_features(batch)
-                value = pa.array(mean, pa.float64(), mask=~ok | (n == 0))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang"), *(pa.array(features[f], pa.int64()) for f in FEATURES), value, pa.array(ok | (n == 0))], schema=schema)
+                values = [pa.array(x, pa.float64(), mask=~ok | (n == 0)) for x in mean]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang"), *(pa.array(features[f], pa.int64()) for f in FEATURES), *values, pa.array(ok)], schema=schema)
 
-    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + ", log_perplexity double, answered boolean"
+    return scan, "id long, text_hash long, lang string, " + ", ".join(f"{f} long" for f in FEATURES) + "".join(f", {c} double" for c in MEASURES) + ", answered boolean"
 
 
 def _stats(rows: DataFrame) -> dict[int, tuple]:
@@ -398,18 +410,20 @@ def _scores(narrow: DataFrame, tongues: Tongues, log_pieces: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 4.0, above: float = 4.0, least_docs: int = 20) -> DataFrame:
-    """``id``, ``text_hash``, the counted features, ``log_perplexity`` (natural logarithm, for each
-    unit), ``base_failed``, ``kept`` and the band (``low``, ``high``) of every row.
+    """``id``, ``text_hash``, the counted features, ``log_perplexity`` and ``own_log_perplexity`` (natural
+    logarithms, for each unit), ``base_failed``, ``kept`` and both bands of every row.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in three-word windows that
-    occur twice. Of the others, those whose log perplexity lies outside the language's band are
-    rejected. The band reaches ``below`` times the distance of the quartiles below the lower and
-    ``above`` times it above the upper one, over all texts of the language that pass the base rules:
-    padding with a few strings lies below it, lists without sentences above. Languages with fewer
-    than ``least_docs`` of them have one band together, and those with fewer than ``least_docs``
-    texts that could have 50 words one model, since a model of few texts fits any of them.
-
-    Null texts are empty (no words: base_failed, log_perplexity null); a null language is the empty
+    occur twice. Of the others, those are rejected that lie outside the language's band in either
+    measure. One is held out: a pair that only one text has counts as unseen, so strings that no other
+    text has lie above its band. The other takes counts as they are: padding with a few strings lies
+    below its band, lists without sentences above. A band reaches ``below`` times the distance of the
+    quartiles below the lower and ``above`` times it above the upper one, over all texts of the
+    language that pass the base rules. Languages with fewer than ``least_docs`` of them have one band
+    together, and those with fewer than ``least_docs`` texts that could have 50 words one model, since
+    a model of few texts fits any of them.
+
+    Null texts are empty (no words: base_failed, both measures null); a null language is the empty
     string; null and repeated ids are judged like others; a text of any length is one row of one
     segment. Languages are listed on the driver. An empty table gives no rows.
     """
@@ -423,10 +437,15 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     if scored.where("NOT answered").limit(1).count():  # the table was read in other splits: once more, from a copy
         scored = _scores(written(narrow, "quality-texts"), tongues, log_pieces)
     scored = scored.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    bands = spark.createDataFrame(_bands(bins.collect(), below, above, least_docs), "lang string, low double, high double")
-    kept = F.expr("NOT base_failed AND log_perplexity BETWEEN low AND high")
-    return scored.drop("answered").join(F.broadcast(bands), "lang", "left").withColumn("kept", kept)
+    kept = F.expr("NOT base_failed")
+    scored = scored.drop("answered")
+    for measure in MEASURES:
+        low, high = f"{measure}_low", f"{measure}_high"
+        bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col(measure) * BINS).alias("bin")).agg(F.count("*").alias("n"))
+        bands = spark.createDataFrame(_bands(bins.collect(), below, above, least_docs), f"lang string, {low} double, {high} double")
+        scored = scored.join(F.broadcast(bands), "lang", "left")
+        kept &= F.col(measure).between(F.col(low), F.col(high))
+    return scored.withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
 #: Bins of the histogram in one nat.
@@ -462,4 +481,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"))
+    return found.select(F.col("id").alias("doc_id"), *FEATURES, "base_failed", "kept", *(F.round(c, 6).alias(c) for c in MEASURES))
