@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -40,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: Members of a bucket that are compared pair by pair, and of a block of a larger one.
-FEW, BLOCK = 48, 256
+FEW, BLOCK = 48, 512
 
 
 def blocks(live: DataFrame) -> DataFrame:
@@ -69,21 +69,25 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(common).astype(np.int64)
 
 
+def apart(groups: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Which two members of a unit are of different groups and, in a unit of two blocks, of different blocks."""
+    return (groups[:, None] != groups[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
+
+
 def joined_within(sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray, num: int, den: int, candidates: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """(root, member) positions that connect what similarity connects in a unit: fewer than it has members.
 
-    Pairs count that are of different groups and, in a unit of two blocks, of different blocks; of
-    these only ``candidates``, where they are given. Sets without a candidate aren't looked at.
+    Only ``candidates``, where they are given, are pairs; sets without one aren't looked at.
     """
-    size = np.array([len(s) for s in sets])
-    apart = (groups[:, None] != groups[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
-    apart &= (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :])) if candidates is None else candidates
-    live = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
-    linked = np.zeros_like(apart)
+    size, may = np.array([len(s) for s in sets]), apart(groups, block)
+    if candidates is not None:
+        may &= candidates
+    live = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
+    linked = np.zeros_like(may)
     if len(live):
         common = common_counts([sets[k] for k in live])
         linked[np.ix_(live, live)] = den * common >= num * (size[live][:, None] + size[live][None, :] - common)
-        linked &= apart
+    linked &= may
     linked |= linked.T
     root = np.full(len(sets), -1)
     for start in range(len(sets)):
@@ -117,45 +121,50 @@ def by_unit(links: Callable[[list[tuple]], Iterator[tuple]], columns: tuple[str,
     return scan
 
 
-def linking(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], comparable: str, rounds: int = 4, verified_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
-    """Verified links that connect all members whom links connect; those within a group may be left out.
+def _ends(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
 
-    ``postings``: token, id, n (a size) of the tokens that two members or more have. ``verified`` keeps
-    the linked ones of distinct pairs (a, b), a < b; ``comparable`` is SQL over two sizes n and m.
-    ``verified_blocks``, where there is one, connects what is linked across groups within the units
-    of ``blocks``; large buckets go to it, so that members travel rather than pairs.
+def linking(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], comparable: str, verified_blocks: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame | None:
+    """Verified links that connect all members whom links connect; those within a group may be left out. None where no token is shared.
 
-    In each round every token whose members are of several groups proposes one of them as a hub, and
-    each member is compared with the hub that most of its tokens propose; links merge groups. When few
-    pairs across groups are left, or a round did not halve them, all of those are compared. So a large
-    group of near copies that hubs can join costs its size, not its square, and pairs that no group
-    joins are all judged.
+    ``postings``: token, id, n (a size). ``verified`` keeps the linked ones of distinct pairs (a, b),
+    a < b; ``comparable`` is SQL over two sizes n and m. ``verified_blocks`` connects what is linked
+    across groups within the units of ``blocks``.
+
+    In buckets (all members of a token) of up to ``FEW``, all pairs are judged: fewer than 24 for each
+    row. Of larger ones, each round has the tokens whose members are of several groups propose one of
+    them as a hub, and each member is compared with the hub that most of its tokens propose; links
+    merge groups. What is left in several groups at last, or when a round did not halve the pairs across
+    groups, goes to blocks, where members travel rather than pairs. So a large group of near copies that
+    hubs can join costs its size, not its square, and pairs that no group joins are all judged.
     """
-    links, grouped, before = None, postings.withColumn("group", F.col("id")), None
-    most = 64 * postings.count()
+    counted = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    live = written(postings.join(counted, "token"), "live")
+    if not live.limit(1).count():
+        return None
+    small, large = live.where(F.col("k") <= FEW), live.where(F.col("k") > FEW)
+    left, right = (small.select("token", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
+    links = verified(written(left.join(right, "token").where(F.expr(f"a < b AND {comparable}")).select("a", "b").distinct(), "pairs"))
+    if not large.limit(1).count():
+        return links
+    before = None
     for round_ in range(rounds):
+        groups = components(links)
+        links = groups.select(*_ends(F.col("id"), F.col("component")))
+        grouped = written(large.select("token", "id", "n").join(groups.withColumnRenamed("component", "group"), "id", "left").select("token", "id", "n", F.coalesce("group", "id").alias("group")), "grouped")
         by_group = grouped.groupBy("token", "group").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(round_)), "id", "n")).alias("hub"))
         mixed = by_group.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.expr("k * k")).alias("kk"), F.min("hub").alias("hub")).where("k * k > kk")
         mixed = written(mixed.select("token", "k", F.expr("(k * k - kk) / 2").alias("across"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("m")), "mixed")
         across, n = mixed.agg(F.sum("across"), F.count("*")).first()
         if not n:
             return links
-        live = written(grouped.join(mixed, "token").select("token", "k", "id", "n", "group", "hub", "m"), "live")
-        if across <= most or round_ == rounds - 1 or (before is not None and 2 * across > before):
-            small = live if verified_blocks is None else live.where(F.col("k") <= FEW)
-            left = small.select("token", F.col("id").alias("a"), "n", F.col("group").alias("ga"))
-            right = small.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("group").alias("gb"))
-            pairs = left.join(right, "token").where(F.expr(f"a < b AND ga != gb AND {comparable}")).select("a", "b").distinct()
-            found = verified(written(pairs, "across"))
-            if verified_blocks is not None:
-                found = found.unionByName(verified_blocks(blocks(live.where(F.col("k") > FEW))))
-            return found if links is None else links.unionByName(found)
+        live = written(grouped.join(mixed, "token").select("token", "k", "id", "n", "group", "hub", "m"), "mixed-members")
+        if round_ == rounds - 1 or (before is not None and 2 * across > before):
+            return links.unionByName(verified_blocks(blocks(live)))
         before = across
         votes = live.where(F.expr(f"id != hub AND {comparable}")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
         best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub")).alias("best"))
-        pairs = best.select(F.least("id", "best.hub").alias("a"), F.greatest("id", "best.hub").alias("b")).distinct()
-        found = verified(written(pairs, "hubs"))
-        links = written(found if links is None else links.unionByName(found), "links")
-        groups = components(links)
-        grouped = written(live.select("token", "id", "n").join(groups.withColumnRenamed("component", "group"), "id", "left").select("token", "id", "n", F.coalesce("group", "id").alias("group")), "grouped")
+        found = verified(written(best.select(*_ends(F.col("id"), F.col("best.hub"))).distinct(), "hubs"))
+        links = links.unionByName(found)
     return links

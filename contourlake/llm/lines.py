@@ -330,7 +330,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dealt = units.join(bodies, "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
-    links = linking(postings, verified, "true", rounds, verified_blocks)
+    links = linking(postings, verified, "true", verified_blocks, rounds)
     leaders = lines.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"))
     if links is None:
         chosen = leaders.where("copies > 1").select("line", F.col("first").alias("keep"))

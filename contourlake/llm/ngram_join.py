@@ -99,8 +99,7 @@ def _second_scan(n: int, num: int, den: int, told: ranges.Answers):
 
     def row(i, s: np.ndarray, prefix: np.ndarray) -> tuple:
         second = (s[: region(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
-        third = (np.sort(mix(s ^ SECOND))[: prefix_length(len(s), num, den)] >> np.uint64(32)).astype(np.uint32).tobytes()
-        return i, len(s), prefix.view(np.int64), second, third, s.tobytes()
+        return i, len(s), prefix.view(np.int64), second, third_prefix(s, num, den).tobytes(), s.tobytes()
 
     def scan(batches):
         for segment in ranges.segments(_low(batches, n)):
@@ -150,19 +149,23 @@ def _sharing(num: int, den: int):
     return scan
 
 
+def third_prefix(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    return (np.sort(mix(s ^ SECOND))[: prefix_length(len(s), num, den)] >> np.uint64(32)).astype(np.uint32)
+
+
 def _alike_blocks(num: int, den: int):
-    """What connects the linked members of each unit, given with whole sets."""
+    """What connects the linked members of each unit, given with whole sets; pairs must share prefix tokens under the second and the third order too."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(rows: list[tuple]):
-        ids, groups, block, tokens, second, third = zip(*rows, strict=True)
+        ids, groups, block, tokens = zip(*rows, strict=True)
         sets = [np.frombuffer(t, np.uint64) for t in tokens]
-        prefixes = [np.frombuffer(x, np.uint32)[: prefix_length(len(s), num, den)] for x, s in zip(second, sets, strict=True)]
-        candidates = (common_counts(prefixes) > 0) & (common_counts([np.frombuffer(x, np.uint32) for x in third]) > 0)
+        second = common_counts([s[: prefix_length(len(s), num, den)] for s in sets]) > 0
+        candidates = second & (common_counts([third_prefix(s, num, den) for s in sets]) > 0)
         for i, j in joined_within(sets, np.array(groups), np.array(block), num, den, candidates):
             yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
-    return by_unit(links, ("id", "group", "block", "tokens", "second", "third"), schema)
+    return by_unit(links, ("id", "group", "block", "tokens"), schema)
 
 
 def _alike(num: int, den: int):
@@ -213,14 +216,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(narrow.mapInArrow(scan, schema), "sets")
     speaking = sets.select("id", "n", "prefix").join(speakers.select(F.col("speaker").alias("id")).distinct(), "id", "left_semi")
     postings = written(speaking.select(F.explode("prefix").alias("token"), "id", "n"), "postings")
-    shared = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    postings = written(postings.join(shared, "token"), "shared-tokens")
+
+    verified = _verified(sets, num, den)
 
     def verified_blocks(units: DataFrame) -> DataFrame:
-        dealt = units.join(sets.select("id", "tokens", "second", "third"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        dealt = units.join(sets.select("id", "tokens"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
-    links = linking(postings, _verified(sets, num, den), f"{den} * least(n, m) >= {num} * greatest(n, m)", rounds, verified_blocks)
+    links = linking(postings, verified, f"{den} * least(n, m) >= {num} * greatest(n, m)", verified_blocks, rounds)
     classes = texts.join(speakers, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("speaker", "id")).otherwise(F.col("id"))
     named = classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("speaker"))
