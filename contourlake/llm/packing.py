@@ -214,8 +214,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """Pieces of the tokenised documents and where they lie: one row for each piece.
 
     A document's ids (null text: none) and ``end_id`` are cut into full windows and a rest. Pieces, of
-    which only lengths and checksums travel, are dealt by a hash of (id, start) into groups of about
-    ``per_group``; in each, best-fit decreasing fills windows of ``capacity``. A group leaves a window
+    which only lengths and checksums travel, are dealt by a hash of their row's number into groups of about
+    ``per_group``, equal rows too; in each, best-fit decreasing fills windows of ``capacity``. A group leaves a window
     or so partly empty, the others are full to a few tokens. Texts may be of any length: what one task
     holds is bounded by ``per_group`` pieces. Rows that share an id, and null ids, are packed like
     others. An empty table gives no rows. ``sequence_id`` is the group's number and the window's in it.
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = written(narrow.mapInArrow(_pieces(tokenizer, capacity, end_id), DDL), "pieces")
     groups = max(1, math.ceil(pieces.count() / per_group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(_place(capacity), f"{DDL}, sequence_id long, offset long")
 
 

@@ -37,22 +37,24 @@ def shard(docs: DataFrame, key: str, weights: list[float], order: str | None = N
     one shard and differ in slot. An empty table gives no rows; columns of ``docs`` named like an
     output column are replaced.
     """
-    spark, order = docs.sparkSession, order or key
-    placed = docs.withColumn("shard", rendezvous(F.col(key), weights))
-    ranged = placed.repartitionByRange(F.col("shard"), F.col(order)).sortWithinPartitions("shard", order)
-    numbered = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "shards")
-    first = numbered.groupBy("_part", "shard").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    spark, kept = docs.sparkSession, [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")  # so that no column of ``docs`` meets one of these
+    placed = docs.select(row, rendezvous(F.col(f"`{key}`"), weights).alias("shard"), F.col(f"`{order or key}`").alias("order"))
+    ranged = placed.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
+    numbered = written(ranged.select("row", "shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("number")), "shards")
+    first = numbered.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("number").alias("first"))
     # One row for each range and shard: ranges number as partitions do, not as rows.
-    ranges = spark.createDataFrame(_offsets(first.collect()), "_part int, shard int, _first long, _base long")
-    return numbered.join(F.broadcast(ranges), ["_part", "shard"]).withColumn("slot", F.col("_row") - F.col("_first") + F.col("_base")).drop("_part", "_row", "_first", "_base")
+    ranges = spark.createDataFrame(_offsets(first.collect()), "part int, shard int, first long, base long")
+    joined = numbered.join(F.broadcast(ranges), ["part", "shard"])
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in kept), "shard", F.expr("number - first + base").alias("slot"))
 
 
 def _offsets(rows: list) -> list[tuple[int, int, int, int]]:
     out, at, last = [], 0, None
-    for r in sorted(rows, key=lambda r: (r["shard"], r["_part"])):
+    for r in sorted(rows, key=lambda r: (r["shard"], r["part"])):
         at = at if r["shard"] == last else 0
-        out.append((r["_part"], r["shard"], r["_first"], at))
-        at, last = at + r["_n"], r["shard"]
+        out.append((r["part"], r["shard"], r["first"], at))
+        at, last = at + r["n"], r["shard"]
     return out
 
 

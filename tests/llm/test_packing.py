@@ -78,3 +78,9 @@ def test_whole_table(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert op7_packing(spark, stored(spark, tmp_path, [])).count() == 0
+
+
+def test_equal_rows_share_no_group(spark):
+    out = pack(frame(spark, [(1, "a few words", None, None, 0)] * 300), per_group=20)
+    sizes = [r["count"] for r in out.groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 60

@@ -54,3 +54,13 @@ def test_one_key_for_all_and_empty(spark, tmp_path):
     out = shard(same, "doc_id", [1.0] * 5).collect()
     assert sorted(r["slot"] for r in out) == list(range(50)) and len({r["shard"] for r in out}) == 1
     assert op10_sharding(spark, stored(spark, tmp_path, [])).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark).selectExpr("doc_id", *(f"'old' AS `{n}`" for n in ("SHARD", "slot", "_base", "part", "number", "row", "order", "base")))
+    out = shard(docs, "doc_id", [1.0] * 5)
+    assert out.columns == ["doc_id", "_base", "part", "number", "row", "order", "base", "shard", "slot"]
+    rows = out.collect()
+    assert len(rows) == docs.count() and {r["base"] for r in rows} == {"old"}
+    for k in range(5):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
