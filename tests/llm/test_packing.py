@@ -6,9 +6,11 @@ import numpy as np
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from contourlake.llm.packing import WordIds, best_fit_decreasing, op7_packing
+from pyspark.sql import functions as F
 
-from .fixtures import documents, prose, stored
+from contourlake.llm.packing import WordIds, best_fit_decreasing, op7_packing, pack
+
+from .fixtures import documents, frame, prose, stored
 
 FILE = path("word_bpe_49k.json")
 
