@@ -36,7 +36,7 @@ LONG, PIECE = 32, 6
 #: The contexts are counted in so many passes, which divides what is shuffled at once.
 PASSES = 4
 #: Units of one segment.
-UNITS_EACH = 1 << 21
+UNITS_EACH = 3 << 19
 BEFORE = 16
 LOW_WORD = np.uint64(0xFFFFFFFF)
 
@@ -94,7 +94,7 @@ def sequence(data: np.ndarray, at: np.ndarray, tongue: np.ndarray, salts: np.nda
     """A text is preceded by its language's mark, twice."""
     w = units(data, at)
     n = w.counts()
-    each = np.repeat(tongue, n)
+    each = np.repeat(tongue.astype(np.int32), n)
     unit = mix(w.hashes() ^ salts[each])
     first = w.bounds[:-1][n > 0]
     before = np.roll(unit, 1)
@@ -116,16 +116,33 @@ def _parts(batches, tongues: Tongues):
         yield (batch, found), found.unit
 
 
+@dataclass
+class Segment:
+    """Parts with where their texts' units begin, the name, and all units in a row."""
+
+    parts: list[tuple[pa.RecordBatch, np.ndarray]]
+    name: str
+    whole: Sequence
+
+    def tongues(self):
+        """For each language its number, its units' places, their hashes, keys of pairs and what stands before; one language is held at a time."""
+        for t in np.unique(self.whole.tongue).tolist():
+            place = np.flatnonzero(self.whole.tongue == t)
+            unit = self.whole.unit[place]
+            yield t, place, unit, pair_keys(self.whole.before[place], unit), self.whole.earlier[place]
+
+
 def _segments(batches, tongues: Tongues):
-    """(parts, name, and for each language its number, its units' places, keys of pairs and what stands before)."""
-    for segment in ranges.segments(_parts(batches, tongues), UNITS_EACH):
-        found = [x for (_, x), _ in segment]
-        tongue, unit, before, earlier = (np.concatenate([getattr(x, c) for x in found]) for c in ("tongue", "unit", "before", "earlier"))
-        each = []
-        for t in np.unique(tongue).tolist():
-            place = np.flatnonzero(tongue == t)
-            each.append((t, place, unit[place], pair_keys(before[place], unit[place]), earlier[place]))
-        yield [part for part, _ in segment], ranges.name_of(unit), each
+    for held in ranges.segments(_parts(batches, tongues), UNITS_EACH):
+        columns = []
+        for c in ("unit", "before", "earlier", "tongue"):
+            columns.append(np.concatenate([getattr(x, c) for (_, x), _ in held]))
+            if c != "unit":
+                for (_, x), _ in held:
+                    setattr(x, c, None)
+        parts, whole = [(batch, x.bounds) for (batch, x), _ in held], Sequence(np.zeros(0, np.int64), *columns)
+        held.clear()  # its own units go too
+        yield Segment(parts, ranges.name_of(whole.unit), whole)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -159,9 +176,9 @@ def _ask_pairs(tongues: Tongues, log_pieces: int, turn: int):
     """A segment's distinct pairs, with what stands before each, to the pieces whose turn it is."""
 
     def scan(batches):
-        for _, seg, each in _segments(batches, tongues):
-            rows = []
-            for t, _, _, key, earlier in each:
+        for segment in _segments(batches, tongues):
+            rows, seg = [], segment.name
+            for t, _, _, key, earlier in segment.tongues():
                 mine = (key >> np.uint64(64 - log_pieces)) % np.uint64(PASSES) == turn
                 keys, back = np.unique(key[mine], return_inverse=True)
                 earlier = earlier[mine]
@@ -253,8 +270,8 @@ def _count_units(log_pieces: int):
 
 def _ask_units(tongues: Tongues, log_pieces: int):
     def scan(batches):
-        for _, seg, each in _segments(batches, tongues):
-            yield ranges.batch_of([row for t, _, unit, _, _ in each for row in _unit_rows(seg, t, np.unique(unit >> np.uint64(32)), None, log_pieces)])
+        for segment in _segments(batches, tongues):
+            yield ranges.batch_of([row for t, _, unit, _, _ in segment.tongues() for row in _unit_rows(segment.name, t, np.unique(unit >> np.uint64(32)), None, log_pieces)])
 
     return scan
 
@@ -363,10 +380,10 @@ MEASURES = ("log_perplexity", "own_log_perplexity")
 def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, unit_stats: dict):
     schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((f, pa.int64()) for f in FEATURES), *((c, pa.float64()) for c in MEASURES), ("answered", pa.bool_())])
 
-    def costs(seg: str, each: list) -> np.ndarray:
+    def costs(segment: Segment) -> np.ndarray:
         """What every unit of a segment costs, held out and with its own counts; infinite where the segment has no answer."""
-        out, known = np.full((2, sum(len(place) for _, place, *_ in each)), np.inf), _answered(told, counted, seg)
-        for t, place, unit, key, _ in each:
+        out, known = np.full((2, len(segment.whole.unit)), np.inf), _answered(told, counted, segment.name)
+        for t, place, unit, key, _ in segment.tongues():
             keys, back = np.unique(key, return_inverse=True)
             count, *stats, alone = known.get(t, [()] * 6)
             kinds, first = np.unique(unit >> np.uint64(32)), _by_context(keys)
@@ -378,15 +395,15 @@ def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, un
         return out
 
     def scan(batches):
-        for parts, seg, each in _segments(batches, tongues):
-            cost, used = costs(seg, each), 0
-            for batch, found in parts:
-                n = np.diff(found.bounds)
-                sums = np.append(np.zeros((2, 1)), np.cumsum(cost[:, used : used + len(found.unit)], axis=1), axis=1)
-                used += len(found.unit)
-                ok = np.isfinite(sums[0, found.bounds[1:]]) | (n == 0)
+        for segment in _segments(batches, tongues):
+            cost, used = costs(segment), 0
+            for batch, bounds in segment.parts:
+                n = np.diff(bounds)
+                sums = np.append(np.zeros((2, 1)), np.cumsum(cost[:, used : used + int(bounds[-1])], axis=1), axis=1)
+                used += int(bounds[-1])
+                ok = np.isfinite(sums[0, bounds[1:]]) | (n == 0)
                 with np.errstate(invalid="ignore"):
-                    mean = (sums[:, found.bounds[1:]] - sums[:, found.bounds[:-1]]) / np.maximum(n, 1)
+                    mean = (sums[:, bounds[1:]] - sums[:, bounds[:-1]]) / np.maximum(n, 1)
                 features = base_features(batch)
                 values = [pa.array(x, pa.float64(), mask=~ok | (n == 0)) for x in mean]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), batch.column("lang"), *(pa.array(features[f], pa.int64()) for f in FEATURES), *values, pa.array(ok)], schema=schema)
