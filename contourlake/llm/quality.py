@@ -36,7 +36,7 @@ LONG, PIECE = 32, 6
 #: The contexts are counted in so many passes, which divides what is shuffled at once.
 PASSES = 4
 #: Units of one segment.
-UNITS_EACH = 3 << 19
+UNITS_EACH = 3 << 18
 BEFORE = 16
 LOW_WORD = np.uint64(0xFFFFFFFF)
 
@@ -397,6 +397,7 @@ def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, un
     def scan(batches):
         for segment in _segments(batches, tongues):
             cost, used = costs(segment), 0
+            segment.whole = None
             for batch, bounds in segment.parts:
                 n = np.diff(bounds)
                 sums = np.append(np.zeros((2, 1)), np.cumsum(cost[:, used : used + int(bounds[-1])], axis=1), axis=1)
