@@ -147,7 +147,7 @@ def tongue(n, seed, function_words=True, mark=""):
     out = []
     for _ in range(n):
         common = function_words and rng.random() < 0.5
-        out.append(rng.choice(["the", "of", "and", "to", "in", "is"]) if common else "".join(rng.choice(["er", "on", "an", "re", "ti", "nd", "ea", "ou", "st", "en", "at", "ha"]) for _ in range(rng.randint(1, 2 if function_words else 3))))
+        out.append(rng.choice(["the", "of", "and", "to", "in", "is"]) if common else "".join(rng.choice(["er", "on", "an", "re", "ti", "nd", "ea", "ou", "st", "en", "at", "ha"]) for _ in range(rng.randint(*((1, 2) if function_words else (2, 4))))))
     return " ".join(w + mark for w in out)
 
 
