@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +28,21 @@ def conclusion_words(texts: DataFrame, source: str, text: str, stems=STEMS, name
     body = F.col("body")
     for name in sorted(names, key=len, reverse=True):
         body = F.regexp_replace(body, re.escape(name), " " * len(name))
-    words = lines.select("source", (F.col("_line") + 1).alias("line"), F.posexplode(F.regexp_extract_all(body, F.lit("[A-Za-z]+"), F.lit(0))).alias("_k", "word"), F.split(body, "[A-Za-z]+", -1).alias("_between"), F.regexp_extract_all(body, F.lit("[A-Za-z]+"), F.lit(0)).alias("_words"))
-    begins = F.lit(False)
-    for stem in stems:
-        begins = begins | F.lower("word").startswith(stem)
-    found = words.where(begins & ~F.lower("word").isin(*not_meant))
-    before = F.aggregate(F.slice("_between", F.lit(1), F.col("_k") + 1), F.lit(0), lambda n, s: n + F.length(s)) + F.aggregate(F.slice("_words", F.lit(1), F.col("_k")), F.lit(0), lambda n, s: n + F.length(s))
-    return found.select("source", "line", (before + 1).alias("column"), "word")
+    parts = lines.select("source", (F.col("_line") + 1).alias("line"), F.regexp_extract_all(body, F.lit("[A-Za-z]+"), F.lit(0)).alias("_words"), F.split(body, "[A-Za-z]+", -1).alias("_between"))
+
+    def meant(word: Column) -> Column:
+        begins = F.lit(False)
+        for stem in stems:
+            begins = begins | F.lower(word).startswith(stem)
+        return begins & ~F.lower(word).isin(*not_meant)
+
+    def length(strings: str, n: Column) -> Column:
+        return F.aggregate(F.slice(strings, F.lit(1), n), F.lit(0), lambda total, s: total + F.length(s))
+
+    # Words are chosen by their index within the line, so that no row carries its line's words for each of them.
+    chosen = F.filter(F.transform("_words", lambda word, k: F.struct(k.alias("k"), word.alias("word"))), lambda x: meant(x["word"]))
+    placed = F.transform(chosen, lambda x: F.struct((length("_between", x["k"] + 1) + length("_words", x["k"]) + 1).alias("column"), x["word"].alias("word")))
+    return parts.select("source", "line", F.explode(placed).alias("found")).select("source", "line", "found.column", "found.word")
 
 
 def conclusion_fields(schema: T.StructType, stems=STEMS, not_meant=NOT_MEANT) -> list[str]:
