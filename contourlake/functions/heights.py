@@ -294,12 +294,14 @@ def cell_bounds(n: int, grid: int) -> np.ndarray:
 FLAT = 1e-12
 
 
-def _correlations(sums) -> np.ndarray:
+def _correlations(sums, mean_x: float = 0.0, mean_y: float = 0.0) -> np.ndarray:
+    """Correlations from six sums over values less ``mean_x`` and ``mean_y``; whether there is variance is asked of the values as measured."""
     n, sx, sy, sxx, syy, sxy = sums
+    measured_xx, measured_yy = sxx + mean_x * (2 * sx + n * mean_x), syy + mean_y * (2 * sy + n * mean_y)
     with np.errstate(invalid="ignore", divide="ignore"):
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
         out = (sxy - sx * sy / n) / np.sqrt(vx * vy)
-    out[(n < 1) | (vx <= FLAT * sxx) | (vy <= FLAT * syy)] = np.nan
+    out[(n < 1) | (vx <= FLAT * measured_xx) | (vy <= FLAT * measured_yy)] = np.nan
     return np.clip(out, -1.0, 1.0)
 
 
@@ -314,8 +316,8 @@ class Searched:
         self.limit = limit
         padded = np.pad(reference, limit, constant_values=np.nan)
         self.seen = (~np.isnan(padded)).astype(float)
-        mean = float(np.nanmean(reference)) if self.seen.any() else 0.0
-        self.value = np.where(self.seen > 0, np.nan_to_num(padded) - mean, 0.0)
+        self.mean = float(np.nanmean(reference)) if self.seen.any() else 0.0
+        self.value = np.where(self.seen > 0, np.nan_to_num(padded) - self.mean, 0.0)
 
     def place(self, tile: np.ndarray, top: int, left: int, least: int) -> tuple[int, int, float, int] | None:
         """Best (down, across, correlation, overlap) of the tile within the limit; ties go to the first in raster order."""
@@ -337,7 +339,7 @@ class Searched:
             g = np.conj(np.fft.rfft2(tiles, shape))
             products = np.fft.irfft2(f[:, None] * g[None, :], shape)[:, :, :side, :side].reshape(3, 3, -1)
         n = np.rint(products[0, 0])
-        out = _correlations((n, products[0, 1], products[1, 0], products[0, 2], products[2, 0], products[1, 1]))
+        out = _correlations((n, products[0, 1], products[1, 0], products[0, 2], products[2, 0], products[1, 1]), mean, self.mean)
         out[n < least] = np.nan
         if np.isnan(out).all():
             return None
@@ -378,11 +380,12 @@ def compared(subject, reference, grid: int, minimum_valid: float):
     f = np.fft.rfft2(np.stack([seen, value, value * value]))
     for i, j, top, left, tile in tiles(subject, grid, minimum_valid):
         own = (~np.isnan(tile)).astype(float)
-        centred = np.where(own > 0, np.nan_to_num(tile) - float(np.nanmean(tile)), 0.0)
+        mean_here = float(np.nanmean(tile))
+        centred = np.where(own > 0, np.nan_to_num(tile) - mean_here, 0.0)
         g = np.conj(np.fft.rfft2(np.stack([own, centred, centred * centred]), (rows, cols)))
         p = np.fft.irfft2(f[:, None] * g[None, :], (rows, cols))[:, :, : rows - tile.shape[0] + 1, : cols - tile.shape[1] + 1]
         n = np.rint(p[0, 0])
-        out = _correlations((n, p[0, 1], p[1, 0], p[0, 2], p[2, 0], p[1, 1]))
+        out = _correlations((n, p[0, 1], p[1, 0], p[0, 2], p[2, 0], p[1, 1]), mean_here, mean)
         out[n < max(1, math.ceil(minimum_valid * tile.size))] = np.nan
         if not np.isnan(out).all():
             r, c = np.unravel_index(int(np.nanargmax(np.round(out, 12))), out.shape)

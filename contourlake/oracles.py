@@ -130,8 +130,10 @@ ORACLES = {
     "chain_trim_frame": _without("r < 3 OR r >= n_rows - 3 OR c < 3 OR c >= 61"),
     "chain_mask_marks": _without(f"{BAND} OR sqrt(y * y + (x - 50.0) * (x - 50.0)) <= 41.0"),
     "mask_pin_fixed": _without("sqrt((y - 10.0) * (y - 10.0) + (x + 20.0) * (x + 20.0)) <= 37.0"),
-    "outlier_local": _field("""SELECT surface_id, r, c, CASE WHEN abs(h - m) > 3.0 * s THEN NULL ELSE h END AS h FROM e LEFT JOIN
-      (SELECT a.surface_id, a.r, a.c, median(b.h) AS m, mad(b.h) AS s FROM e a, range(-2, 3) AS dr(i), range(-2, 3) AS dc(j), e b WHERE b.surface_id = a.surface_id AND b.r = a.r + i AND b.c = a.c + j AND b.h IS NOT NULL GROUP BY 1, 2, 3) USING (surface_id, r, c)"""),
+    "outlier_local": _field(
+        "SELECT surface_id, r, c, CASE WHEN abs(h - m) > 3.0 * s THEN NULL ELSE h END AS h FROM e LEFT JOIN (SELECT surface_id, r, c, median(v) AS m, mad(v) AS s FROM near GROUP BY 1, 2, 3) USING (surface_id, r, c)",
+        "near AS MATERIALIZED (SELECT surface_id, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c, h AS v FROM e, range(-2, 3) AS dr(i), range(-2, 3) AS dc(j) WHERE h IS NOT NULL)",
+    ),
     "chain_level_plane": f"WITH {FIELD}{PLANE}",
     "gauss_smooth": _field("SELECT e.surface_id, e.r, e.c, round(g.h, 6) AS h FROM e LEFT JOIN g USING (surface_id, r, c)", _smooth("g", 12.0)),
     "bandpass_linear": _field("SELECT e.surface_id, e.r, e.c, CASE WHEN e.h IS NOT NULL THEN round(s.h - l.h, 6) END AS h FROM e LEFT JOIN s USING (surface_id, r, c) LEFT JOIN l USING (surface_id, r, c)", _smooth("s", 8.0), _smooth("l", 16.0)),

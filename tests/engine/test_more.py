@@ -103,3 +103,16 @@ def test_interval_of_200_resamples_leaves_the_extremes_out(spark, tmp_path, monk
     assert last > 150 and found["unusable"] == 200 - len(draws)
     assert [found["low"], found["high"]] == pytest.approx([draws[math.floor(0.025 * last)], draws[math.ceil(0.975 * last)]], abs=1e-6)
     assert draws[0] < found["low"] < found["high"] < draws[-1]
+
+
+def test_nearly_flat_fields_far_from_zero_have_no_correlation():
+    rng = np.random.default_rng(5)
+    noise = rng.normal(size=(24, 24))
+    for spread, found in ((1e-7, False), (1.0, True)):
+        h = 1000.0 + spread * noise
+        searched = H.Searched(h, 2)
+        assert (searched.place(h[6:14, 6:14], 6, 6, 1) is not None) == found
+        assert bool(list(H.compared(h, h, 3, 0.5))) == found
+        assert bool(list(H.placements(h, h, 0.0, 3, 0.5, 2))) == found
+        x = h[6:14, 6:14].ravel()
+        assert (np.var(x) > H.FLAT * np.mean(x * x)) == found
