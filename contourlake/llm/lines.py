@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ SHINGLE, BANDS, ROWS = 5, 20, 8
 BINS = BANDS * ROWS
 #: Lines whose signatures are made at once, which bounds memory when lines are short.
 LINES_AT_ONCE = 4096
+#: Bytes of lines that are compared at once, which bounds memory when lines are long.
+BYTES_AT_ONCE = 1 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Odd factors of a shingle's characters.
 FACTORS = np.random.default_rng(5).integers(0, 2**31, SHINGLE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -113,10 +116,23 @@ def tokens(bands: list[bytes]) -> np.ndarray:
     return mix(keys | (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))).reshape(-1)
 
 
+def portions(sizes: np.ndarray, most: int):
+    """(low, high) of neighbours that have about ``BYTES_AT_ONCE`` bytes, or a single one more, and number ``most`` at most."""
+    at, low = np.append(0, np.cumsum(sizes)), 0
+    while low < len(sizes):
+        high = int(np.searchsorted(at, at[low] + BYTES_AT_ONCE, side="right")) - 1
+        high = max(low + 1, min(high, low + most))
+        yield low, high
+        low = high
+
+
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each normal line."""
-    h, bounds = shingle_hashes(lines)
-    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    out = []
+    for low, high in portions(np.array([len(x) for x in lines], np.int64), LINES_AT_ONCE):
+        h, bounds = shingle_hashes(lines[low:high])
+        out += [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return out
 
 
 def similar_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -270,10 +286,11 @@ def _bodies(told: ranges.Answers):
 def _alike(num: int, den: int):
     def scan(batches):
         for batch in batches:
-            x, y, keep = batch.column("x").to_pylist(), batch.column("y").to_pylist(), []
-            for low in range(0, len(x), LINES_AT_ONCE // 2):
+            x, y, keep = batch.column("x"), batch.column("y"), []
+            sizes = sum(pa.compute.binary_length(side).to_numpy(zero_copy_only=False).astype(np.int64) for side in (x, y))
+            for low, high in portions(sizes, LINES_AT_ONCE // 2):
                 number: dict[bytes, int] = {}
-                a, b = (np.array([number.setdefault(t, len(number)) for t in side[low : low + LINES_AT_ONCE // 2]], np.int64) for side in (x, y))
+                a, b = (np.array([number.setdefault(t, len(number)) for t in side.slice(low, high - low).to_pylist()], np.int64) for side in (x, y))
                 keep.append(similar_pairs(list(number), a, b, num, den))
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
