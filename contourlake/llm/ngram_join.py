@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ranges
-from .components import by_unit, common_counts, components, joined_within, linking
+from .components import apart, by_unit, common_counts, components, joined_within, linking
 from .kernels import LOWER, grams, inside, mix, slices, text_buffer, words
 from .store import table, written
 
@@ -153,8 +153,38 @@ def third_prefix(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return (np.sort(mix(s ^ SECOND))[: prefix_length(len(s), num, den)] >> np.uint64(32)).astype(np.uint32)
 
 
+def may_link_within(second: list[np.ndarray], third: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each two members of a unit what ``_may_link`` and the third order say of a pair.
+
+    Of equal 32-bit tokens within a set one is counted; the bound is raised by as many as both sets may lack.
+    """
+    prefixes = [s[: prefix_length(int(k), num, den)] for s, k in zip(second, n, strict=True)]
+    ends = np.array([s[-1] for s in second])
+    twice = np.array([int((s[1:] == s[:-1]).sum()) for s in second])
+    rest = n[:, None] - np.stack([np.searchsorted(s, ends, side="right") for s in second])
+    most = common_counts(second) + np.minimum(rest, rest.T) + np.minimum(twice[:, None], twice[None, :])
+    enough = den * most >= num * (n[:, None] + n[None, :] - most)
+    return enough & (common_counts(prefixes) > 0) & (common_counts(third) > 0)
+
+
+UNIT = pa.schema([("token", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("id", pa.int64()), ("group", pa.int64()), ("block", pa.int32())])
+UNIT_DDL = "token long, low int, high int, id long, group long, block int"
+
+
+def _may_link_blocks(num: int, den: int):
+    """The members of each unit that may link with another by all three orders; whole sets are asked of these only."""
+
+    def members(rows: list[tuple]):
+        *_, groups, block, n, second, third = zip(*rows, strict=True)
+        second, third = ([np.frombuffer(x, np.uint32) for x in column] for column in (second, third))
+        may = apart(np.array(groups), np.array(block)) & may_link_within(second, third, np.array(n), num, den)
+        return (rows[k][: len(UNIT)] for k in np.flatnonzero(may.any(axis=0) | may.any(axis=1)).tolist())
+
+    return by_unit(members, (*UNIT.names, "n", "second", "third"), UNIT)
+
+
 def _alike_blocks(num: int, den: int):
-    """What connects the linked members of each unit, given with whole sets; pairs must share prefix tokens under the second and the third order too."""
+    """What connects the linked members of each unit, given with whole sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(rows: list[tuple]):
@@ -220,8 +250,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verified = _verified(sets, num, den)
 
     def verified_blocks(units: DataFrame) -> DataFrame:
-        dealt = units.join(sets.select("id", "tokens"), "id").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-        return written(dealt.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
+        unit = ("token", "low", "high")
+        dealt = units.join(sets.select("id", "n", "second", "third"), "id").repartition(*unit).sortWithinPartitions(*unit)
+        members = written(dealt.mapInArrow(_may_link_blocks(num, den), UNIT_DDL), "block-candidates")
+        whole = members.join(sets.select("id", "tokens"), "id").repartition(*unit).sortWithinPartitions(*unit)
+        return written(whole.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
     links = linking(postings, verified, f"{den} * least(n, m) >= {num} * greatest(n, m)", verified_blocks, rounds)
     classes = texts.join(speakers, "digest", "left")

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from contourlake.llm import components
+from contourlake.llm import components, lines
 from contourlake.llm.lines import drop_similar_lines, line_decisions, normal, op8_line_dedup, shingle_sets, similar_pairs
 
 from .fixtures import documents, edited, frame, prose, stored
@@ -92,3 +92,15 @@ def test_similarity():
 
 def test_empty_table(spark, tmp_path):
     assert op8_line_dedup(spark, stored(spark, tmp_path, [])).count() == 0
+
+
+def test_long_lines_are_compared_in_portions(monkeypatch):
+    monkeypatch.setattr(lines, "BYTES_AT_ONCE", 100)
+    sizes = np.array([5, 300, 40, 50, 20, 1, 1, 1, 0, 90])
+    cut = list(lines.portions(sizes, 3))
+    assert [k for low, high in cut for k in range(low, high)] == list(range(len(sizes)))
+    assert all(high - low <= 3 and (high - low == 1 or sizes[low:high].sum() <= 100) for low, high in cut)
+    assert list(lines.portions(sizes[:0], 3)) == []
+    texts = [b"a line of text %d" % k * (k % 7 + 1) for k in range(50)]
+    h, bounds = lines.shingle_hashes(texts)
+    assert all((a == np.unique(h[low:high])).all() for a, low, high in zip(lines.shingle_sets(texts), bounds[:-1], bounds[1:], strict=True))

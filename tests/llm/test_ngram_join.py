@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from contourlake.llm import components as module
@@ -85,3 +86,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).select("id", "component").collect())
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(51)}}
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_bounds_within_blocks_lose_no_pair():
+    """Every pair that links may link by the sketches, with repeated 32-bit tokens too; most unlike pairs may not."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    base[1] = base[0] ^ np.uint64(1)
+    base[21] = base[20] ^ np.uint64(1)
+    sets = [np.unique(np.concatenate((np.delete(base, rng.choice(len(base), k % 40, replace=False)), rng.integers(0, 2**64, k % 15, dtype=np.uint64)))) for k in range(60)]
+    sets += [np.unique(np.concatenate((base[:120], rng.integers(0, 2**64, 300, dtype=np.uint64)))) for _ in range(20)]
+    second = [(s[: ngram_join.region(len(s), 90, 100)] >> np.uint64(32)).astype(np.uint32) for s in sets]
+    third = [ngram_join.third_prefix(s, 90, 100) for s in sets]
+    may = ngram_join.may_link_within(second, third, np.array([len(s) for s in sets]), 90, 100)
+    linked = np.array([[100 * len(np.intersect1d(s, t)) >= 90 * len(np.union1d(s, t)) for t in sets] for s in sets])
+    assert not (linked & ~may).any()
+    assert linked[:60, :60].sum() > 60
+    assert not may[60:, :60].any()
