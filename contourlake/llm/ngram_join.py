@@ -24,6 +24,8 @@ from .store import table, written
 #: Tokens below have their frequency estimated; bytes of text for each of them, at least.
 LOW, BYTES_EACH = np.uint64(1 << 63), 8
 SECOND = np.uint64(0x5851F42D4C957F2D)
+#: Ids that are broadcast at most, 16 MB; where more sets are asked for, sets are shuffled to their ids.
+MOST_TOLD = 1 << 21
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int, column: int = 1) -> list[np.ndarray]:
@@ -218,8 +220,9 @@ def _verified(sets: DataFrame, num: int, den: int):
         second = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("second").alias("b2"), F.col("third").alias("b3"))
         first = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("second").alias("a2"), F.col("third").alias("a3"))
         shared = written(pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(_sharing(num, den), "a long, b long"), "shared-prefixes")
-        asked = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct()
-        whole = written(sets.select("id", "tokens").join(asked, "id", "left_semi"), "asked-sets")
+        asked = written(shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct(), "asked")
+        told = F.broadcast(asked) if asked.count() <= MOST_TOLD else asked
+        whole = written(sets.select("id", "tokens").join(told, "id", "left_semi"), "asked-sets")
         both = shared.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         return written(both.mapInArrow(_alike(num, den), "a long, b long"), "links")
 

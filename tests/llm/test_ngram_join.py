@@ -56,7 +56,9 @@ def test_equals_brute_force(spark, tmp_path):
     assert sorted(got, key=str) == brute(many())
 
 
-def test_other_parameters(spark):
+def test_other_parameters(spark, monkeypatch):
+    """And with more asked ids than are broadcast."""
+    monkeypatch.setattr(ngram_join, "MOST_TOLD", 0)
     got = [tuple(r) for r in jaccard_groups(frame(spark, many()), words_each=5, num=8, den=10, rounds=1).collect()]
     assert sorted(got, key=str) == brute(many(), 5, 8, 10)
 
