@@ -74,11 +74,12 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = GAP) -> Words:
+    """Runs of bytes that ``apart`` doesn't name, within each text."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    gap = GAP[data]
+    gap = apart[data]
     inside = ~gap
     before = np.empty(n, bool)
     after = np.empty(n, bool)
