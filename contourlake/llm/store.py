@@ -41,13 +41,13 @@ def release(spark: SparkSession, patience: float = 0.0) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
+def written(df: DataFrame, label: str, dictionary: bool = True, codec: str | None = None) -> DataFrame:
     """``df`` written once to shared storage and read back: its lineage ends here, and losing an executor loses nothing.
 
     Without ``dictionary``, for columns of hashes, Parquet doesn't try to find repeated values.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path, compression=codec)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)

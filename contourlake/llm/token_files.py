@@ -30,6 +30,9 @@ REMEMBERED_BYTES = 64 << 20
 #: Segments handled at once, of a text of any length.
 SEGMENTS = 1 << 20
 
+#: Tasks that read files.
+MOST_TASKS = 10_000
+
 _BYTES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3  # of each control byte: the four tokens' bytes, less one
 #: Bytes that follow a control byte.
 FOLLOWING = (_BYTES + 1).sum(1)
@@ -287,7 +290,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     most = max(most, end_id + 1)
     kind = "<u2" if most <= 1 << 16 else "<u4"
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    tokens = written(narrow.mapInArrow(_tokens(tokenizer, end_id, kind), "doc_id long, ids binary"), "tokens")
+    tokens = written(narrow.mapInArrow(_tokens(tokenizer, end_id, kind), "doc_id long, ids binary"), "tokens", dictionary=False, codec="zstd")
     counted = tokens.select("ids").mapInArrow(_frequencies(kind, most), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ranked = sorted(((r["id"], r["n"]) for r in counted), key=lambda r: (-r[1], r[0]))
     rank = np.zeros(most, "<u4")
@@ -332,7 +335,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ranked = spark.read.parquet(f"{folder}/ranks").collect()  # no longer than the vocabulary
     ids = np.zeros(len(ranked), "<u4")
     ids[[r["rank"] for r in ranked]] = [r["id"] for r in ranked]
-    files = token_files(spark, folder).select("file", "base").repartition("file")
+    n_files = spark.read.parquet(f"{folder}/files").count()
+    files = token_files(spark, folder).select("file", "base").repartition(max(1, min(n_files, MOST_TASKS)))  # by number, so that few rows aren't made one task
     return files.mapInArrow(_load(f"{folder}/data", ids), "doc_id long, start long, ids binary")
 
 
