@@ -21,30 +21,33 @@ def conclusion_words(texts: DataFrame, source: str, text: str, stems=STEMS, name
     """(source, line, column, word), counted from 1, of each word that begins with a stem.
 
     Attributed lines are skipped; declared names are blanked first, the longest first. Runs inside the
-    JVM: split, explode, and a split of each line at its words, whose lengths give the columns.
+    JVM: each line is split at the words that count, and one walk along the pieces adds up their lengths.
     """
     lines = texts.select(F.col(source).alias("source"), F.posexplode(F.split(F.coalesce(text, F.lit("")), LINE_END, -1)).alias("_line", "body"))
-    lines = lines.where(~F.col("body").rlike(ATTRIBUTED))
     body = F.col("body")
+    pattern = _meant(stems, not_meant)
+    lines = lines.where(body.rlike(pattern)).where(~body.rlike(ATTRIBUTED))
     for name in sorted(names, key=len, reverse=True):
         body = F.regexp_replace(body, re.escape(name), " " * len(name))
-    parts = lines.select("source", (F.col("_line") + 1).alias("line"), F.regexp_extract_all(body, F.lit("[A-Za-z]+"), F.lit(0)).alias("_words"), F.split(body, "[A-Za-z]+", -1).alias("_between"))
+    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("_words")
+    parts = lines.select("source", (F.col("_line") + 1).alias("line"), found, F.split(body, pattern, -1).alias("_between"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("columns"))
 
-    def meant(word: Column) -> Column:
-        begins = F.lit(False)
-        for stem in stems:
-            begins = begins | F.lower(word).startswith(stem)
-        return begins & ~F.lower(word).isin(*not_meant)
+    def step(state: Column, piece: Column) -> Column:
+        column = state["at"] + F.length(piece["_between"])
+        return F.struct((column + F.coalesce(F.length(piece["_words"]), F.lit(0))).alias("at"), F.concat(state["columns"], F.array(column)).alias("columns"))
 
-    def length(strings: str, n: Column) -> Column:
-        return F.aggregate(F.slice(strings, F.lit(1), n), F.lit(0), lambda total, s: total + F.length(s))
-
-    # Words are chosen by their index within the line, so that no row carries its line's words for each of them.
-    chosen = F.filter(F.transform("_words", lambda word, k: F.struct(k.alias("k"), word.alias("word"))), lambda x: meant(x["word"]))
-    placed = F.transform(chosen, lambda x: F.struct((length("_between", x["k"] + 1) + length("_words", x["k"]) + 1).alias("column"), x["word"].alias("word")))
+    columns = F.aggregate(F.arrays_zip("_between", "_words"), start, step)["columns"]  # one more than words: the line's end
+    placed = F.arrays_zip(F.slice(columns, F.lit(1), F.size("_words")).alias("column"), F.col("_words").alias("word"))
     return parts.select("source", "line", F.explode(placed).alias("found")).select("source", "line", "found.column", "found.word")
 
 
+def _meant(stems, not_meant) -> str:
+    """A word, whole, that begins with a stem in either case and isn't one of ``not_meant``."""
+    stem, other = ("|".join(map(re.escape, words)) for words in (stems, not_meant))
+    return rf"(?<![A-Za-z])(?i:{f'(?!(?:{other})(?![A-Za-z]))' if other else ''}(?:{stem})[A-Za-z]*)"
+
+
 def conclusion_fields(schema: T.StructType, stems=STEMS, not_meant=NOT_MEANT) -> list[str]:
     """Boolean columns, nested ones too, one of whose name's parts begins with a stem."""
     out = []

@@ -175,7 +175,7 @@ ORACLES = {
     "resume_anti_join": "SELECT o_orderkey AS cell FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "range_admits": """SELECT parameter, admitted, count(*) AS n FROM (SELECT 'p' || (p_partkey % 4) AS parameter,
       CASE p_partkey % 4 WHEN 0 THEN p_partkey % 7 <> 0 AND p_size BETWEEN 5 AND 20 WHEN 1 THEN p_partkey % 7 = 0 OR p_size BETWEEN 1 AND 50 WHEN 2 THEN p_partkey % 7 = 0 OR p_size = 30 ELSE false END AS admitted FROM part) GROUP BY 1, 2""",
-    "conclusion_words": r"""WITH l AS (SELECT doc_id AS source, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    "conclusion_words": r"""WITH l AS (SELECT doc_id AS source, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM documents)),
       k AS (SELECT source, line, body, regexp_extract_all(body, '[A-Za-z]+') AS ws, string_split_regex(body, '[A-Za-z]+') AS gs FROM l WHERE NOT regexp_matches(body, '\[(cited:|measured over)\s*[^\]\s][^\]]*\]')),
       w AS (SELECT source, line, ws, gs, unnest(range(1, len(ws) + 1)) AS i FROM k)
       SELECT source, CAST(line AS INTEGER) AS line, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) + 1 AS INTEGER) AS "column", ws[i] AS word
@@ -189,3 +189,46 @@ ORACLES["registered_score"] = _field(
       (SELECT pair_id, abs(down - median(down) OVER w) <= 1 AND abs(across - median(across) OVER w) <= 1 AND abs(angle_deg - median(angle_deg) OVER w) <= 2 AND correlation >= 0.3 AS ok FROM (SELECT {TURNED_ROWS} FROM b {BEST_TURN}) WINDOW w AS (PARTITION BY pair_id)) GROUP BY 1""",
     *TURNED,
 )
+
+#: The whole table as one field.
+TALL = FIELD.replace("CAST(vec_id // 64 AS VARCHAR)", "'all'").replace("vec_id % 64", "vec_id")
+SIDES = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS side(i, j)"
+
+
+def _reach(name: str, source: str) -> str:
+    """Every sample of ``source`` with those that it is connected to."""
+    return f"""{name} AS (SELECT surface_id, n_rows, r AS r0, c AS c0, r, c FROM {source} UNION
+      SELECT t.surface_id, t.n_rows, t.r0, t.c0, q.r, q.c FROM {name} t, {SIDES}, {source} q WHERE q.surface_id = t.surface_id AND q.r = t.r + i AND q.c = t.c + j),
+{name}_of AS (SELECT surface_id, n_rows, r0 AS r, c0 AS c, min(r * 64 + c) AS region FROM {name} GROUP BY ALL),
+{name}_all AS (SELECT surface_id, any_value(n_rows) AS n_rows, CAST(region AS BIGINT) AS region, count(*) AS size, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c, bool_or(r = 0 OR c = 0 OR r = n_rows - 1 OR c = 63) AS at_edge FROM {name}_of GROUP BY surface_id, region)"""
+
+
+def _deep(threshold: float) -> str:
+    return f"deep AS (SELECT e.surface_id, n_rows, r, c, coalesce(h < m - {threshold}, false) AS below FROM e JOIN (SELECT surface_id, median(h) AS m FROM e GROUP BY 1) USING (surface_id))"
+
+
+def _spread(name: str, cutoff: float) -> str:
+    """Two-dimensional weighted mean: each measured sample is handed to all that it reaches."""
+    import math
+
+    half = int(math.sqrt(math.log(2) / math.pi) * cutoff * math.sqrt(math.log(2.0**52) / math.pi) / 4.0)
+    return f"""{name} AS (SELECT surface_id, r + i AS r, c + j AS c, sum(h * w) / sum(w) AS h FROM e,
+      (SELECT i, j, exp(-pi() * 16.0 * (i * i + j * j) / pow(sqrt(ln(2) / pi()) * {cutoff}, 2)) AS w FROM range(-{half}, {half + 1}) AS a(i), range(-{half}, {half + 1}) AS b(j))
+      WHERE h IS NOT NULL GROUP BY ALL)"""
+
+
+ORACLES["tiled_smooth"] = f"WITH {TALL}, {_spread('g', 12.0)} SELECT e.surface_id, e.r, e.c, round(g.h, 6) AS h FROM e LEFT JOIN g USING (surface_id, r, c)"
+ORACLES["tiled_bandpass"] = f"WITH {TALL}, {_spread('s', 8.0)}, {_spread('l', 16.0)} SELECT e.surface_id, e.r, e.c, CASE WHEN e.h IS NOT NULL THEN round(s.h - l.h, 6) END AS h FROM e LEFT JOIN s USING (surface_id, r, c) LEFT JOIN l USING (surface_id, r, c)"
+for _name in ("trim_grow", "outlier_local"):
+    ORACLES[f"tiled_{_name}"] = ORACLES[_name].replace(FIELD, TALL)
+ORACLES["tiled_median"] = _field("SELECT surface_id, median(h) AS median FROM e GROUP BY 1")
+ORACLES["tiled_regions"] = f"WITH RECURSIVE {TALL}, {_deep(0.1)}, low AS (SELECT * FROM deep WHERE below), {_reach('t', 'low')} SELECT surface_id, region, size, sum_r, sum_c, at_edge FROM t_all"
+ORACLES["tiled_pins"] = f"""WITH RECURSIVE {FIELD}, {_deep(0.05)}, open AS (SELECT * FROM deep WHERE NOT below),
+  outer_ AS (SELECT surface_id, r, c FROM open WHERE r = 0 OR c = 0 OR r = n_rows - 1 OR c = 63 UNION
+    SELECT q.surface_id, q.r, q.c FROM outer_ t, {SIDES}, open q WHERE q.surface_id = t.surface_id AND q.r = t.r + i AND q.c = t.c + j),
+  whole AS (SELECT * FROM deep ANTI JOIN outer_ USING (surface_id, r, c)), {_reach('t', 'whole')},
+  best AS (SELECT * FROM t_all QUALIFY row_number() OVER (PARTITION BY surface_id ORDER BY size DESC, region) = 1),
+  pin AS (SELECT f.surface_id, size, (sum_r / size - (f.n_rows - 1) / 2.0) * 4.0 AS cy, (sum_c / size - 31.5) * 4.0 AS cx, sqrt(size * 16.0 / pi()) AS radius
+    FROM (SELECT DISTINCT surface_id, n_rows FROM e) f LEFT JOIN best USING (surface_id))
+  SELECT surface_id, size, round(cy, 6) + 0.0 AS centre_y, round(cx, 6) + 0.0 AS centre_x, round(radius, 6) + 0.0 AS radius,
+    CASE WHEN size IS NULL THEN 'no-depression' WHEN sqrt(cy * cy + cx * cx) > radius THEN 'depression-off-centre' END AS refused FROM pin"""

@@ -12,11 +12,14 @@ from .operators import agreement as A
 from .operators import evidence as V
 from .operators import masks as M
 from .operators import placement as P
+from .operators import regions as R
+from .operators import tiled as O
 from .operators.wording import conclusion_words
 from .plans import design as D
 from .plans.steps import Applied, BandParameters, EdgeParameters, LevelParameters, MarkParameters, OutlierParameters, PinParameters, run_chain
 from .sources import container, synthetic
-from .sources.surfaces import from_embeddings, mapped, samples
+from .sources.surfaces import from_embeddings, mapped, rows_from_embeddings, samples
+from .sources.tiles import tile_samples, tiled, tiled_rows
 
 CELLS = P.CellParameters(4, 0.5)
 SEARCH = P.SearchParameters(4, 0.5, 6.0, 6.0, 3)
@@ -218,6 +221,23 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conclusion_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text", stems=STEMS)
 
 
+#: Rows and columns of a tile: fields are 64 wide, so that tiles meet both down and across.
+SIDE = 48
+
+
+def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one field, in tiles."""
+    return tiled_rows(rows_from_embeddings(spark, sf_dir), SIDE)
+
+
+def _tiled(of, places: int | None = None):
+    return lambda spark, sf_dir: _heights(tile_samples(of(_tall(spark, sf_dir))), places)
+
+
+def _deep_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.regions(R.depressions(_tall(spark, sf_dir), 0.1), lambda h, _: ~np.isnan(h))
+
+
 QUERIES = {
     "surface_explode": lambda s, d: _heights(_samples(s, d)),
     "unit_convert": _units,
@@ -275,5 +295,12 @@ QUERIES = {
     "pin_detect": _pin,
     "chain_every_step": _every_step,
     "container_roundtrip": _roundtrip,
+    "tiled_smooth": _tiled(lambda t: O.smooth(t, SIDE, 12.0), 6),
+    "tiled_bandpass": _tiled(lambda t: O.bandpass(t, SIDE, 8.0, 16.0), 6),
+    "tiled_trim_grow": _tiled(lambda t: O.trim_grow(t, SIDE, 1, 1)),
+    "tiled_outlier_local": _tiled(lambda t: O.reject_local(t, SIDE, "median-absolute-deviation", 3.0, 2, 2)),
+    "tiled_median": lambda s, d: R.medians(tiled(fields(s, d), SIDE)),
+    "tiled_regions": _deep_regions,
+    "tiled_pins": lambda s, d: _rounded(R.detected_pins(tiled(fields(s, d), SIDE), 0.05), centre_y=6, centre_x=6, radius=6),
     "digest": lambda s, d: container.digests(fields(s, d)),
 }
