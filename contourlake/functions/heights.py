@@ -11,11 +11,14 @@ import math
 import numpy as np
 
 from ..errors import Refusal
+from .sliding import medians_and_deviations
 
 #: Half amplitude at the cutoff: the Gaussian's constant, sqrt(ln 2 / pi).
 ALPHA = math.sqrt(math.log(2.0) / math.pi)
 #: Standard deviations of a normal sample for one median absolute deviation.
 MAD_SCALE = 1.4826
+#: Samples of a rectangle from which sorting each one costs more than keeping order while it slides.
+LARGE = 900
 
 
 def axes(shape, spacing_y: float, spacing_x: float) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +150,8 @@ def centre_and_spread(h, criterion: str, reach: tuple[int, int] | None = None):
             centre = np.nanmedian(h)
             return centre, np.nanmedian(np.abs(h - centre))
         return np.nanmean(h), np.nanstd(h)
+    if mad and (2 * reach[0] + 1) * (2 * reach[1] + 1) >= LARGE:
+        return medians_and_deviations(h, *reach)
     centre, spread = np.full(h.shape, np.nan), np.full(h.shape, np.nan)
     size = (2 * reach[0] + 1) * (2 * reach[1] + 1) * h.shape[1]
     step = max(1, (1 << 22) // size)
