@@ -232,3 +232,50 @@ ORACLES["tiled_pins"] = f"""WITH RECURSIVE {FIELD}, {_deep(0.05)}, open AS (SELE
     FROM (SELECT DISTINCT surface_id, n_rows FROM e) f LEFT JOIN best USING (surface_id))
   SELECT surface_id, size, round(cy, 6) + 0.0 AS centre_y, round(cx, 6) + 0.0 AS centre_x, round(radius, 6) + 0.0 AS radius,
     CASE WHEN size IS NULL THEN 'no-depression' WHEN sqrt(cy * cy + cx * cx) > radius THEN 'depression-off-centre' END AS refused FROM pin"""
+
+
+def _left(name: str, source: str, terms: list[str], right: str, weight: str) -> str:
+    """``source`` with ``b``, what its weighted least-squares fit by ``terms`` leaves of ``right``, and ``last``, the last term's coefficient.
+
+    Each term in turn, and the right side, lose their parts along the terms before, field by field.
+    """
+    steps = [f"{name}0 AS MATERIALIZED (SELECT *, {right} AS b, {weight} AS w, {', '.join(f'{t} AS t{k}' for k, t in enumerate(terms))} FROM {source})"]
+    last = len(terms) - 1
+    for k in range(len(terms)):
+        lost = [f"{x} - t{k} * (sum(w * {x} * t{k}) OVER s / sum(w * t{k} * t{k}) OVER s) AS {x}" for x in ["b", *(f"t{j}" for j in range(k + 1, len(terms)))]]
+        coefficient = f", sum(w * b * t{k}) OVER s / sum(w * t{k} * t{k}) OVER s AS last" if k == last else ""
+        steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(lost)}){coefficient} FROM {name}{k} WINDOW s AS (PARTITION BY surface_id))")
+    return ", ".join(steps) + f", {name} AS MATERIALIZED (SELECT * EXCLUDE (w, {', '.join(f't{k}' for k in range(len(terms)))}) FROM {name}{len(terms)})"
+
+
+SEEN, FLAT_TERMS = "CASE WHEN h IS NULL THEN 0 ELSE 1 END", ["1.0", "y / 128", "x / 128"]
+POLY2 = _left("p", "e", [*FLAT_TERMS, "y * y / 16384", "y * x / 16384", "x * x / 16384"], "coalesce(h, 0)", SEEN)
+LEFT = "SELECT surface_id, r, c, CASE WHEN h IS NOT NULL THEN round({}, 6) END AS h FROM {}"
+SUMMED = "SELECT surface_id, count(*) AS measured, round(avg(b), 6) + 0.0 AS mean, round(min(b), 6) + 0.0 AS least, round(max(b), 6) + 0.0 AS most FROM {} WHERE h IS NOT NULL GROUP BY 1"
+
+
+def _huber(tuning: float, passes: int) -> str:
+    """A plane, and ``passes`` times again with weights from what the last one left."""
+    steps = [_left("u0", "e", FLAT_TERMS, "coalesce(h, 0)", SEEN)]
+    for k in range(passes):
+        limit = f"(SELECT surface_id AS field, {tuning} * 1.4826 * mad(b) AS most FROM u{k} WHERE h IS NOT NULL GROUP BY 1)"
+        steps.append(f"g{k} AS MATERIALIZED (SELECT u{k}.* EXCLUDE (b, last), CASE WHEN h IS NULL THEN 0 WHEN abs(b) <= most THEN 1 ELSE most / abs(b) END AS share FROM u{k} JOIN {limit} ON surface_id = field)")
+        steps.append(_left(f"v{k}", f"g{k}", FLAT_TERMS, "coalesce(h, 0)", "share") + f", u{k + 1} AS (SELECT * EXCLUDE (share) FROM v{k})")
+    return ", ".join(steps)
+
+
+ORACLES["tiled_level_poly2"] = _field(LEFT.format("b", "p"), POLY2)
+ORACLES["level_poly2"] = _field(SUMMED.format("p"), POLY2)
+ORACLES["tiled_level_huber"] = _field(LEFT.format("b", "u1"), _huber(1.5, 1))
+ORACLES["level_huber"] = _field(SUMMED.format("u3"), _huber(4.0, 3))
+
+_BALL = {"a": "2 * y / 128", "b": "2 * x / 128", "c": "2 * coalesce(z, 0) / 128", "k": "1.0"}
+_FITS = [_left(f"s{n}", "z", [*(t for m, t in _BALL.items() if m != n), _BALL[n]], "(y * y + x * x + coalesce(z * z, 0)) / 16384", SEEN) for n in _BALL]
+ORACLES["tiled_level_sphere"] = _field(
+    LEFT.format("z - CASE WHEN more < less THEN up ELSE low END", "judged"),
+    "z AS MATERIALIZED (SELECT *, h + sqrt(360000.0 - y * y - x * x) - 600 AS z FROM e)",
+    *_FITS,
+    f"ball AS (SELECT * FROM {' JOIN '.join(f'(SELECT surface_id, any_value(last) AS b{n} FROM s{n} GROUP BY 1)' + (' USING (surface_id)' if n != 'a' else '') for n in _BALL)})",
+    "inner_ AS (SELECT z.*, bc, sqrt(bk + ba * ba + bb * bb + bc * bc - pow(y / 128 - ba, 2) - pow(x / 128 - bb, 2)) AS root FROM z JOIN ball USING (surface_id))",
+    "judged AS (SELECT *, sum(pow(z - low, 2)) OVER s AS less, sum(pow(z - up, 2)) OVER s AS more FROM (SELECT *, (bc - root) * 128 AS low, (bc + root) * 128 AS up FROM inner_) WINDOW s AS (PARTITION BY surface_id))",
+)

@@ -10,6 +10,7 @@ from .functions.expressions import micrometres
 from .functions.heights import ALPHA, rotated, smoothed
 from .operators import agreement as A
 from .operators import evidence as V
+from .operators import forms as FM
 from .operators import masks as M
 from .operators import placement as P
 from .operators import regions as R
@@ -238,6 +239,18 @@ def _deep_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.regions(R.depressions(_tall(spark, sf_dir), 0.1), lambda h, _: ~np.isnan(h))
 
 
+def _capped(spark: SparkSession, sf_dir: str, radius: float = 600.0) -> DataFrame:
+    """Fields in tiles, laid on a sphere."""
+    at, half = F.col("cols"), F.lit(0.5)
+
+    def raised(h, k):
+        y = (F.col("top") + F.floor(k / at) - (F.col("n_rows") - 1) * half) * F.col("spacing_y")
+        x = (F.col("left") + k % at - (F.col("n_cols") - 1) * half) * F.col("spacing_x")
+        return h + F.sqrt(F.lit(radius * radius) - y * y - x * x) - radius
+
+    return tiled(fields(spark, sf_dir), SIDE).withColumn("heights", F.transform("heights", raised))
+
+
 QUERIES = {
     "surface_explode": lambda s, d: _heights(_samples(s, d)),
     "unit_convert": _units,
@@ -302,5 +315,8 @@ QUERIES = {
     "tiled_median": lambda s, d: R.medians(tiled(fields(s, d), SIDE)),
     "tiled_regions": _deep_regions,
     "tiled_pins": lambda s, d: _rounded(R.detected_pins(tiled(fields(s, d), SIDE), 0.05), centre_y=6, centre_x=6, radius=6),
+    "tiled_level_poly2": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(2))), 6),
+    "tiled_level_huber": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(1), 1.5, 1)), 6),
+    "tiled_level_sphere": lambda s, d: _heights(tile_samples(FM.level(_capped(s, d), FM.Sphere())), 6),
     "digest": lambda s, d: container.digests(fields(s, d)),
 }

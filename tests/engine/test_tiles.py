@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from contourlake.errors import Refusal
 from contourlake.functions import heights as H
+from contourlake.operators import forms as FM
 from contourlake.operators import regions as R
 from contourlake.operators import tiled as O
 from contourlake.operators.wording import conclusion_words
@@ -157,3 +158,41 @@ def test_words_of_a_line_are_found_in_one_walk(spark):
     got = conclusion_words(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), "id", "text").collect()
     assert [(r["line"], r["column"], r["word"]) for r in got[:6]] == [(1, 1, "Match"), (1, 26, "EXCLUDED"), (1, 35, "match"), (2, 13, "identifierx"), (2, 26, "concluding"), (3, 1, "match")]
     assert [r["column"] for r in got[6:]] == [8 * k + 1 for k in range(20_000)] and {r["source"] for r in got} == {1}
+
+
+
+
+@pytest.mark.parametrize("side", [9, 64])
+def test_forms_equal_those_of_whole_fields(spark, side):
+    fields = {"a": field(37, 23) + np.indices((37, 23))[0] * 0.7, "b": field(25, 61, 0.3, 1)}
+    fields["a"][3:6, 4:9] += 500.0
+    whole, tiles = table(spark, fields), T.tiled(table(spark, fields), side)
+    for degree, tuning, passes in ((1, None, None), (2, None, None), *([(2, 4.0, 2)] if side == 9 else [])):
+        want = mapped(whole, lambda h, _, p=(degree, tuning, passes): h - H.polynomial_form(h, *H.axes(h.shape, 2.0, 3.0), *p))
+        same(heights(T.tile_samples(FM.level(tiles, FM.Polynomial(degree), tuning, passes))), heights(samples(want)))
+
+
+@pytest.mark.parametrize("sign", [-1.0, 1.0])
+def test_spheres_of_either_branch(spark, sign):
+    y, x = H.axes((30, 40), 2.0, 3.0)
+    h = sign * (np.sqrt(300.0**2 - y**2 - x**2) - 290.0) + field(30, 40, 0.1, 6) * 0.01
+    got = heights(T.tile_samples(FM.level(T.tiled(table(spark, {"s": h}), 11), FM.Sphere())))
+    want = h - H.sphere_form(h, y, x)
+    same(got, {("s", r, c): None if np.isnan(want[r, c]) else want[r, c] for r in range(30) for c in range(40)})
+
+
+def test_forms_that_samples_do_not_determine_are_refused(spark):
+    line = np.full((12, 12), np.nan)
+    line[:, 5] = 1.0
+    tiles = T.tiled(table(spark, {"line": line, "none": np.full((4, 4), np.nan)}), 5)
+    assert {r["surface_id"]: r["solution"] for r in FM.fitted(tiles, FM.Polynomial(1)).collect()} == {"line": None, "none": None}
+    with pytest.raises(Exception, match="rank-deficient"):
+        FM.level(tiles, FM.Polynomial(1)).collect()
+    small = field(20, 20, 0.0, 3) * 50
+    with pytest.raises(Exception, match="sphere-too-small"):
+        FM.level(T.tiled(table(spark, {"s": small}), 8), FM.Sphere()).collect()
+
+
+def test_fields_without_spread_keep_their_solution(spark):
+    got = FM.fitted(T.tiled(table(spark, {"flat": np.zeros((10, 10)), "noise": field(10, 10, 0.0, 2)}), 4), FM.Polynomial(1), 3.0, 1).collect()
+    assert {r["surface_id"] for r in got} == {"flat", "noise"} and all(r["n"] == 100 for r in got)
