@@ -279,3 +279,13 @@ ORACLES["tiled_level_sphere"] = _field(
     "inner_ AS (SELECT z.*, bc, sqrt(bk + ba * ba + bb * bb + bc * bc - pow(y / 128 - ba, 2) - pow(x / 128 - bb, 2)) AS root FROM z JOIN ball USING (surface_id))",
     "judged AS (SELECT *, sum(pow(z - low, 2)) OVER s AS less, sum(pow(z - up, 2)) OVER s AS more FROM (SELECT *, (bc - root) * 128 AS low, (bc + root) * 128 AS up FROM inner_) WINDOW s AS (PARTITION BY surface_id))",
 )
+
+#: Sums at every displacement up to 32, about values that differ little from 0.
+ORACLES["blocked_ncc"] = _field(
+    "SELECT surface_id, CAST(cell_r AS INTEGER) AS cell_r, CAST(cell_c AS INTEGER) AS cell_c, down, across, n AS overlap, round(greatest(-1, least(1, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))), 6) + 0.0 AS correlation FROM k WHERE sxx - sx * sx / n > 1e-12 * sxx AND syy - sy * sy / n > 1e-12 * syy",
+    GRID.format(g=4),
+    MOVED,
+    """k AS (SELECT g.surface_id, g.cell_r, g.cell_c, CAST(q.r - g.r AS INTEGER) AS down, CAST(q.c - g.c AS INTEGER) AS across, count(*) AS n, sum(g.h) AS sx, sum(q.h) AS sy, sum(g.h * g.h) AS sxx, sum(q.h * q.h) AS syy, sum(g.h * q.h) AS sxy
+      FROM g JOIN u USING (surface_id, cell_r, cell_c) JOIN m q ON q.surface_id = g.surface_id AND q.r BETWEEN g.r - 32 AND g.r + 32 AND q.c BETWEEN g.c - 32 AND g.c + 32
+      WHERE u.usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, u.size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * u.size)))""",
+)

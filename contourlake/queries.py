@@ -15,6 +15,7 @@ from .operators import masks as M
 from .operators import placement as P
 from .operators import regions as R
 from .operators import tiled as O
+from .operators.blocked import blocked_correlations
 from .operators.wording import conclusion_words
 from .plans import design as D
 from .plans.steps import Applied, BandParameters, EdgeParameters, LevelParameters, MarkParameters, OutlierParameters, PinParameters, run_chain
@@ -318,5 +319,6 @@ QUERIES = {
     "tiled_level_poly2": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(2))), 6),
     "tiled_level_huber": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(1), 1.5, 1)), 6),
     "tiled_level_sphere": lambda s, d: _heights(tile_samples(FM.level(_capped(s, d), FM.Sphere())), 6),
+    "blocked_ncc": lambda s, d: _rounded(blocked_correlations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, CELLS, 32), correlation=6),
     "digest": lambda s, d: container.digests(fields(s, d)),
 }

@@ -108,6 +108,23 @@ def _around(side: int, down: int, across: int):
     return scan
 
 
+def pieces_around(tiles: DataFrame, side: int, down: int, across: int) -> DataFrame:
+    """For each tile of a field the pieces, its own one too, that make it up with its border."""
+    return tiles.select(*FIELD, *PLACE, "heights").mapInArrow(_around(side, down, across), _PIECES_DDL)
+
+
+def bordered(row: dict, pieces: list[dict], down: int, across: int, whole: bool = False) -> np.ndarray:
+    """A tile with its border from its pieces: as far as the field goes, or ``whole``, absent beyond it."""
+    top, left = row["top"] - down, row["left"] - across
+    if not whole:
+        top, left = max(0, top), max(0, left)
+    bottom, right = row["top"] + row["rows"] + down, row["left"] + row["cols"] + across
+    h = np.full(((bottom if whole else min(row["n_rows"], bottom)) - top, (right if whole else min(row["n_cols"], right)) - left), np.nan)
+    for p in pieces:
+        h[p["at_r"] - top : p["at_r"] - top + p["high"], p["at_c"] - left : p["at_c"] - left + p["wide"]] = np.frombuffer(p["piece"]).reshape(p["high"], p["wide"])
+    return h
+
+
 def with_border(tiles: DataFrame, side: int, down: int, across: int, of: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
     """Each tile's heights replaced by what ``of`` makes of the tile with its border, cut to the tile.
 
@@ -119,15 +136,10 @@ def with_border(tiles: DataFrame, side: int, down: int, across: int, of: Callabl
     """
 
     def assembled(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        row = rows[0]
-        top, left = max(0, row["top"] - down), max(0, row["left"] - across)
-        shape = min(row["n_rows"], row["top"] + row["rows"] + down) - top, min(row["n_cols"], row["left"] + row["cols"] + across) - left
-        h = np.full(shape, np.nan)
-        for p in rows:
-            h[p["at_r"] - top : p["at_r"] - top + p["high"], p["at_c"] - left : p["at_c"] - left + p["wide"]] = np.frombuffer(p["piece"]).reshape(p["high"], p["wide"])
-        r, c = row["top"] - top, row["left"] - left
-        return pa.Table.from_batches([tile_batch([row], [of(h, row)[r : r + row["rows"], c : c + row["cols"]]])])
-
-    pieces = tiles.select(*FIELD, *PLACE, "heights").mapInArrow(_around(side, down, across), _PIECES_DDL)
-    return pieces.groupBy(*KEY).applyInArrow(assembled, TILES_DDL)
+        pieces = group.to_pylist()
+        row = pieces[0]
+        r, c = min(down, row["top"]), min(across, row["left"])
+        out = of(bordered(row, pieces, down, across), row)
+        return pa.Table.from_batches([tile_batch([row], [out[r : r + row["rows"], c : c + row["cols"]]])])
+
+    return pieces_around(tiles, side, down, across).groupBy(*KEY).applyInArrow(assembled, TILES_DDL)

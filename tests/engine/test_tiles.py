@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from contourlake.errors import Refusal
 from contourlake.functions import heights as H
+from contourlake.operators import blocked as B
 from contourlake.operators import forms as FM
+from contourlake.operators import placement as P
 from contourlake.operators import regions as R
 from contourlake.operators import tiled as O
 from contourlake.operators.wording import conclusion_words
@@ -196,3 +198,30 @@ def test_forms_that_samples_do_not_determine_are_refused(spark):
 def test_fields_without_spread_keep_their_solution(spark):
     got = FM.fitted(T.tiled(table(spark, {"flat": np.zeros((10, 10)), "noise": field(10, 10, 0.0, 2)}), 4), FM.Polynomial(1), 3.0, 1).collect()
     assert {r["surface_id"] for r in got} == {"flat", "noise"} and all(r["n"] == 100 for r in got)
+
+
+@pytest.mark.parametrize("side", [7, 64])
+def test_blocks_of_cells_place_as_samples_do(spark, side, monkeypatch):
+    subject = {"a": field(37, 23, 0.2, 1), "b": field(20, 41, 0.5, 2) + 1000.0}
+    moved = {k: np.roll(h, (2, -1), (0, 1)) for k, h in subject.items()}
+    cells = P.CellParameters(3, 0.5)
+    want = {tuple(r)[:5]: r for r in P.correlations(samples(table(spark, subject)), samples(table(spark, moved)), cells, 3).select("surface_id", "cell_r", "cell_c", "down", "across", "overlap", "correlation").collect()}
+    monkeypatch.setattr(B, "DIRECT", 1 << 21 if side == 7 else 0)
+    got = B.blocked_correlations(T.tiled(table(spark, subject), side), T.tiled(table(spark, moved), side), side, cells, 3).collect()
+    assert {tuple(r)[:5] for r in got} == want.keys()
+    for r in got:
+        assert r["overlap"] == want[tuple(r)[:5]]["overlap"] and abs(r["correlation"] - want[tuple(r)[:5]]["correlation"]) < 1e-6
+
+
+def test_blocks_by_fft_equal_direct_ones(monkeypatch):
+    block, around = field(9, 7, 0.3, 1) + 50.0, field(21, 19, 0.3, 2) - 20.0
+    direct = B.overlap_sums(block, around)
+    monkeypatch.setattr(B, "DIRECT", 0)
+    for a, b in zip(direct, B.overlap_sums(block, around), strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-7)
+
+
+def test_fields_of_different_shapes_are_not_placed(spark):
+    a, b = T.tiled(table(spark, {"a": FIELDS["a"]}), 8), T.tiled(table(spark, {"a": FIELDS["b"]}), 8)
+    with pytest.raises(Exception, match="different-shapes"):
+        B.blocked_correlations(a, b, 8, P.CellParameters(3, 0.5), 2).collect()
