@@ -289,3 +289,6 @@ ORACLES["blocked_ncc"] = _field(
       FROM g JOIN u USING (surface_id, cell_r, cell_c) JOIN m q ON q.surface_id = g.surface_id AND q.r BETWEEN g.r - 32 AND g.r + 32 AND q.c BETWEEN g.c - 32 AND g.c + 32
       WHERE u.usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, u.size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * u.size)))""",
 )
+
+ORACLES["registered_or_refused"] = ORACLES["register_best"]
+ORACLES["correlation_work"] = _field("SELECT surface_id AS pair_id, count(*) FILTER (usable) AS usable, 3 * count(*) FILTER (usable) AS correlations FROM u GROUP BY 1", GRID.format(g=4))

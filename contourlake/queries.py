@@ -11,6 +11,7 @@ from .functions.heights import ALPHA, rotated, smoothed
 from .operators import agreement as A
 from .operators import evidence as V
 from .operators import forms as FM
+from .operators import guards as G
 from .operators import masks as M
 from .operators import placement as P
 from .operators import regions as R
@@ -320,5 +321,7 @@ QUERIES = {
     "tiled_level_huber": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(1), 1.5, 1)), 6),
     "tiled_level_sphere": lambda s, d: _heights(tile_samples(FM.level(_capped(s, d), FM.Sphere())), 6),
     "blocked_ncc": lambda s, d: _rounded(blocked_correlations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, CELLS, 32), correlation=6),
+    "registered_or_refused": lambda s, d: _rounded(G.register(_pairs(s, d), SEARCH), correlation=6),
+    "correlation_work": lambda s, d: G.work_of(_pairs(s, d), SEARCH),
     "digest": lambda s, d: container.digests(fields(s, d)),
 }
