@@ -292,3 +292,13 @@ ORACLES["blocked_ncc"] = _field(
 
 ORACLES["registered_or_refused"] = ORACLES["register_best"]
 ORACLES["correlation_work"] = _field("SELECT surface_id AS pair_id, count(*) FILTER (usable) AS usable, 3 * count(*) FILTER (usable) AS correlations FROM u GROUP BY 1", GRID.format(g=4))
+ORACLES["compare_one_orientation"] = _field(
+    "SELECT surface_id AS pair_id, CAST(0 AS DOUBLE) AS angle_deg, CAST(cell_r AS INTEGER) AS cell_r, CAST(cell_c AS INTEGER) AS cell_c, down, across, round(correlation, 6) + 0.0 AS correlation, n AS overlap FROM o QUALIFY row_number() OVER (PARTITION BY surface_id, cell_r, cell_c ORDER BY round(correlation, 9) DESC, down, across) = 1",
+    GRID.format(g=4),
+    MOVED,
+    "lim AS (SELECT surface_id, cell_r, cell_c, size, usable, -top AS low_r, -left_ AS low_c, n_rows - 1 - bottom AS high_r, 63 - right_ AS high_c FROM u JOIN (SELECT surface_id, cell_r, cell_c, max(r) AS bottom, max(c) AS right_ FROM g GROUP BY 1, 2, 3) USING (surface_id, cell_r, cell_c) JOIN (SELECT DISTINCT surface_id, n_rows FROM e) USING (surface_id))",
+    """k AS (SELECT g.surface_id, g.cell_r, g.cell_c, CAST(q.r - g.r AS INTEGER) AS down, CAST(q.c - g.c AS INTEGER) AS across, count(*) AS n, sum(g.h) AS sx, sum(q.h) AS sy, sum(g.h * g.h) AS sxx, sum(q.h * q.h) AS syy, sum(g.h * q.h) AS sxy
+      FROM g JOIN lim USING (surface_id, cell_r, cell_c) JOIN m q ON q.surface_id = g.surface_id AND q.r BETWEEN g.r + low_r AND g.r + high_r AND q.c BETWEEN g.c + low_c AND g.c + high_c
+      WHERE usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * size)))""",
+    "o AS (SELECT *, greatest(-1, least(1, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))) AS correlation FROM k WHERE sxx - sx * sx / n > 1e-12 * sxx AND syy - sy * sy / n > 1e-12 * syy)",
+)
