@@ -6,6 +6,8 @@ sums at every displacement; not a row for each sample and displacement.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,14 +15,18 @@ from pyspark.sql import functions as F
 
 from ..errors import Refusal
 from ..functions.expressions import guarded_correlation
+from ..functions import heights as H
 from ..functions.heights import cell_bounds
-from ..sources.tiles import FIELD, KEY, PLACE, bordered, pieces_around
+from ..sources.tiles import KEY, bordered, pieces_around
 from .placement import CellParameters, check_cells
 
 SUMS = ("overlap", "sx", "sy", "sxx", "syy", "sxy")
 _ROWS = pa.schema([("surface_id", pa.string()), ("cell_r", pa.int32()), ("cell_c", pa.int32()), ("down", pa.int32()), ("across", pa.int32()), ("size", pa.int64()), ("measured", pa.int64()), ("overlap", pa.int64()), *((n, pa.float64()) for n in SUMS[1:])])
 _ROWS_DDL = "surface_id string, cell_r int, cell_c int, down int, across int, size long, measured long, overlap long, sx double, sy double, sxx double, syy double, sxy double"
 
+_FOUND = pa.schema([*list(_ROWS)[:5], ("overlap", pa.int64()), ("correlation", pa.float64())])
+_FOUND_DDL = "surface_id string, cell_r int, cell_c int, down int, across int, overlap long, correlation double"
+
 #: Products of samples and displacements up to which they are summed directly; beyond, by FFT.
 DIRECT = 1 << 21
 
@@ -47,30 +53,56 @@ def overlap_sums(block: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
     return [n, sx + n * mx, sy + n * my, sxx + mx * (2 * sx + n * mx), syy + my * (2 * sy + n * my), sxy + mx * sy + my * sx + n * mx * my]
 
 
-def _placed(grid: int, limit: int):
-    side = 2 * limit + 1
+def blocks(grid: int, side: int):
+    """Bounds of blocks: as many whole cells as ``side`` holds, or parts of a cell that is larger."""
+
+    def of(n: int) -> list[int]:
+        edges = cell_bounds(n, grid).tolist()
+        if max(b - a for a, b in zip(edges, edges[1:], strict=False)) > side:
+            return [*(at for a, b in zip(edges, edges[1:], strict=False) for at in range(a, b, side)), n]
+        out = [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - out[-1] > side:
+                out.append(a)
+        return [*out, n]
+
+    return of
+
+
+def _placed(p: CellParameters, limit: int, whole: bool):
+    """Sums of each block's cells; of ``whole`` cells the correlations, where there is one."""
+    side, schema = 2 * limit + 1, _FOUND if whole else _ROWS
     down, across = (v.astype(np.int32).ravel() - limit for v in np.indices((side, side)))
 
+    def cells_of(row, tile, around):
+        rows, cols = cell_bounds(row["n_rows"], p.grid), cell_bounds(row["n_cols"], p.grid)
+        for i in range(p.grid):
+            for j in range(p.grid):
+                a, b = (int(np.clip(v - row["top"], 0, row["rows"])) for v in rows[i : i + 2])
+                c, d = (int(np.clip(v - row["left"], 0, row["cols"])) for v in cols[j : j + 2])
+                if a < b and c < d:
+                    yield i, j, tile[a:b, c:d], around[a : b + 2 * limit, c : d + 2 * limit]
+
     def place(subject: pa.Table, reference: pa.Table) -> pa.Table:
-        out = [_ROWS.empty_table()]
-        for row in subject.to_pylist():
-            pieces = reference.to_pylist()
-            if any((p["n_rows"], p["n_cols"]) != (row["n_rows"], row["n_cols"]) for p in pieces):
+        own, pieces = subject.to_pylist(), reference.to_pylist()
+        out = [schema.empty_table()]
+        if own:
+            row = own[0]
+            if any((x["n_rows"], x["n_cols"]) != (row["n_rows"], row["n_cols"]) for x in pieces):
                 raise Refusal("different-shapes", f"the fields of {row['surface_id']}")
-            tile = np.array(row["heights"], np.float64).reshape(row["rows"], row["cols"])
-            around = bordered(row, pieces, limit, limit, whole=True)
-            rows, cols = cell_bounds(row["n_rows"], grid), cell_bounds(row["n_cols"], grid)
-            for i in range(grid):
-                for j in range(grid):
-                    a, b = (int(np.clip(v - row["top"], 0, row["rows"])) for v in rows[i : i + 2])
-                    c, d = (int(np.clip(v - row["left"], 0, row["cols"])) for v in cols[j : j + 2])
-                    if a < b and c < d:
-                        block = tile[a:b, c:d]
-                        sums = overlap_sums(block, around[a : b + 2 * limit, c : d + 2 * limit])
-                        fixed = [np.full(side * side, v) for v in (block.size, int((~np.isnan(block)).sum()))]
-                        cell = [np.full(side * side, v, np.int32) for v in (i, j)]
-                        columns = [[row["surface_id"]] * (side * side), *cell, down, across, *fixed, sums[0].astype(np.int64), *sums[1:]]
-                        out.append(pa.table([pa.array(v, f.type) for v, f in zip(columns, _ROWS, strict=True)], schema=_ROWS))
+            for i, j, block, near in cells_of(row, bordered(row, own, 0, 0), bordered(row, pieces, limit, limit, whole=True)):
+                measured = int((~np.isnan(block)).sum())
+                if whole and measured < p.minimum_valid * block.size:
+                    continue
+                sums, take = overlap_sums(block, near), slice(None)
+                fixed = [np.full(side * side, v) for v in (block.size, measured)]
+                if whole:
+                    found = H._correlations(sums)
+                    take = np.flatnonzero((sums[0] >= max(1, math.ceil(p.minimum_valid * block.size))) & ~np.isnan(found))
+                    fixed, sums = [], [sums[0], found]
+                columns = [*(np.full(side * side, v, np.int32) for v in (i, j)), down, across, *fixed, sums[0].astype(np.int64), *sums[1:]]
+                columns = [v[take] for v in columns]
+                out.append(pa.table([pa.array([row["surface_id"]] * len(columns[0]), pa.string()), *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:], strict=True))], schema=schema))
         return pa.concat_tables(out)
 
     return place
@@ -79,15 +111,21 @@ def _placed(grid: int, limit: int):
 def blocked_correlations(subject: DataFrame, reference: DataFrame, side: int, p: CellParameters, limit: int) -> DataFrame:
     """As ``placement.correlations``, of tables of tiles with one ``surface_id`` for each pair and fields of one shape.
 
-    Cells may be larger or smaller than tiles: a block is what a tile has of a cell, and a cell's blocks
-    are summed. A task holds a tile and the reference ``limit`` around it. Shuffled are both fields,
-    the reference (1 + 2 limit / side)**2 times, and (2 limit + 1)**2 sums for each block.
+    Blocks hold whole cells, whose correlations a task gives at once; of cells larger than ``side``
+    they hold parts, whose (2 limit + 1)**2 sums are added by a second shuffle. A task holds a block and
+    the reference ``limit`` around it; both fields are shuffled, the reference up to (1 + 2 limit / side)**2 times.
     """
     check_cells(p)
-    own = subject.select(*FIELD, *PLACE, "heights")
-    met = own.groupBy(*KEY).cogroup(pieces_around(reference, side, limit, limit).groupBy(*KEY)).applyInArrow(_placed(p.grid, limit), _ROWS_DDL)
+    small = (F.ceil(F.col("n_rows") / p.grid) <= side) & (F.ceil(F.col("n_cols") / p.grid) <= side)
+    bounds = blocks(p.grid, side)
+
+    def met(which, whole: bool, ddl: str) -> DataFrame:
+        own, other = pieces_around(subject.where(which), bounds, 0, 0), pieces_around(reference.where(which), bounds, limit, limit)
+        return own.groupBy(*KEY).cogroup(other.groupBy(*KEY)).applyInArrow(_placed(p, limit, whole), ddl)
+
     keys = ["surface_id", "cell_r", "cell_c", "down", "across"]
-    sums = met.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("size", "measured", *SUMS)))
+    sums = met(~small, False, _ROWS_DDL).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("size", "measured", *SUMS)))
     enough = (F.col("measured") >= F.lit(p.minimum_valid) * F.col("size")) & (F.col("overlap") >= F.greatest(F.lit(1), F.ceil(F.lit(p.minimum_valid) * F.col("size"))))
     value = guarded_correlation(F.col("overlap"), *(F.col(c) for c in SUMS[1:]))
-    return sums.where(enough).withColumn("correlation", value).where("correlation IS NOT NULL").select(*keys, "overlap", "correlation")
+    added = sums.where(enough).withColumn("correlation", value).where("correlation IS NOT NULL").select(*keys, "overlap", "correlation")
+    return met(small, True, _FOUND_DDL).unionByName(added)

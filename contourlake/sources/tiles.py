@@ -87,17 +87,29 @@ def mapped_tiles(tiles: DataFrame, of: Callable[[np.ndarray, dict], np.ndarray])
     return tiles.select(*FIELD, *PLACE, "heights").mapInArrow(scan, TILES_DDL)
 
 
-def _around(side: int, down: int, across: int):
-    """The parts of each tile that lie in a tile or in its border ``down`` and ``across`` wide, keyed by that tile."""
+Bounds = Callable[[int], list[int]]
+
+
+def every(side: int) -> Bounds:
+    """Where the tiles of so many rows (or columns) begin, and where the last one ends."""
+    return lambda n: [*range(0, n, side), n]
+
+
+def _around(bounds: Bounds, down: int, across: int):
+    """The parts of each tile that lie in a block of ``bounds`` or in its border ``down`` and ``across`` wide, keyed by that block."""
+
+    def met(edges: list[int], low: int, high: int) -> range:
+        first, last = np.searchsorted(edges, (low, high - 1), "right") - 1
+        return range(max(0, int(first)), min(len(edges) - 2, int(last)) + 1)
 
     def scan(batches):
         for batch in batches:
             for h, row in tiles_of(batch):
                 out: dict[str, list] = {n: [] for n in _PIECES.names}
-                last_r, last_c = (row["n_rows"] - 1) // side, (row["n_cols"] - 1) // side
-                for i in range(max(0, (row["top"] - down) // side), min(last_r, (row["top"] + row["rows"] - 1 + down) // side) + 1):
-                    for j in range(max(0, (row["left"] - across) // side), min(last_c, (row["left"] + row["cols"] - 1 + across) // side) + 1):
-                        to = row | place(row, i, j, side)
+                r, q = bounds(row["n_rows"]), bounds(row["n_cols"])
+                for i in met(r, row["top"] - down, row["top"] + row["rows"] + down):
+                    for j in met(q, row["left"] - across, row["left"] + row["cols"] + across):
+                        to = row | {"tile_r": i, "tile_c": j, "top": r[i], "left": q[j], "rows": r[i + 1] - r[i], "cols": q[j + 1] - q[j]}
                         a, b = max(row["top"], to["top"] - down), min(row["top"] + row["rows"], to["top"] + to["rows"] + down)
                         c, d = max(row["left"], to["left"] - across), min(row["left"] + row["cols"], to["left"] + to["cols"] + across)
                         part = h[a - row["top"] : b - row["top"], c - row["left"] : d - row["left"]]
@@ -108,9 +120,9 @@ def _around(side: int, down: int, across: int):
     return scan
 
 
-def pieces_around(tiles: DataFrame, side: int, down: int, across: int) -> DataFrame:
-    """For each tile of a field the pieces, its own one too, that make it up with its border."""
-    return tiles.select(*FIELD, *PLACE, "heights").mapInArrow(_around(side, down, across), _PIECES_DDL)
+def pieces_around(tiles: DataFrame, bounds: Bounds, down: int, across: int) -> DataFrame:
+    """For each block of a field the pieces, its own ones too, that make it up with its border."""
+    return tiles.select(*FIELD, *PLACE, "heights").mapInArrow(_around(bounds, down, across), _PIECES_DDL)
 
 
 def bordered(row: dict, pieces: list[dict], down: int, across: int, whole: bool = False) -> np.ndarray:
@@ -142,4 +154,4 @@ def with_border(tiles: DataFrame, side: int, down: int, across: int, of: Callabl
         out = of(bordered(row, pieces, down, across), row)
         return pa.Table.from_batches([tile_batch([row], [out[r : r + row["rows"], c : c + row["cols"]]])])
 
-    return pieces_around(tiles, side, down, across).groupBy(*KEY).applyInArrow(assembled, TILES_DDL)
+    return pieces_around(tiles, every(side), down, across).groupBy(*KEY).applyInArrow(assembled, TILES_DDL)
