@@ -261,26 +261,29 @@ def transmission(cutoff: float, wavelength: float) -> float:
     return math.exp(-math.pi * (ALPHA * cutoff / wavelength) ** 2)
 
 
-def rotated(h: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about the centre by bilinear interpolation, in the same shape.
+def turned_from(r, c, shape: tuple[int, int], degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where samples (``r``, ``c``) of a field turned about its centre lie in the field. Rounding keeps the order along rows and columns."""
+    a = math.radians(degrees)
+    rows, cols = shape
+    r, c = r - (rows - 1) / 2.0, c - (cols - 1) / 2.0
+    return math.cos(a) * r - math.sin(a) * c + (rows - 1) / 2.0, math.sin(a) * r + math.cos(a) * c + (cols - 1) / 2.0
+
+
+def gathered(h: np.ndarray, source_r: np.ndarray, source_c: np.ndarray, top: int = 0, left: int = 0) -> np.ndarray:
+    """Bilinear values at positions of a field, of which ``h`` is the part that begins at ``top``, ``left``; what lies outside is absent.
 
     A sample counts only if all the weight of its interpolation came from measured samples.
     """
-    if degrees == 0:
-        return h.copy()
-    a = math.radians(degrees)
     rows, cols = h.shape
-    r = np.arange(rows)[:, None] - (rows - 1) / 2.0
-    c = np.arange(cols)[None, :] - (cols - 1) / 2.0
-    source_r = math.cos(a) * r - math.sin(a) * c + (rows - 1) / 2.0
-    source_c = math.sin(a) * r + math.cos(a) * c + (cols - 1) / 2.0
-    top, left = np.floor(source_r).astype(int), np.floor(source_c).astype(int)
-    fr, fc = source_r - top, source_c - left
+    above, before = np.floor(source_r).astype(int), np.floor(source_c).astype(int)
+    fr, fc = source_r - above, source_c - before
     seen = ~np.isnan(h)
-    value, weight = np.zeros(h.shape), np.zeros(h.shape)
+    value, weight = np.zeros(fr.shape), np.zeros(fr.shape)
+    if not h.size:
+        return np.full(fr.shape, np.nan)
     for dr, wr in ((0, 1 - fr), (1, fr)):
         for dc, wc in ((0, 1 - fc), (1, fc)):
-            i, j = top + dr, left + dc
+            i, j = above + dr - top, before + dc - left
             within = (i >= 0) & (i < rows) & (j >= 0) & (j < cols)
             i, j = np.clip(i, 0, rows - 1), np.clip(j, 0, cols - 1)
             w = np.where(within & seen[i, j], wr * wc, 0.0)
@@ -289,6 +292,13 @@ def rotated(h: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(weight >= 1.0 - 1e-9, value / np.maximum(weight, 1e-300), np.nan)
 
 
+def rotated(h: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about the centre by bilinear interpolation, in the same shape."""
+    if degrees == 0:
+        return h.copy()
+    return gathered(h, *turned_from(np.arange(h.shape[0])[:, None], np.arange(h.shape[1])[None, :], h.shape, degrees))
+
+
 def cell_bounds(n: int, grid: int) -> np.ndarray:
     """Where ``grid`` nearly equal parts of n samples begin, and n; the first n mod grid are one longer."""
     size, longer = divmod(n, grid)

@@ -31,8 +31,8 @@ _FOUND_DDL = "surface_id string, cell_r int, cell_c int, down int, across int, o
 DIRECT = 1 << 21
 
 
-def overlap_sums(block: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
-    """Count, sums, squares and products of the block and the equally large part of ``around`` at every place, row by row."""
+def centred_sums(block: np.ndarray, around: np.ndarray) -> tuple[list[np.ndarray], float, float]:
+    """Count, sums, squares and products of the block and the equally large part of ``around`` at every place, row by row, each less its mean; and the means."""
     shape = around.shape[0] - block.shape[0] + 1, around.shape[1] - block.shape[1] + 1
 
     def planes(h):
@@ -48,8 +48,12 @@ def overlap_sums(block: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
     else:
         spectrum = np.fft.rfft2(other)[:, None] * np.conj(np.fft.rfft2(own, around.shape))[None, :]
         products = np.fft.irfft2(spectrum, around.shape)[:, :, : shape[0], : shape[1]].reshape(3, 3, -1)
-    n = np.rint(products[0, 0])
-    sx, sy, sxx, syy, sxy = products[0, 1], products[1, 0], products[0, 2], products[2, 0], products[1, 1]
+    return [np.rint(products[0, 0]), products[0, 1], products[1, 0], products[0, 2], products[2, 0], products[1, 1]], mx, my
+
+
+def overlap_sums(block: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
+    """The same of the values as they are, so that sums of parts can be added."""
+    (n, sx, sy, sxx, syy, sxy), mx, my = centred_sums(block, around)
     return [n, sx + n * mx, sy + n * my, sxx + mx * (2 * sx + n * mx), syy + my * (2 * sy + n * my), sxy + mx * sy + my * sx + n * mx * my]
 
 
@@ -69,20 +73,27 @@ def blocks(grid: int, side: int):
     return of
 
 
+def cells_in(row: dict, grid: int):
+    """(cell row, cell column, rows, columns) of the cells that lie in a block, in part or whole; slices count from its corner."""
+    rows, cols = cell_bounds(row["n_rows"], grid), cell_bounds(row["n_cols"], grid)
+    for i in range(grid):
+        for j in range(grid):
+            a, b = (int(np.clip(v - row["top"], 0, row["rows"])) for v in rows[i : i + 2])
+            c, d = (int(np.clip(v - row["left"], 0, row["cols"])) for v in cols[j : j + 2])
+            if a < b and c < d:
+                yield i, j, slice(a, b), slice(c, d)
+
+
+def widened(part: slice, by: int) -> slice:
+    """A slice of a block, in the block with ``by`` samples on each side: with as many around it."""
+    return slice(part.start, part.stop + 2 * by)
+
+
 def _placed(p: CellParameters, limit: int, whole: bool):
     """Sums of each block's cells; of ``whole`` cells the correlations, where there is one."""
     side, schema = 2 * limit + 1, _FOUND if whole else _ROWS
     down, across = (v.astype(np.int32).ravel() - limit for v in np.indices((side, side)))
 
-    def cells_of(row, tile, around):
-        rows, cols = cell_bounds(row["n_rows"], p.grid), cell_bounds(row["n_cols"], p.grid)
-        for i in range(p.grid):
-            for j in range(p.grid):
-                a, b = (int(np.clip(v - row["top"], 0, row["rows"])) for v in rows[i : i + 2])
-                c, d = (int(np.clip(v - row["left"], 0, row["cols"])) for v in cols[j : j + 2])
-                if a < b and c < d:
-                    yield i, j, tile[a:b, c:d], around[a : b + 2 * limit, c : d + 2 * limit]
-
     def place(subject: pa.Table, reference: pa.Table) -> pa.Table:
         own, pieces = subject.to_pylist(), reference.to_pylist()
         out = [schema.empty_table()]
@@ -90,7 +101,9 @@ def _placed(p: CellParameters, limit: int, whole: bool):
             row = own[0]
             if any((x["n_rows"], x["n_cols"]) != (row["n_rows"], row["n_cols"]) for x in pieces):
                 raise Refusal("different-shapes", f"the fields of {row['surface_id']}")
-            for i, j, block, near in cells_of(row, bordered(row, own, 0, 0), bordered(row, pieces, limit, limit, whole=True)):
+            tile, around = bordered(row, own, 0, 0), bordered(row, pieces, limit, limit, whole=True)
+            for i, j, r, c in cells_in(row, p.grid):
+                block, near = tile[r, c], around[widened(r, limit), widened(c, limit)]
                 measured = int((~np.isnan(block)).sum())
                 if whole and measured < p.minimum_valid * block.size:
                     continue

@@ -1,8 +1,8 @@
 """Cell division, masked correlation and registration.
 
 ``pairs``: pair_id, and for subject and reference (prefix ``s_``, ``r_``) heights, shape, spacings, unit
-and orientation. Registration is distributed by (pair, angle): each task turns one reference once and
-places the subject's tiles on it, over the bounded displacements only.
+and orientation. Registration is distributed by pair and block of angles: each task turns a reference once
+for each angle and places the subject's tiles on it, over the bounded displacements only.
 """
 
 from __future__ import annotations
@@ -126,7 +126,8 @@ def _scan(of):
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
                 plain = {n: (v.values.to_numpy(zero_copy_only=False) if n.endswith("heights") else v.as_py()) for n, v in row.items()}
-                found = [(plain["pair_id"], plain.get("angle_deg", 0.0), *x) for x in of(_field(plain, "s"), _field(plain, "r"), plain)]
+                s, r = _field(plain, "s"), _field(plain, "r")
+                found = [(plain["pair_id"], angle, *x) for angle in plain.get("angles", [0.0]) for x in of(s, r, angle)]
                 columns = zip(*found, strict=True) if found else [()] * len(_PLACED)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACED, strict=True)], schema=_PLACED)
 
@@ -137,23 +138,29 @@ def compare(pairs: DataFrame, p: CellParameters) -> DataFrame:
     """Best placement of each usable cell in one orientation, anywhere on the reference that holds it whole."""
     check_cells(p)
     found = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string"))
-    return found.mapInArrow(_scan(lambda s, r, _: H.compared(s, r, p.grid, p.minimum_valid)), PLACED)
+    return found.mapInArrow(_scan(lambda s, r, _angle: H.compared(s, r, p.grid, p.minimum_valid)), PLACED)
 
 
-def registrations(pairs: DataFrame, p: SearchParameters) -> DataFrame:
+def registrations(pairs: DataFrame, p: SearchParameters, blocks: int = 8) -> DataFrame:
     """Best placement of each usable cell at every angle: (pair_id, angle_deg, cell_r, cell_c, down, across, correlation, overlap).
 
-    Work is dealt by (pair, angle), so one pair's angles run on many executors; what travels is one
-    copy of the pair for each angle. Cells without any admissible displacement have no row.
+    Angles are dealt to ``blocks`` blocks at most, so one pair's angles run on as many executors, and what
+    travels is one copy of the pair for each block however many angles there are. Blocks of one pair go to
+    partitions next to each other. Cells without any admissible displacement have no row. Fields too large
+    for a row are registered by ``turned.registrations``.
     """
     check_search(p)
-    turns = F.explode(F.array(*map(F.lit, H.angles(p.rotation_range_deg, p.rotation_step_deg))))
-    dealt = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string")).withColumn("angle_deg", turns)
-    dealt = dealt.repartition(_tasks(pairs, p), "pair_id", "angle_deg")
-    return dealt.mapInArrow(_scan(lambda s, r, row: H.placements(s, r, row["angle_deg"], p.grid, p.minimum_valid, p.translation_limit)), PLACED)
+    whole(blocks, "blocks", least=1)
+    turns = H.angles(p.rotation_range_deg, p.rotation_step_deg)
+    dealt = [turns[k::blocks] for k in range(min(blocks, len(turns)))]
+    named = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string"))
+    each = named.select("*", F.posexplode(F.array(*(F.array(*map(F.lit, x)) for x in dealt))).alias("_block", "angles"))
+    tasks = _tasks(pairs)
+    spread = each.repartitionById(tasks, F.pmod(F.hash("pair_id").cast("long") + F.col("_block"), F.lit(tasks)).cast("int")).drop("_block")
+    return spread.mapInArrow(_scan(lambda s, r, angle: H.placements(s, r, angle, p.grid, p.minimum_valid, p.translation_limit)), PLACED)
 
 
-def _tasks(pairs: DataFrame, p: SearchParameters) -> int:
+def _tasks(pairs: DataFrame) -> int:
     context = pairs.sparkSession.sparkContext
     return max(context.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -290,6 +290,8 @@ ORACLES["blocked_ncc"] = _field(
       WHERE u.usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, u.size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * u.size)))""",
 )
 
+ORACLES["tiled_rotate_six"] = ORACLES["rotate_six"]
+ORACLES["tiled_register_by_angle"] = ORACLES["register_by_angle"]
 ORACLES["registered_or_refused"] = ORACLES["register_best"]
 ORACLES["correlation_work"] = _field("SELECT surface_id AS pair_id, count(*) FILTER (usable) AS usable, 3 * count(*) FILTER (usable) AS correlations FROM u GROUP BY 1", GRID.format(g=4))
 ORACLES["compare_one_orientation"] = _field(

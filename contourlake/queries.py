@@ -16,6 +16,7 @@ from .operators import masks as M
 from .operators import placement as P
 from .operators import regions as R
 from .operators import tiled as O
+from .operators import turned as U
 from .operators.blocked import blocked_correlations
 from .operators.wording import conclusion_words
 from .plans import design as D
@@ -321,6 +322,8 @@ QUERIES = {
     "tiled_level_huber": lambda s, d: _heights(tile_samples(FM.level(tiled(fields(s, d), SIDE), FM.Polynomial(1), 1.5, 1)), 6),
     "tiled_level_sphere": lambda s, d: _heights(tile_samples(FM.level(_capped(s, d), FM.Sphere())), 6),
     "blocked_ncc": lambda s, d: _rounded(blocked_correlations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, CELLS, 32), correlation=6),
+    "tiled_rotate_six": lambda s, d: _heights(tile_samples(U.turn(tiled(fields(s, d), SIDE), SIDE, [6.0])), 6),
+    "tiled_register_by_angle": lambda s, d: _rounded(U.registrations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, SEARCH).withColumnRenamed("surface_id", "pair_id"), correlation=6),
     "registered_or_refused": lambda s, d: _rounded(G.register(_pairs(s, d), SEARCH), correlation=6),
     "correlation_work": lambda s, d: G.work_of(_pairs(s, d), SEARCH),
     "digest": lambda s, d: container.digests(fields(s, d)),
