@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import Refusal, whole
+from ..errors import Refusal, one_of, whole
+from ..plans.scratch import cut
 
 LEVEL = 0.95
 
@@ -90,50 +91,113 @@ def log_ratio_point(comparisons: DataFrame, score: int) -> DataFrame:
     return _weighted(comparisons, ["set_name"], score, F.lit(1), F.lit(1))
 
 
+def cumulated(rows: DataFrame, within: list[str], order: list[str], weight: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``weight`` over the rows of the same ``within`` that come earlier by ``order``.
+
+    Rows are dealt by ranges of (within, order) and kept, so that no task holds a whole group: each range adds
+    up its own, and what earlier ranges hold is added to it. Sums of ranges number the ranges and groups
+    together at most. Weights must not be null; rows with equal keys lie in one range, so group those first.
+    """
+    keys = [F.col(c) for c in (*within, *order)]
+    held = cut(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy(*within, "_range").agg(F.sum(weight).alias("_sum"))
+    earlier = sums.select(*within, "_range", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_earlier"))
+    own = held.withColumn("_own", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return own.join(earlier, [*within, "_range"]).withColumn("before", F.col("_own") + F.col("_earlier")).drop("_range", "_own", "_earlier")
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """(source, k): the distinct sources, numbered from 0 in their order. Null isn't a source."""
+    each = sources.where("source IS NOT NULL").select("source").distinct().withColumn("_one", F.lit(1).cast("long"))
+    return cumulated(each, [], ["source"], "_one").select("source", F.col("before").alias("k"))
+
+
 def hashed_draws(spark: SparkSession, sources: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(resample, source, m): as many draws as sources for each resample, by MD5 of (seed, resample, draw).
 
-    Distributed, and the same in any SQL that has MD5. ``sources``: one column ``source``; they are
-    numbered in their order.
+    A draw is a function of its number alone, so any task makes any of them, and the same again; draws are
+    added up where they are made. The same in any SQL that has MD5. ``sources``: one column ``source``;
+    they are numbered in their order.
     """
-    numbered = sources.select("source").distinct().withColumn("k", F.row_number().over(Window.orderBy("source")) - 1)
-    n = numbered.count()
-    draws = spark.range(resamples).select(F.col("id").cast("int").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")) if n else spark.createDataFrame([], "resample int, draw int")
+    places = numbered(sources)
+    n = places.count()
+    parts = max(spark.sparkContext.defaultParallelism, (resamples * n >> 22) + 1)
+    draws = spark.range(0, resamples * n, 1, parts).select(F.expr(f"id div {max(n, 1)}").cast("int").alias("resample"), (F.col("id") % max(n, 1)).alias("draw"))
     text = F.concat_ws("-", F.lit(str(seed)), F.col("resample").cast("string"), F.col("draw").cast("string"))
     k = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    counted = draws.groupBy("resample", k.cast("int").alias("k")).agg(F.count("*").alias("m"))
-    return counted.join(numbered, "k").select("resample", "source", "m")
+    counted = draws.groupBy("resample", k.alias("k")).agg(F.count("*").alias("m"))
+    return counted.join(places, "k").select("resample", "source", "m")
+
 
+#: Draws of NumPy's generator that the driver makes at most: it has one sequence, so no task can begin inside it.
+SEQUENTIAL = 1 << 20
 
-def generator_draws(spark: SparkSession, sources: list[str], resamples: int, seed: int) -> DataFrame:
-    """The same from NumPy's generator, over the sorted sources; rows number resamples times sources at most."""
-    rng, ordered, rows = np.random.default_rng(seed), sorted(sources), []
+
+def generator_draws(spark: SparkSession, sources: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The same from NumPy's generator. The driver makes these; more than ``SEQUENTIAL`` are refused, for which there is ``hashed_draws``."""
+    each = sources.where("source IS NOT NULL").select("source").distinct().limit(SEQUENTIAL // resamples + 1)
+    ordered = sorted(r[0] for r in each.collect())
+    if len(ordered) * resamples > SEQUENTIAL:
+        raise Refusal("too-many-draws", f"over {SEQUENTIAL} by one sequence; take draws='hashed'")
+    rng, rows = np.random.default_rng(seed), []
     for resample in range(resamples):
         k, m = np.unique(rng.integers(0, len(ordered), size=len(ordered)), return_counts=True)
         rows += [(resample, ordered[i], int(n)) for i, n in zip(k.tolist(), m.tolist(), strict=True)]
     return spark.createDataFrame(rows, "resample int, source string, m long")
 
 
+#: Resamples whose weights of a source travel as one array.
+RESAMPLES = 256
+
+
 def resampled(comparisons: DataFrame, score: int, draws: DataFrame) -> DataFrame:
-    """(set_name, resample, log_ratio): null where a resample has no ratio. A comparison weighs its sources' draws."""
-    a = draws.select("resample", F.col("source").alias("source_a"), F.col("m").alias("ma"))
-    b = draws.select("resample", F.col("source").alias("source_b"), F.col("m").alias("mb"))
-    # Equal comparisons are one row with a count, which keeps the product with the resamples small.
-    rows = comparisons.groupBy("set_name", "score", "source_a", "source_b").agg(F.count("*").alias("n"))
-    weighed = rows.join(a, "source_a").join(b, ["resample", "source_b"])
-    found = _weighted(weighed, ["set_name", "resample"], score, F.col("ma") * F.col("n"), F.col("ma") * F.col("mb") * F.col("n"))
-    every = comparisons.select("set_name").distinct().crossJoin(draws.select("resample").distinct())  # sets times resamples: small on both sides
-    return every.join(found, ["set_name", "resample"], "left")
+    """(set_name, resample, log_ratio): null where a resample has no ratio. A comparison weighs its sources' draws.
+
+    A comparison meets its sources' weights as arrays of ``RESAMPLES`` resamples, not as a row for each of
+    them, and sums are begun where they meet: what is shuffled by source is a row for each distinct pair of
+    sources and block of resamples, and afterwards partial sums only.
+    """
+    block, at = F.floor(F.col("resample") / RESAMPLES).cast("int").alias("block"), (F.col("resample") % RESAMPLES).cast("int")
+    drawn = draws.groupBy("source", block).agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("m")))).alias("_m"))
+    every = drawn.select("block", F.explode(F.map_keys("_m")).alias("_at")).select((F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).distinct()
+    weights = drawn.select("source", "block", F.transform(F.sequence(F.lit(0), F.lit(RESAMPLES - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("m"))
+    hit = F.count_if(F.col("score") == score).alias("hit")
+    rows = comparisons.groupBy("set_name", "source_a", "source_b").agg(F.count("*").alias("n"), hit)
+    met = rows.join(weights.select(F.col("source").alias("source_a"), "block", F.col("m").alias("ma")), "source_a")
+    other = weights.select(F.col("source").alias("source_b"), "block", F.col("m").alias("mb"))
+    # A comparison of one source weighs its draws once, and needs no second meeting.
+    alone = met.where(same_source()).withColumn("w", F.col("ma"))
+    both = met.where(~same_source()).join(other, ["source_b", "block"]).withColumn("w", F.zip_with("ma", "mb", lambda a, b: a * b))
+    columns = ["set_name", same_source().alias("same"), "block", "n", "hit"]
+    flat = alone.select(*columns, F.posexplode("w").alias("_at", "w")).unionByName(both.select(*columns, F.posexplode("w").alias("_at", "w")))
+
+    def total(condition: Column, of: str) -> Column:
+        return F.sum(F.when(condition, F.col("w") * F.col(of)).otherwise(F.lit(0))).cast("double")
+
+    sums = flat.where("w > 0").groupBy("set_name", (F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).agg(total(F.col("same"), "hit").alias("a"), total(F.col("same"), "n").alias("b"), total(~F.col("same"), "hit").alias("c"), total(~F.col("same"), "n").alias("d"))
+    found = sums.select("set_name", "resample", _log_ratio(*(F.col(x) for x in "abcd")).alias("log_ratio"))
+    cells = comparisons.select("set_name").distinct().crossJoin(every)  # sets times resamples: a row of the result for each
+    return cells.join(found, ["set_name", "resample"], "left")
 
 
 def interval(ratios: DataFrame) -> DataFrame:
-    """Order statistics of the resamples that have a ratio, without interpolation, and how many have none."""
+    """Order statistics of the resamples that have a ratio, without interpolation, and how many have none.
+
+    Equal ratios are one row with a count; the ranks asked for are found by sums over ranges of ratios.
+    """
     tail = (1.0 - LEVEL) / 2.0
-    ordered = ratios.groupBy("set_name").agg(F.array_sort(F.collect_list("log_ratio")).alias("v"), F.count_if(F.col("log_ratio").isNull()).alias("unusable"))
-    last = F.size("v") - 1
-    low = F.get("v", F.floor(F.lit(tail) * last).cast("int"))
-    high = F.get("v", F.ceil(F.lit(1.0 - tail) * last).cast("int"))
-    return ordered.select("set_name", low.alias("low"), high.alias("high"), "unusable")
+    sizes = ratios.groupBy("set_name").agg(F.count("log_ratio").alias("_usable"), F.count_if(F.col("log_ratio").isNull()).alias("unusable"))
+    counts = ratios.where("log_ratio IS NOT NULL").groupBy("set_name", "log_ratio").agg(F.count("*").alias("_n"))
+    last = F.col("_usable") - 1
+    placed = cumulated(counts, ["set_name"], ["log_ratio"], "_n").join(sizes, "set_name")
+
+    def at(rank: Column, name: str) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("_n")), F.col("log_ratio"))).alias(name)
+
+    found = placed.groupBy("set_name").agg(at(F.floor(F.lit(tail) * last), "low"), at(F.ceil(F.lit(1.0 - tail) * last), "high"))
+    return sizes.join(found, "set_name", "left").select("set_name", "low", "high", "unusable")
 
 
 def touching(comparisons: DataFrame, evaluated: tuple[str, str]) -> DataFrame:
@@ -200,8 +264,12 @@ def _held(value: float, bounds: tuple[float, float]) -> float:
     return bounds[1] if value >= bounds[1] else bounds[0] if value <= bounds[0] else value
 
 
-def log_ratio(comparisons: DataFrame, score: int, *, propositions: Propositions, evaluated: tuple[str, str], resamples: int, seed: int) -> LogRatio:
-    """The bounded log ratio of one set at a score, with its bootstrap interval over sources."""
+def log_ratio(comparisons: DataFrame, score: int, *, propositions: Propositions, evaluated: tuple[str, str], resamples: int, seed: int, draws: str = "generator") -> LogRatio:
+    """The bounded log ratio of one set at a score, with its bootstrap interval over sources.
+
+    ``draws``: by NumPy's ``generator``, as published figures were made, or ``hashed``, which has no limit.
+    """
+    made = {"generator": generator_draws, "hashed": hashed_draws}[one_of(draws, "draws", ("generator", "hashed"))]
     whole(resamples, "resamples", least=2)
     whole(seed, "seed")
     if not isinstance(propositions, Propositions):
@@ -211,8 +279,7 @@ def log_ratio(comparisons: DataFrame, score: int, *, propositions: Propositions,
     point = log_ratio_point(comparisons, score).first()
     if point is None or point["log_ratio"] is None:
         raise Refusal("no-ratio", f"score {score}")
-    sources = [r[0] for r in _ends(comparisons).select("source").distinct().collect()]
-    found = interval(resampled(comparisons, score, generator_draws(spark, sources, resamples, seed))).first()
+    found = interval(resampled(comparisons, score, made(spark, _ends(comparisons).select("source"), resamples, seed))).first()
     if found["low"] is None:
         raise Refusal("no-usable-resample")
     bound = supportable_range(comparisons).first()

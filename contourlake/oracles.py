@@ -290,6 +290,7 @@ ORACLES["blocked_ncc"] = _field(
       WHERE u.usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, u.size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * u.size)))""",
 )
 
+ORACLES["bootstrap_interval_200"] = ORACLES["bootstrap_interval"].replace("range(20) AS a(i)", "range(200) AS a(i)").replace("CAST(20 - len(vs)", "CAST(200 - len(vs)")
 ORACLES["tiled_rotate_six"] = ORACLES["rotate_six"]
 ORACLES["tiled_register_by_angle"] = ORACLES["register_by_angle"]
 ORACLES["registered_or_refused"] = ORACLES["register_best"]
