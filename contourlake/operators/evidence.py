@@ -162,23 +162,22 @@ def resampled(comparisons: DataFrame, score: int, draws: DataFrame) -> DataFrame
     block, at = F.floor(F.col("resample") / RESAMPLES).cast("int").alias("block"), (F.col("resample") % RESAMPLES).cast("int")
     drawn = draws.groupBy("source", block).agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("m")))).alias("_m"))
     every = drawn.select("block", F.explode(F.map_keys("_m")).alias("_at")).select((F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).distinct()
-    weights = drawn.select("source", "block", F.transform(F.sequence(F.lit(0), F.lit(RESAMPLES - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("m"))
+    weights = drawn.select("source", "block", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("m"))
     hit = F.count_if(F.col("score") == score).alias("hit")
-    rows = comparisons.groupBy("set_name", "source_a", "source_b").agg(F.count("*").alias("n"), hit)
+    rows = cut(comparisons.groupBy("set_name", "source_a", "source_b").agg(F.count("*").alias("n"), hit))  # read twice
     met = rows.join(weights.select(F.col("source").alias("source_a"), "block", F.col("m").alias("ma")), "source_a")
     other = weights.select(F.col("source").alias("source_b"), "block", F.col("m").alias("mb"))
-    # A comparison of one source weighs its draws once, and needs no second meeting.
-    alone = met.where(same_source()).withColumn("w", F.col("ma"))
-    both = met.where(~same_source()).join(other, ["source_b", "block"]).withColumn("w", F.zip_with("ma", "mb", lambda a, b: a * b))
-    columns = ["set_name", same_source().alias("same"), "block", "n", "hit"]
-    flat = alone.select(*columns, F.posexplode("w").alias("_at", "w")).unionByName(both.select(*columns, F.posexplode("w").alias("_at", "w")))
+    columns = ["set_name", "block", "n", "hit", same_source().alias("same")]
+    flat = met.join(other, ["source_b", "block"]).select(*columns, "mb", F.posexplode("ma").alias("_at", "a")).where("a > 0")
+    # A comparison of one source weighs its draws once.
+    flat = flat.select(*columns[:4], "same", "_at", F.when(F.col("same"), F.col("a")).otherwise(F.col("a") * F.coalesce(F.get("mb", F.col("_at")), F.lit(0))).alias("w"))
 
     def total(condition: Column, of: str) -> Column:
         return F.sum(F.when(condition, F.col("w") * F.col(of)).otherwise(F.lit(0))).cast("double")
 
     sums = flat.where("w > 0").groupBy("set_name", (F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).agg(total(F.col("same"), "hit").alias("a"), total(F.col("same"), "n").alias("b"), total(~F.col("same"), "hit").alias("c"), total(~F.col("same"), "n").alias("d"))
     found = sums.select("set_name", "resample", _log_ratio(*(F.col(x) for x in "abcd")).alias("log_ratio"))
-    cells = comparisons.select("set_name").distinct().crossJoin(every)  # sets times resamples: a row of the result for each
+    cells = rows.select("set_name").distinct().crossJoin(every)  # sets times resamples: a row of the result for each
     return cells.join(found, ["set_name", "resample"], "left")
 
 
