@@ -5,7 +5,7 @@ All in DataFrame operations over ``registrations`` (see ``placement``), for any
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,11 +76,11 @@ def consensus_median(matches: DataFrame, keys: list[str], columns: dict[str, flo
     return matches.groupBy(*keys).agg(*(F.median(c).alias(f"{c}_at") for c in columns))
 
 
-def consensus_mode(matches: DataFrame, keys: list[str], columns: dict[str, float | None]) -> DataFrame:
+def consensus_mode(matches: DataFrame, keys: list[str], columns: dict[str, float | Column]) -> DataFrame:
     """Median of the members of the fullest bin, the lowest of equals; bins are anchored at zero."""
     out = matches.select(*keys).distinct()
     for column, width in columns.items():
-        binned = matches.withColumn("_bin", F.floor(F.col(column) / F.lit(float(width))))
+        binned = matches.withColumn("_bin", F.floor(F.col(column) / (width if isinstance(width, Column) else F.lit(float(width)))))
         counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.median(column).alias(f"{column}_at"))
         rank = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), "_bin")
         out = out.join(counts.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").select(*keys, f"{column}_at"), keys)
@@ -94,14 +94,18 @@ def consensus(matches: DataFrame, p, keys: list[str]) -> DataFrame:
     return (consensus_median if p.consensus == "median" else consensus_mode)(matches, keys, columns)
 
 
-def _near(column: str, limit: float) -> Column:
+def _near(column: str, limit: float | Column) -> Column:
     return F.abs(F.col(column) - F.col(f"{column}_at")) <= limit
 
 
 def judged(matches: DataFrame, p: AgreementRule) -> DataFrame:
     """Each cell's best placement with the four conditions and whether it meets all."""
     check_rule(p)
-    joined = matches.join(consensus(matches, p, ["pair_id"]), "pair_id")
+    return _tested(matches.join(consensus(matches, p, ["pair_id"]), "pair_id"), p)
+
+
+def _tested(joined: DataFrame, p: AgreementRule) -> DataFrame:
+    """Limits of ``p`` may be columns."""
     tests = {
         "near_down": _near("down", p.down_threshold),
         "near_across": _near("across", p.across_threshold),
@@ -118,8 +122,20 @@ def _cells(condition: str) -> Column:
 
 def score(by_angle: DataFrame, p: AgreementRule) -> DataFrame:
     """One row for each pair: counts, failures of each kind (they overlap), consensus and the congruent cells."""
-    found = judged(best_over_angles(by_angle), p)
-    return found.groupBy("pair_id").agg(
+    return _counted(judged(best_over_angles(by_angle), p), "pair_id")
+
+
+def score_each(matches: DataFrame) -> DataFrame:
+    """``score`` by ``cell`` of best placements that bring a cell and, as columns, the values of its ``AgreementRule``, checked before."""
+    medians = consensus_median(matches.where("consensus = 'median'"), ["cell"], {"down": None, "across": None, "angle_deg": None})
+    width = {"down": F.col("translation_bin"), "across": F.col("translation_bin"), "angle_deg": F.col("rotation_bin_deg")}
+    modes = consensus_mode(matches.where("consensus = 'histogram-mode'"), ["cell"], width)
+    rule = AgreementRule(*(F.col(f.name) for f in fields(AgreementRule)))
+    return _counted(_tested(matches.join(medians.unionByName(modes), "cell"), rule), "cell")
+
+
+def _counted(found: DataFrame, key: str) -> DataFrame:
+    return found.groupBy(key).agg(
         F.count_if("congruent").alias("congruent"),
         F.count("*").alias("eligible"),
         F.count_if(~F.col("congruent")).alias("discarded"),

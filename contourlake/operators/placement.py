@@ -116,7 +116,7 @@ PLACED = "pair_id string, angle_deg double, cell_r int, cell_c int, down int, ac
 _PLACED = pa.schema([("pair_id", pa.string()), ("angle_deg", pa.float64()), ("cell_r", pa.int32()), ("cell_c", pa.int32()), ("down", pa.int32()), ("across", pa.int32()), ("correlation", pa.float64()), ("overlap", pa.int64())])
 
 
-def _field(row: dict, side: str) -> np.ndarray:
+def field_of(row: dict, side: str) -> np.ndarray:
     return np.array(row[f"{side}_heights"], np.float64).reshape(row[f"{side}_n_rows"], row[f"{side}_n_cols"])
 
 
@@ -126,8 +126,8 @@ def _scan(of):
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
                 plain = {n: (v.values.to_numpy(zero_copy_only=False) if n.endswith("heights") else v.as_py()) for n, v in row.items()}
-                s, r = _field(plain, "s"), _field(plain, "r")
-                found = [(plain["pair_id"], angle, *x) for angle in plain.get("angles", [0.0]) for x in of(s, r, angle)]
+                s, r = field_of(plain, "s"), field_of(plain, "r")
+                found = [(plain["pair_id"], angle, *x) for angle in plain.get("angles", [0.0]) for x in of(s, r, angle, plain)]
                 columns = zip(*found, strict=True) if found else [()] * len(_PLACED)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACED, strict=True)], schema=_PLACED)
 
@@ -138,7 +138,7 @@ def compare(pairs: DataFrame, p: CellParameters) -> DataFrame:
     """Best placement of each usable cell in one orientation, anywhere on the reference that holds it whole."""
     check_cells(p)
     found = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string"))
-    return found.mapInArrow(_scan(lambda s, r, _angle: H.compared(s, r, p.grid, p.minimum_valid)), PLACED)
+    return found.mapInArrow(_scan(lambda s, r, _angle, _row: H.compared(s, r, p.grid, p.minimum_valid)), PLACED)
 
 
 def registrations(pairs: DataFrame, p: SearchParameters, blocks: int = 8) -> DataFrame:
@@ -155,9 +155,22 @@ def registrations(pairs: DataFrame, p: SearchParameters, blocks: int = 8) -> Dat
     dealt = [turns[k::blocks] for k in range(min(blocks, len(turns)))]
     named = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string"))
     each = named.select("*", F.posexplode(F.array(*(F.array(*map(F.lit, x)) for x in dealt))).alias("_block", "angles"))
-    tasks = _tasks(pairs)
-    spread = each.repartitionById(tasks, F.pmod(F.hash("pair_id").cast("long") + F.col("_block"), F.lit(tasks)).cast("int")).drop("_block")
-    return spread.mapInArrow(_scan(lambda s, r, angle: H.placements(s, r, angle, p.grid, p.minimum_valid, p.translation_limit)), PLACED)
+    return _spread(each).mapInArrow(_scan(lambda s, r, angle, _row: H.placements(s, r, angle, p.grid, p.minimum_valid, p.translation_limit)), PLACED)
+
+
+def registrations_each(pairs: DataFrame, blocks: int = 8) -> DataFrame:
+    """``registrations`` of pairs that bring their own searches, checked before: ``grid``, ``minimum_valid``, ``translation_limit`` and ``angles``."""
+    whole(blocks, "blocks", least=1)
+    dealt = F.transform(F.sequence(F.lit(0), F.least(F.lit(blocks), F.size("angles")) - 1), lambda k: F.filter("angles", lambda _, i: F.pmod(i, F.lit(blocks)) == k))
+    named = comparable(pairs).withColumn("pair_id", F.col("pair_id").cast("string"))
+    each = named.select(*(c for c in named.columns if c != "angles"), F.posexplode(dealt).alias("_block", "angles"))
+    return _spread(each).mapInArrow(_scan(lambda s, r, angle, row: H.placements(s, r, angle, row["grid"], row["minimum_valid"], row["translation_limit"])), PLACED)
+
+
+def _spread(each: DataFrame) -> DataFrame:
+    """Blocks of one pair in partitions next to each other."""
+    tasks = _tasks(each)
+    return each.repartitionById(tasks, F.pmod(F.hash("pair_id").cast("long") + F.col("_block"), F.lit(tasks)).cast("int")).drop("_block")
 
 
 def _tasks(pairs: DataFrame) -> int:

@@ -305,3 +305,29 @@ ORACLES["compare_one_orientation"] = _field(
       WHERE usable AND g.h IS NOT NULL AND q.h IS NOT NULL GROUP BY g.surface_id, g.cell_r, g.cell_c, size, q.r - g.r, q.c - g.c HAVING count(*) >= greatest(1, ceil(0.5 * size)))""",
     "o AS (SELECT *, greatest(-1, least(1, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))) AS correlation FROM k WHERE sxx - sx * sx / n > 1e-12 * sxx AND syy - sy * sy / n > 1e-12 * syy)",
 )
+
+
+#: A sweep's cells: for each width of the trimmed frame the best placements, judged by each pair of thresholds.
+TRIMMED = "e AS (SELECT * REPLACE (CASE WHEN r < {n} OR r >= n_rows - {n} OR c < {n} OR c >= 64 - {n} THEN NULL ELSE h END AS h) FROM e0)"
+
+
+def _trimmed(n: int) -> str:
+    """Best placements of fields, and of moved ones, of which each lost ``n`` samples at every side after the move."""
+    moved = MOVED.replace("m AS (", "m0 AS (", 1).replace("e a LEFT JOIN e b", "e0 a LEFT JOIN e0 b")
+    cut = f"m AS (SELECT m0.surface_id, m0.r, m0.c, e0.n_rows, CASE WHEN m0.r < {n} OR m0.r >= n_rows - {n} OR m0.c < {n} OR m0.c >= 64 - {n} THEN NULL ELSE m0.h END AS h FROM m0 JOIN e0 USING (surface_id, r, c))"
+    turned = _turn("m", "tm", "[-6.0, 0.0, 6.0]").replace("FROM e s, (", "FROM e AS s, (")
+    return f"(WITH {FIELD.replace('e AS (', 'e0 AS (')}, {TRIMMED.format(n=n)}, {GRID.format(g=4)}, {moved}, {cut}, {turned}, {_correlated('tm', 'deg')} SELECT {4.0 * n} AS width, {TURNED_ROWS} FROM b {BEST_TURN})"
+
+
+SWEPT = f"""p AS ({' UNION ALL '.join(f'SELECT * FROM {_trimmed(n)}' for n in (1, 3))}),
+t AS (SELECT *, abs(down - median(down) OVER w) AS off_down, abs(across - median(across) OVER w) <= 1 AND abs(angle_deg - median(angle_deg) OVER w) <= 2 AS near FROM p WINDOW w AS (PARTITION BY width, pair_id)),
+s AS (SELECT pair_id AS pair, true AS same_source, CAST(k AS DOUBLE) AS correlation_threshold, CAST(d AS DOUBLE) AS down_threshold, CAST(width AS DOUBLE) AS width,
+  count(*) FILTER (near AND off_down <= d AND correlation >= k) AS congruent, count(*) AS eligible, count(*) FILTER (NOT (near AND off_down <= d AND correlation >= k)) AS discarded
+  FROM t, (SELECT unnest([0.3, 0.9]) AS k), (SELECT unnest([0, 1]) AS d) GROUP BY ALL)"""
+ORACLES["sweep_cells"] = f"WITH {SWEPT} SELECT * FROM s"
+ORACLES["sweep_report"] = f"""WITH {SWEPT}, v AS (SELECT CAST(correlation_threshold AS VARCHAR) AS compare_cmc_correlation_threshold, CAST(down_threshold AS VARCHAR) AS compare_cmc_down_threshold, CAST(width AS VARCHAR) AS trim_edge_width, * FROM s)
+  SELECT compare_cmc_correlation_threshold, compare_cmc_down_threshold, trim_edge_width, CAST(grouping(compare_cmc_correlation_threshold, compare_cmc_down_threshold, trim_edge_width) AS BIGINT) AS "grouping",
+    count(*) AS cells, CAST(sum(congruent) AS BIGINT) AS congruent, CAST(sum(eligible) AS BIGINT) AS eligible, min(congruent) AS least, max(congruent) AS most, count(*) AS same_source FROM v GROUP BY CUBE (compare_cmc_correlation_threshold, compare_cmc_down_threshold, trim_edge_width)"""
+ORACLES["sweep_manifests"] = _field(
+    "SELECT 0 AS pos, 'trim-edge' AS identifier, 'frame' AS criterion, CAST(width AS DOUBLE) AS width, 'reference subject' AS inputs_roles, 'reference-preprocessed subject-preprocessed' AS outputs_roles, CAST(4 * n AS BIGINT) AS cells, n AS inputs, n AS outputs FROM (SELECT count(DISTINCT surface_id) AS n FROM e), (SELECT unnest([4.0, 12.0]) AS width)"
+)

@@ -10,8 +10,10 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..errors import Refusal
+from ..errors import Refusal, one_of
 from ..sources.container import digest
 from .profile import Profile, exactly, record
 from .steps import STEPS, Applied, Field, Registry, apply_chain, check_chain
@@ -77,6 +79,14 @@ def scan(spark, path: str):
     return spark.read.schema(SCHEMA_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+#: How sweeps and recorded runs are computed.
+MODES = {"mode": "reference", "threads": 1, "reportable": True}
+
+
+def by_role(files: list[dict[str, str]]) -> dict[str, str]:
+    return {f["role"]: f["sha256"] for f in files}
+
+
 def environment() -> dict[str, Any]:
     import pyspark
 
@@ -90,8 +100,7 @@ def record_run(field: Field, profile: Profile, seed: int, *, role: str = "subjec
     if len(records) != len(profile.chain):
         raise Refusal("records-differ-from-steps")
     steps = [{"identifier": r["name"], "version": r["version"], "parameters": json.loads(r["parameters"]), "outcomes": json.loads(r["outcomes"])} for r in records]
-    modes = {"mode": "reference", "threads": 1, "reportable": True}
-    made = Manifest(SCHEMA, [{"role": role, "sha256": digest(field.h)}], {"name": profile.name, "version": profile.version}, steps, comparison, seed, modes, environment(), [{"role": role, "sha256": digest(out.h)}])
+    made = Manifest(SCHEMA, [{"role": role, "sha256": digest(field.h)}], {"name": profile.name, "version": profile.version}, steps, comparison, seed, MODES, environment(), [{"role": role, "sha256": digest(out.h)}])
     return out, made.check()
 
 
@@ -117,3 +126,23 @@ def rerun(manifest: Manifest, field: Field, registry: Registry = STEPS) -> Field
     if [json.loads(r["outcomes"]) for r in records] != [s["outcomes"] for s in manifest.steps]:
         raise Refusal("other-outcomes")
     return out
+
+
+def digests(manifests: DataFrame, kind: str = "inputs") -> DataFrame:
+    """(cell, role, sha256) of the ``inputs`` or ``outputs`` of a table (cell, manifest) of VARIANTs."""
+    one_of(kind, "kind", ("inputs", "outputs"))
+    text = f"SELECT cell, variant_get(f.value, '$.role', 'string') AS role, variant_get(f.value, '$.sha256', 'string') AS sha256 FROM {{m}} AS m, LATERAL variant_explode(variant_get(m.manifest, '$.{kind}')) AS f"
+    return manifests.sparkSession.sql(text, m=manifests)
+
+
+def steps(manifests: DataFrame) -> DataFrame:
+    """(cell, pos, identifier, version, parameters, outcomes) of each step, the last two as VARIANTs."""
+    text = """SELECT cell, s.pos, variant_get(s.value, '$.identifier', 'string') AS identifier, variant_get(s.value, '$.version', 'string') AS version,
+      variant_get(s.value, '$.parameters') AS parameters, variant_get(s.value, '$.outcomes') AS outcomes FROM {m} AS m, LATERAL variant_explode(variant_get(m.manifest, '$.steps')) AS s"""
+    return manifests.sparkSession.sql(text, m=manifests)
+
+
+def unequal(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(role, sha256, side) that one multiset of files has more often than the other, so many times; empty if they are equal."""
+    a, b = (x.select("role", "sha256") for x in (one, other))
+    return a.exceptAll(b).withColumn("side", F.lit("one")).unionByName(b.exceptAll(a).withColumn("side", F.lit("other")))

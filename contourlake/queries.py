@@ -20,6 +20,10 @@ from .operators import turned as U
 from .operators.blocked import blocked_correlations
 from .operators.wording import conclusion_words
 from .plans import design as D
+from .plans import manifest as N
+from .plans import sweep as S
+from .plans.profile import Profile
+from .plans.scratch import folder
 from .plans.steps import Applied, BandParameters, EdgeParameters, LevelParameters, MarkParameters, OutlierParameters, PinParameters, run_chain
 from .sources import container, synthetic
 from .sources.surfaces import from_embeddings, mapped, rows_from_embeddings, samples
@@ -254,6 +258,34 @@ def _capped(spark: SparkSession, sf_dir: str, radius: float = 600.0) -> DataFram
     return tiled(fields(spark, sf_dir), SIDE).withColumn("heights", F.transform("heights", raised))
 
 
+PROFILE = Profile("frame", "1", "Trims the frame", (Applied("trim-edge", EdgeParameters(12.0, "frame")),), ())
+VARIED = {"compare.cmc.correlation_threshold": [0.3, 0.9], "compare.cmc.down_threshold": [0.0, 1.0], "trim-edge.width": [4.0, 12.0]}
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the finished sweep of eight assignments over all pairs of fields."""
+    where = folder(spark, "sweep")
+    design = D.Design("frames", "1", "full-factorial", S.base_of(PROFILE, SEARCH, RULE), VARIED, ())
+    assigned, pairs = S.assigned(spark, PROFILE, SEARCH, RULE, design.assignments()), _pairs(spark, sf_dir)
+    cells = S.cells_of(design.name, design.version, assigned, pairs.select(F.col("pair_id").alias("pair"), F.lit(True).alias("same_source"), F.lit(0).cast("long").alias("seed")))
+    S.run_cells(cells, assigned, pairs, PROFILE, where)
+    return where
+
+
+def _sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = (F.variant_get(F.parse_json("assignment"), f"$['{v}']", "double").alias(v.split(".")[-1]) for v in VARIED)
+    return S.finished(spark, _swept(spark, sf_dir)).select("pair", "same_source", *values, "congruent", "eligible", "discarded")
+
+
+def _sweep_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests of a sweep say: for each width, cells with that step, and different files before and after it."""
+    made = S.manifests(spark, _swept(spark, sf_dir))
+    step = N.steps(made).select("cell", "pos", "identifier", F.variant_get("parameters", "$.width", "double").alias("width"), F.variant_get("parameters", "$.criterion", "string").alias("criterion"))
+    inputs, outputs = (N.digests(made, k).groupBy("cell").agg(F.array_join(F.array_sort(F.collect_list("role")), " ").alias(f"{k}_roles"), F.min("sha256").alias(k)) for k in ("inputs", "outputs"))
+    both = step.join(inputs, "cell").join(outputs, "cell")
+    return both.groupBy("pos", "identifier", "criterion", "width", "inputs_roles", "outputs_roles").agg(F.count("*").alias("cells"), F.count_distinct("inputs").alias("inputs"), F.count_distinct("outputs").alias("outputs"))
+
+
 QUERIES = {
     "surface_explode": lambda s, d: _heights(_samples(s, d)),
     "unit_convert": _units,
@@ -326,5 +358,8 @@ QUERIES = {
     "tiled_register_by_angle": lambda s, d: _rounded(U.registrations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, SEARCH).withColumnRenamed("surface_id", "pair_id"), correlation=6),
     "registered_or_refused": lambda s, d: _rounded(G.register(_pairs(s, d), SEARCH), correlation=6),
     "correlation_work": lambda s, d: G.work_of(_pairs(s, d), SEARCH),
+    "sweep_cells": _sweep_cells,
+    "sweep_report": lambda s, d: S.report(S.finished(s, _swept(s, d)), list(VARIED)),
+    "sweep_manifests": _sweep_steps,
     "digest": lambda s, d: container.digests(fields(s, d)),
 }
