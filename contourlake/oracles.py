@@ -331,3 +331,4 @@ ORACLES["sweep_report"] = f"""WITH {SWEPT}, v AS (SELECT CAST(correlation_thresh
 ORACLES["sweep_manifests"] = _field(
     "SELECT 0 AS pos, 'trim-edge' AS identifier, 'frame' AS criterion, CAST(width AS DOUBLE) AS width, 'reference subject' AS inputs_roles, 'reference-preprocessed subject-preprocessed' AS outputs_roles, CAST(4 * n AS BIGINT) AS cells, n AS inputs, n AS outputs FROM (SELECT count(DISTINCT surface_id) AS n FROM e), (SELECT unnest([4.0, 12.0]) AS width)"
 )
+ORACLES["sql_preprocessed"] = ORACLES["chain_level_plane"]

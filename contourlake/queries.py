@@ -21,6 +21,7 @@ from .operators.blocked import blocked_correlations
 from .operators.wording import conclusion_words
 from .plans import design as D
 from .plans import manifest as N
+from .plans import sql as Q
 from .plans import sweep as S
 from .plans.profile import Profile
 from .plans.scratch import folder
@@ -258,6 +259,12 @@ def _capped(spark: SparkSession, sf_dir: str, radius: float = 600.0) -> DataFram
     return tiled(fields(spark, sf_dir), SIDE).withColumn("heights", F.transform("heights", raised))
 
 
+def _from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Q.register(spark)
+    text = "SELECT f.surface_id, s.r, s.c, round(s.h, 6) AS h FROM {f} AS f, LATERAL preprocessed(f.n_rows, f.n_cols, f.spacing_y, f.spacing_x, f.heights, {chain}) AS s"
+    return spark.sql(text, f=fields(spark, sf_dir), chain=Q.chain_text([Applied("level", LevelParameters("plane", None, None, None))]))
+
+
 PROFILE = Profile("frame", "1", "Trims the frame", (Applied("trim-edge", EdgeParameters(12.0, "frame")),), ())
 VARIED = {"compare.cmc.correlation_threshold": [0.3, 0.9], "compare.cmc.down_threshold": [0.0, 1.0], "trim-edge.width": [4.0, 12.0]}
 
@@ -358,6 +365,7 @@ QUERIES = {
     "tiled_register_by_angle": lambda s, d: _rounded(U.registrations(tiled(fields(s, d), SIDE), tiled(_moved(s, d), SIDE), SIDE, SEARCH).withColumnRenamed("surface_id", "pair_id"), correlation=6),
     "registered_or_refused": lambda s, d: _rounded(G.register(_pairs(s, d), SEARCH), correlation=6),
     "correlation_work": lambda s, d: G.work_of(_pairs(s, d), SEARCH),
+    "sql_preprocessed": _from_sql,
     "sweep_cells": _sweep_cells,
     "sweep_report": lambda s, d: S.report(S.finished(s, _swept(s, d)), list(VARIED)),
     "sweep_manifests": _sweep_steps,
