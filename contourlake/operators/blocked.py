@@ -17,7 +17,7 @@ from ..errors import Refusal
 from ..functions.expressions import guarded_correlation
 from ..functions import heights as H
 from ..functions.heights import cell_bounds
-from ..sources.tiles import KEY, bordered, pieces_around
+from ..sources.tiles import KEY, bordered, packed, pieces_around, unpacked
 from .placement import CellParameters, check_cells
 
 SUMS = ("overlap", "sx", "sy", "sxx", "syy", "sxy")
@@ -89,6 +89,41 @@ def widened(part: slice, by: int) -> slice:
     return slice(part.start, part.stop + 2 * by)
 
 
+def _summed(grid: int, limit: int, side: int):
+    reach = 2 * limit + 1
+    down, across = (v.astype(np.int32).ravel() - limit for v in np.indices((reach, reach)))
+
+    def place(subject: pa.Table, reference: pa.Table) -> pa.Table:
+        out = [_ROWS.empty_table()]
+        if subject.num_rows:
+            key = subject.slice(0, 1).drop_columns(["starts", "lengths", "values"]).to_pylist()[0]
+            top, left = key["tile_r"] * side, key["tile_c"] * side
+            row = key | {"top": top, "left": left, "rows": min(side, key["n_rows"] - top), "cols": min(side, key["n_cols"] - left)}
+            (tile, given), (around, _) = unpacked(subject, side), unpacked(reference, side, limit)
+            for i, j, r, c in cells_in(row, grid):
+                block, size = tile[r, c], int(given[r, c].sum())
+                if size:
+                    fixed = [np.full(reach * reach, v, np.int64) for v in (i, j)], [np.full(reach * reach, v, np.int64) for v in (size, (~np.isnan(block)).sum())]
+                    sums = overlap_sums(block, around[widened(r, limit), widened(c, limit)])
+                    columns = [*fixed[0], down, across, *fixed[1], sums[0].astype(np.int64), *sums[1:]]
+                    out.append(pa.table([pa.array([key["surface_id"]] * (reach * reach), pa.string()), *(pa.array(v, f.type) for v, f in zip(columns, list(_ROWS)[1:], strict=True))], schema=_ROWS))
+        return pa.concat_tables(out)
+
+    return place
+
+
+def sample_sums(subject: DataFrame, reference: DataFrame, grid: int, limit: int, side: int) -> DataFrame:
+    """Sums of every cell at every displacement, of samples. They meet in tiles of ``side``; a cell's parts are added.
+
+    What travels is each sample once, the reference's up to (1 + 2 limit / side)**2 times, and for each
+    part of a cell its (2 limit + 1)**2 sums. A task holds a tile and the reference ``limit`` around it.
+    """
+    keys = ["surface_id", "cell_r", "cell_c", "down", "across"]
+    own, other = packed(subject, side), packed(reference, side, limit)
+    met = own.groupBy(*KEY).cogroup(other.groupBy(*KEY)).applyInArrow(_summed(grid, limit, side), _ROWS_DDL)
+    return met.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("size", "measured", *SUMS)))
+
+
 def _placed(p: CellParameters, limit: int, whole: bool):
     """Sums of each block's cells; of ``whole`` cells the correlations, where there is one."""
     side, schema = 2 * limit + 1, _FOUND if whole else _ROWS
@@ -138,7 +173,11 @@ def blocked_correlations(subject: DataFrame, reference: DataFrame, side: int, p:
 
     keys = ["surface_id", "cell_r", "cell_c", "down", "across"]
     sums = met(~small, False, _ROWS_DDL).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("size", "measured", *SUMS)))
+    return met(small, True, _FOUND_DDL).unionByName(correlated(sums, p))
+
+
+def correlated(sums: DataFrame, p: CellParameters) -> DataFrame:
+    """Correlations of usable cells from their sums, where the overlap is large enough and both sides have variance."""
     enough = (F.col("measured") >= F.lit(p.minimum_valid) * F.col("size")) & (F.col("overlap") >= F.greatest(F.lit(1), F.ceil(F.lit(p.minimum_valid) * F.col("size"))))
     value = guarded_correlation(F.col("overlap"), *(F.col(c) for c in SUMS[1:]))
-    added = sums.where(enough).withColumn("correlation", value).where("correlation IS NOT NULL").select(*keys, "overlap", "correlation")
-    return met(small, True, _FOUND_DDL).unionByName(added)
+    return sums.where(enough).withColumn("correlation", value).where("correlation IS NOT NULL").select("surface_id", "cell_r", "cell_c", "down", "across", "overlap", "correlation")

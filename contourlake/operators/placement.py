@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refusal, number, whole
 from ..functions import heights as H
-from ..functions.expressions import guarded_correlation, part_of
+from ..functions.expressions import part_of
 from ..sources.surfaces import SHAPE
 
 
@@ -67,26 +67,22 @@ def usable_cells(samples: DataFrame, p: CellParameters) -> DataFrame:
     return grouped.agg(F.min("r").alias("top"), F.min("c").alias("left"), size.alias("size"), measured.alias("measured"), (measured >= F.lit(p.minimum_valid) * size).alias("usable"))
 
 
+#: Rows and columns of the tiles in which samples meet.
+TILE = 128
+
+
 def correlations(subject: DataFrame, reference: DataFrame, p: CellParameters, limit: int) -> DataFrame:
-    """Masked correlation of every usable cell at every displacement within ``limit``, in DataFrame operations.
+    """Masked correlation of every usable cell at every displacement within ``limit``, of samples.
 
-    ``subject`` and ``reference`` are samples with one ``surface_id`` for each pair. The displacements are
-    exploded, which turns the search into an equality join; rows number samples times (2 limit + 1)**2.
+    ``subject`` and ``reference`` are samples with one ``surface_id`` for each pair. They meet in tiles,
+    where a task slides over the displacements, so that no sample travels once for each of them.
     For large limits use ``registrations``. Displacements with too small an overlap, or without
     variance on either side, have no row.
     """
-    divided = cells(subject, p)
-    kept = usable_cells(subject, p).where("usable").select("surface_id", "cell_r", "cell_c", "size")
-    shifts = F.sequence(F.lit(-limit), F.lit(limit))
-    tile = divided.where("h IS NOT NULL").join(kept, ["surface_id", "cell_r", "cell_c"]).select("surface_id", "cell_r", "cell_c", "size", "r", "c", F.col("h").alias("x"))
-    moved = tile.withColumn("down", F.explode(shifts)).withColumn("across", F.explode(shifts))
-    moved = moved.select("surface_id", "cell_r", "cell_c", "size", "down", "across", "x", (F.col("r") + F.col("down")).alias("r"), (F.col("c") + F.col("across")).alias("c"))
-    met = moved.join(reference.where("h IS NOT NULL").select("surface_id", "r", "c", F.col("h").alias("y")), ["surface_id", "r", "c"])
-    x, y = F.col("x"), F.col("y")
-    sums = met.groupBy("surface_id", "cell_r", "cell_c", "size", "down", "across").agg(F.count("*").alias("overlap"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    enough = F.col("overlap") >= F.greatest(F.lit(1), F.ceil(F.lit(p.minimum_valid) * F.col("size")))
-    value = guarded_correlation(F.col("overlap"), *(F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")))
-    return sums.where(enough).withColumn("correlation", value).where("correlation IS NOT NULL").drop("size", "sx", "sy", "sxx", "syy", "sxy")
+    from .blocked import correlated, sample_sums  # which takes its parameters from here
+
+    check_cells(p)
+    return correlated(sample_sums(subject, reference, p.grid, limit, TILE), p)
 
 
 def best_placements(found: DataFrame) -> DataFrame:

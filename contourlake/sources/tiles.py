@@ -125,6 +125,58 @@ def pieces_around(tiles: DataFrame, bounds: Bounds, down: int, across: int) -> D
     return tiles.select(*FIELD, *PLACE, "heights").mapInArrow(_around(bounds, down, across), _PIECES_DDL)
 
 
+_PACKED = pa.schema([("surface_id", pa.string()), ("tile_r", pa.int32()), ("tile_c", pa.int32()), ("n_rows", pa.int32()), ("n_cols", pa.int32()), *((n, pa.binary()) for n in ("starts", "lengths", "values"))])
+_PACKED_DDL = "surface_id string, tile_r int, tile_c int, n_rows int, n_cols int, starts binary, lengths binary, values binary"
+
+
+def _packed(side: int, border: int):
+    width = side + 2 * border
+
+    def scan(batches):
+        for batch in batches:
+            names = batch.column("surface_id").dictionary_encode()
+            code, r, c, rows, cols = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (names.indices, *(batch.column(n) for n in ("r", "c", "n_rows", "n_cols"))))
+            h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.float64)
+            for i in range(-(-2 * border // side) + 1):
+                for j in range(-(-2 * border // side) + 1):
+                    tile_r, tile_c = (r - border) // side + i, (c - border) // side + j
+                    met = np.flatnonzero((tile_r >= 0) & (tile_c >= 0) & (tile_r <= (r + border) // side) & (tile_c <= (c + border) // side))
+                    at = (r - tile_r * side + border) * width + c - tile_c * side + border
+                    met = met[np.lexsort((at[met], tile_c[met], tile_r[met], code[met]))]
+                    if not met.size:
+                        continue
+                    apart = np.any([np.diff(x[met]) != 0 for x in (code, tile_r, tile_c)], axis=0)
+                    ends = np.append(np.flatnonzero(apart) + 1, met.size)
+                    runs = np.append(0, np.flatnonzero(apart | (np.diff(at[met]) != 1)) + 1)
+                    lengths, first = np.diff(np.append(runs, met.size)), np.append(0, ends[:-1])
+                    starts, own = at[met[runs]].astype(np.int32), np.searchsorted(runs, np.append(first, met.size))
+                    keys = met[first]
+                    binary = [[starts[a:b].tobytes() for a, b in zip(own, own[1:], strict=False)], [lengths[a:b].astype(np.int32).tobytes() for a, b in zip(own, own[1:], strict=False)], [h[met[a:b]].tobytes() for a, b in zip(first, ends, strict=True)]]
+                    columns = [names.dictionary.take(pa.array(code[keys])), *(x[keys] for x in (tile_r, tile_c, rows, cols)), *binary]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+    return scan
+
+
+def packed(samples: DataFrame, side: int, border: int = 0) -> DataFrame:
+    """For each tile of ``side`` the samples in it and ``border`` around it, as runs of values, a row or more for each tile. A narrow operation.
+
+    Samples may lie in any order; those of a field next to each other travel as 8 bytes each.
+    """
+    return samples.where("surface_id IS NOT NULL").select("surface_id", "r", "c", "n_rows", "n_cols", F.col("h").cast("double").alias("h")).mapInArrow(_packed(side, border), _PACKED_DDL)
+
+
+def unpacked(pieces: pa.Table, side: int, border: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A tile with its border, NaN where absent, and which samples were given, from what ``packed`` made of it."""
+    width = side + 2 * border
+    h, given = np.full(width * width, np.nan), np.zeros(width * width, bool)
+    for starts, lengths, values in zip(*(pieces.column(n).to_pylist() for n in ("starts", "lengths", "values")), strict=True):
+        lengths = np.frombuffer(lengths, np.int32).astype(np.int64)
+        at = np.arange(lengths.sum()) + np.repeat(np.frombuffer(starts, np.int32) - np.cumsum(lengths) + lengths, lengths)
+        h[at], given[at] = np.frombuffer(values), True
+    return h.reshape(width, width), given.reshape(width, width)
+
+
 def bordered(row: dict, pieces: list[dict], down: int, across: int, whole: bool = False) -> np.ndarray:
     """A tile with its border from its pieces: as far as the field goes, or ``whole``, absent beyond it."""
     top, left = row["top"] - down, row["left"] - across
