@@ -10,11 +10,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refusal, one_of, whole
-from ..plans.scratch import cut
+from ..plans.scratch import cut, kept
 
 LEVEL = 0.95
 
@@ -150,33 +152,93 @@ def generator_draws(spark: SparkSession, sources: DataFrame, resamples: int, see
 
 #: Resamples whose weights of a source travel as one array.
 RESAMPLES = 256
+#: Sources of a group, and pairs of sources for each pair of groups, that a task holds at most (about: groups are dealt by hash).
+SOURCES = 1 << 15
+PAIRS = 1 << 18
+#: Pairs of sources that are weighed at a time.
+AT_ONCE = 2048
+
+_SUMS = pa.schema([("set_name", pa.string()), ("resample", pa.int32()), *((x, pa.int64()) for x in "abcd")])
+_SUMS_DDL = "set_name string, resample int, a long, b long, c long, d long"
+
+
+def _matrix(weights: pa.Table) -> np.ndarray:
+    """Weights of sources (rows) in the resamples of a block."""
+    m = weights.column("m").combine_chunks()
+    sizes = m.value_lengths().to_numpy()
+    out = np.zeros((len(sizes), sizes.max(initial=0)))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = m.flatten().to_numpy()
+    return out
+
+
+def _weighed(size: int):
+    def weigh(pairs: pa.Table, weights: pa.Table) -> pa.Table:
+        out = [_SUMS.empty_table()]
+        if pairs.num_rows and weights.num_rows:
+            (first, ma), (second, mb) = ((x.column("source"), _matrix(x)) for x in (weights.filter(pc.equal(weights.column("side"), k)) for k in (0, 1)))
+            width = max(ma.shape[1], mb.shape[1])
+            ma, mb = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (ma, mb))
+            met = pairs.filter(pc.and_(pc.is_in(pairs.column("source_a"), value_set=first), pc.is_in(pairs.column("source_b"), value_set=second)))
+            sets = met.column("set_name").combine_chunks().dictionary_encode()
+            ia, ib = (pc.index_in(met.column(c), value_set=v).to_numpy() for c, v in (("source_a", first), ("source_b", second)))
+            same, code = pc.equal(met.column("source_a"), met.column("source_b")).to_numpy(), sets.indices.fill_null(-1).to_numpy()
+            counts = np.stack([met.column(c).to_numpy() for c in ("hit", "n")]).astype(float)
+            order = np.lexsort((same, code))
+            ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order)) if len(order) else []
+            for begin, end in zip([0, *ends], ends, strict=False):
+                sums = np.zeros((4, width))
+                for at in range(begin, end, AT_ONCE):
+                    k = order[at : min(end, at + AT_ONCE)]
+                    w, alone = ma[ia[k]], np.searchsorted(same[k], True)
+                    w[:alone] *= mb[ib[k[:alone]]]  # a comparison of one source weighs its draws once
+                    sums[2:] += counts[:, k[:alone]] @ w[:alone]
+                    sums[:2] += counts[:, k[alone:]] @ w[alone:]
+                drawn = np.flatnonzero(sums.any(0))
+                name = sets.dictionary[code[order[begin]]].as_py() if code[order[begin]] >= 0 else None
+                resample = pairs.column("block")[0].as_py() * size + drawn
+                out.append(pa.table([pa.array([name] * len(drawn), pa.string()), pa.array(resample, pa.int32()), *(pa.array(np.rint(x[drawn]).astype(np.int64)) for x in sums)], schema=_SUMS))
+        return pa.concat_tables(out)
+
+    return weigh
+
+
+def tallied(comparisons: DataFrame, score: int) -> DataFrame:
+    """(set_name, source_a, source_b, n, hit): how many comparisons each pair of sources has, and how many at the score. Written once."""
+    hit = F.count_if(F.col("score") == score).alias("hit")
+    return kept(comparisons.groupBy("set_name", "source_a", "source_b").agg(F.count("*").alias("n"), hit), "pairs")
 
 
 def resampled(comparisons: DataFrame, score: int, draws: DataFrame) -> DataFrame:
-    """(set_name, resample, log_ratio): null where a resample has no ratio. A comparison weighs its sources' draws.
+    """(set_name, resample, log_ratio): null where a resample has no ratio. A comparison weighs its sources' draws."""
+    return resampled_pairs(tallied(comparisons, score), draws)
+
 
-    A comparison meets its sources' weights as arrays of ``RESAMPLES`` resamples, not as a row for each of
-    them, and sums are begun where they meet: what is shuffled by source is a row for each distinct pair of
-    sources and block of resamples, and afterwards partial sums only.
+def resampled_pairs(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """``resampled`` of what ``tallied`` gives.
+
+    Sources are dealt to groups by hash. A pair of sources goes, once for each block of ``RESAMPLES`` resamples, to
+    its pair of groups, without weights; weights, as an array for each source and block, go to each pair of groups
+    with that source. So what is shuffled is a narrow row for each distinct pair and 2 x sources x groups arrays;
+    groups number the root of pairs / ``PAIRS``, or sources / ``SOURCES`` if that is more. A task holds what
+    belongs to one pair of groups, and gives sums only; these are exact up to 2**53.
     """
     block, at = F.floor(F.col("resample") / RESAMPLES).cast("int").alias("block"), (F.col("resample") % RESAMPLES).cast("int")
     drawn = draws.groupBy("source", block).agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("m")))).alias("_m"))
-    every = drawn.select("block", F.explode(F.map_keys("_m")).alias("_at")).select((F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).distinct()
-    weights = drawn.select("source", "block", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("m"))
-    hit = F.count_if(F.col("score") == score).alias("hit")
-    rows = cut(comparisons.groupBy("set_name", "source_a", "source_b").agg(F.count("*").alias("n"), hit))  # read twice
-    met = rows.join(weights.select(F.col("source").alias("source_a"), "block", F.col("m").alias("ma")), "source_a")
-    other = weights.select(F.col("source").alias("source_b"), "block", F.col("m").alias("mb"))
-    columns = ["set_name", "block", "n", "hit", same_source().alias("same")]
-    flat = met.join(other, ["source_b", "block"]).select(*columns, "mb", F.posexplode("ma").alias("_at", "a")).where("a > 0")
-    # A comparison of one source weighs its draws once.
-    flat = flat.select(*columns[:4], "same", "_at", F.when(F.col("same"), F.col("a")).otherwise(F.col("a") * F.coalesce(F.get("mb", F.col("_at")), F.lit(0))).alias("w"))
-
-    def total(condition: Column, of: str) -> Column:
-        return F.sum(F.when(condition, F.col("w") * F.col(of)).otherwise(F.lit(0))).cast("double")
-
-    sums = flat.where("w > 0").groupBy("set_name", (F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).agg(total(F.col("same"), "hit").alias("a"), total(F.col("same"), "n").alias("b"), total(~F.col("same"), "hit").alias("c"), total(~F.col("same"), "n").alias("d"))
+    weights = kept(drawn.select("source", "block", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0)).cast("int")).alias("m")), "weights")
+    groups = max(1, math.ceil(math.sqrt(rows.count() / PAIRS)), math.ceil(weights.count() / SOURCES))
+
+    def group(source: str) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(groups)).cast("int")
+
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    sides = weights.select("*", F.lit(0).alias("side"), group("source").alias("group_a"), every_group.alias("group_b")).unionByName(weights.select("*", F.lit(1).alias("side"), group("source").alias("group_b"), every_group.alias("group_a")))
+    blocks = weights.select(F.col("block").alias("_k")).distinct().select(F.col("_k").alias("block"))
+    pairs = rows.where("source_a IS NOT NULL AND source_b IS NOT NULL").select("*", group("source_a").alias("group_a"), group("source_b").alias("group_b")).crossJoin(F.broadcast(blocks))
+    keys = ["block", "group_a", "group_b"]
+    parts = pairs.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(_weighed(RESAMPLES), _SUMS_DDL)
+    sums = cut(parts.groupBy("set_name", "resample").agg(*(F.sum(x).cast("double").alias(x) for x in "abcd")))  # so that pairs are weighed once
     found = sums.select("set_name", "resample", _log_ratio(*(F.col(x) for x in "abcd")).alias("log_ratio"))
+    every = weights.select("block", F.posexplode("m").alias("_at", "_n")).where("_n > 0").select((F.col("block") * RESAMPLES + F.col("_at")).alias("resample")).distinct()
     cells = rows.select("set_name").distinct().crossJoin(every)  # sets times resamples: a row of the result for each
     return cells.join(found, ["set_name", "resample"], "left")
 
@@ -278,7 +340,8 @@ def log_ratio(comparisons: DataFrame, score: int, *, propositions: Propositions,
     point = log_ratio_point(comparisons, score).first()
     if point is None or point["log_ratio"] is None:
         raise Refusal("no-ratio", f"score {score}")
-    found = interval(resampled(comparisons, score, made(spark, _ends(comparisons).select("source"), resamples, seed))).first()
+    pairs = tallied(comparisons, score)
+    found = interval(resampled_pairs(pairs, made(spark, _ends(pairs).select("source"), resamples, seed))).first()
     if found["low"] is None:
         raise Refusal("no-usable-resample")
     bound = supportable_range(comparisons).first()

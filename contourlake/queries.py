@@ -142,9 +142,9 @@ def _disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bootstrap(spark: SparkSession, sf_dir: str, resamples: int = 20) -> DataFrame:
-    rows = comparisons(spark, sf_dir)
-    sources = rows.select(F.explode(F.array("source_a", "source_b")).alias("source"))
-    found = V.interval(V.resampled(rows, 7, V.hashed_draws(spark, sources, resamples, 11)))
+    pairs = V.tallied(comparisons(spark, sf_dir), 7)
+    sources = pairs.select(F.explode(F.array("source_a", "source_b")).alias("source"))
+    found = V.interval(V.resampled_pairs(pairs, V.hashed_draws(spark, sources, resamples, 11)))
     return _rounded(found, low=6, high=6)
 
 

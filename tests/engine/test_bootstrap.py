@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from contourlake.errors import Refusal
 from contourlake.operators import evidence as V
+from contourlake.plans.scratch import cut
 from pyspark.sql import functions as F
 
 DDL = "set_name string, n_cells int, score int, source_a string, source_b string"
@@ -95,3 +96,37 @@ def test_no_comparison_gives_no_interval(spark):
     table = spark.createDataFrame([], DDL)
     sources = table.select(F.col("source_a").alias("source"))
     assert V.interval(V.resampled(table, 2, V.hashed_draws(spark, sources, 20, 5))).count() == 0
+
+
+def test_many_small_groups_equal_brute_force(spark, monkeypatch):
+    for name, value in (("PAIRS", 5), ("SOURCES", 3), ("AT_ONCE", 2), ("RESAMPLES", 6)):
+        monkeypatch.setattr(V, name, value, raising=False)
+    rows = comparisons(150, 12, 8) + [("b", 10, 2, None, "hot"), ("b", 10, 2, "s001", None), ("nulls", 10, 1, None, None)]
+    table = spark.createDataFrame(rows, DDL)
+    sources = table.select(F.explode(F.array("source_a", "source_b")).alias("source"))
+    found = V.resampled(table, 2, V.hashed_draws(spark, sources, 20, 5))
+    got = {(r["set_name"], r["resample"]): r["log_ratio"] for r in found.collect()}
+    want = brute([r for r in rows if r[3] and r[4]], 2, 20, 5) | {("nulls", k): None for k in range(20)}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == (v if v is None else pytest.approx(v, abs=1e-12)), k
+
+
+def test_pairs_are_shuffled_without_their_weights(spark):
+    table = spark.createDataFrame(comparisons(6000, 200, 1, hot=0.0), DDL)
+    sources = table.select(F.explode(F.array("source_a", "source_b")).alias("source"))
+    draws, before = cut(V.hashed_draws(spark, sources, 250, 5)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = written(spark)
+        assert V.interval(V.resampled(table, 2, draws)).count() == 2
+        assert written(spark) - start < 200 * 6000  # a pair's weights alone take 2,000 bytes, before compression
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def written(spark):
+    """Bytes that all stages up to now have written to shuffles."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
