@@ -174,15 +174,21 @@ UNIT_DDL = "token long, low int, high int, id long, group long, block int"
 
 
 def _may_link_blocks(num: int, den: int):
-    """The members of each unit that may link with another by all three orders; whole sets are asked of these only."""
+    """The members of each unit that may link with another by all three orders; whole sets are asked of these only.
+
+    Two members that share a ``lesser`` prefix token than the unit's are left to that one: its bucket is
+    small, so that they were judged as a pair, or of one group, or has a unit where they meet.
+    """
 
     def members(rows: list[tuple]):
-        *_, groups, block, n, second, third = zip(*rows, strict=True)
+        *_, groups, block, n, second, third, lesser = zip(*rows, strict=True)
         second, third = ([np.frombuffer(x, np.uint32) for x in column] for column in (second, third))
         may = apart(np.array(groups), np.array(block)) & may_link_within(second, third, np.array(n), num, den)
+        if may.any():
+            may &= common_counts([np.array(x, np.int64) for x in lesser]) == 0
         return (rows[k][: len(UNIT)] for k in np.flatnonzero(may.any(axis=0) | may.any(axis=1)).tolist())
 
-    return by_unit(members, (*UNIT.names, "n", "second", "third"), UNIT)
+    return by_unit(members, (*UNIT.names, "n", "second", "third", "lesser"), UNIT)
 
 
 def _alike_blocks(num: int, den: int):
@@ -213,6 +219,13 @@ def _alike(num: int, den: int):
     return scan
 
 
+def _of(sets: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The sets that ``ids`` ask for. Up to ``MOST_TOLD`` ids are broadcast, whatever Spark's limit, so that no other sets travel."""
+    asked = written(ids.select("id").distinct(), "asked")
+    told = F.broadcast(asked) if asked.count() <= MOST_TOLD else asked
+    return sets.select("id", *columns).join(told, "id", "left_semi")
+
+
 def _verified(sets: DataFrame, num: int, den: int):
     """Those of the distinct pairs (a, b) that are similar."""
 
@@ -220,9 +233,8 @@ def _verified(sets: DataFrame, num: int, den: int):
         second = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("second").alias("b2"), F.col("third").alias("b3"))
         first = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("second").alias("a2"), F.col("third").alias("a3"))
         shared = written(pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(_sharing(num, den), "a long, b long"), "shared-prefixes")
-        asked = written(shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct(), "asked")
-        told = F.broadcast(asked) if asked.count() <= MOST_TOLD else asked
-        whole = written(sets.select("id", "tokens").join(told, "id", "left_semi"), "asked-sets")
+        asked = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id")))
+        whole = written(_of(sets, asked, "tokens"), "asked-sets")
         both = shared.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         return written(both.mapInArrow(_alike(num, den), "a long, b long"), "links")
 
@@ -254,9 +266,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def verified_blocks(units: DataFrame) -> DataFrame:
         unit = ("token", "low", "high")
-        dealt = units.join(sets.select("id", "n", "second", "third"), "id").repartition(*unit).sortWithinPartitions(*unit)
-        members = written(dealt.mapInArrow(_may_link_blocks(num, den), UNIT_DDL), "block-candidates")
-        whole = members.join(sets.select("id", "tokens"), "id").repartition(*unit).sortWithinPartitions(*unit)
+        known = units.join(_of(sets, units, "n", "second", "third", "prefix"), "id").withColumn("lesser", F.expr("filter(prefix, x -> x < token)")).drop("prefix")
+        members = written(known.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_may_link_blocks(num, den), UNIT_DDL), "block-candidates")
+        whole = members.join(_of(sets, members, "tokens"), "id").repartition(*unit).sortWithinPartitions(*unit)
         return written(whole.mapInArrow(_alike_blocks(num, den), "a long, b long").distinct(), "similar-blocks")
 
     links = linking(postings, verified, f"{den} * least(n, m) >= {num} * greatest(n, m)", verified_blocks, rounds)

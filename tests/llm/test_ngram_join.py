@@ -78,6 +78,29 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == brute(many())
 
 
+def test_blocks_ask_for_few_sets(spark, monkeypatch):
+    """Near copies share most of their tokens: a pair is judged in one of their units, and sets that no unit asks for don't travel."""
+    rows, plans = {}, {}
+
+    def counted(df, label, *args, **options):
+        out = ngram_join_written(df, label, *args, **options)
+        rows[label], plans[label] = out.count(), df._jdf.queryExecution().optimizedPlan().toString()
+        return out
+
+    ngram_join_written = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(module, "FEW", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = [(i, edited(prose(150, 20), i, 2), None, None, 0) for i in range(100)]
+        got = [tuple(r) for r in jaccard_groups(frame(spark, near), rounds=1).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got, key=str) == brute(near)
+    assert rows["block-candidates"] <= 5 * len(near)
+    assert all("LeftSemi" in plans[label] and "broadcast" in plans[label] for label in ("block-candidates", "similar-blocks"))
+
+
 def test_empty_table(spark, tmp_path):
     assert op2_ngram_jaccard_join(spark, stored(spark, tmp_path, [])).count() == 0
 
