@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +23,13 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 #: A special token that parts words encoded together, and how many go together.
 BETWEEN, TOGETHER = "<|endoftext|>", 64
+#: What a vocabulary's file says where ``PLAIN`` words are left as they are, but for a cut before their marks.
+LEAVES_PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Small Latin letters, then ASCII marks. What ends such a part has the suffix ``LAST`` in the vocabulary.
+PLAIN, LAST = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]*)([!-/:-@\[-`{-~]*)"), "</w>"
 
 
 def tokenizer_file(name: str) -> str:
@@ -48,8 +57,26 @@ class WordIds(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.mark = np.array([self.between or 0], np.uint32)
+        self.plain = self._plain(path)
+        if self.plain is not None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[k for x, k in vocabulary.items() if x.endswith(LAST)]] = True
         self.reset()
 
+    @staticmethod
+    def _plain(path: str):
+        """The tokenizer without what does nothing to plain words; None where the file's own steps are others."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        if any(said.get(k) != v for k, v in LEAVES_PLAIN.items()) or said["model"].get("end_of_word_suffix") != LAST:
+            return None
+        plain = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def reset(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
@@ -71,24 +98,44 @@ class WordIds(dict):
         cut = flat == self.between
         return np.diff(np.flatnonzero(cut), prepend=-1) - 1, flat[~cut]
 
+    def _plain_rows(self, texts: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Like ``_rows``, of words with their parts a space apart and how many parts each has; None where ends don't tell them."""
+        found = self.plain.encode_batch_fast([" ".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ends = np.flatnonzero(self.last[flat])
+        if len(ends) != int(parts.sum()) or ends[-1] != len(flat) - 1:
+            return None
+        return np.diff(ends[np.cumsum(parts) - 1], prepend=-1), flat
+
     def _encode(self) -> None:
-        plain = [k for k, w in enumerate(self.pending) if b"<|" not in w]
-        size = np.zeros(len(self.pending), np.int64)
-        parts: dict[int, np.ndarray] = {}
-        for k, w in enumerate(self.pending):
-            if b"<|" in w:
-                parts[k] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-                size[k] = len(parts[k])
-        flat = np.zeros(0, np.uint32)
-        if plain:
-            size[plain], flat = self._rows([self.pending[k].decode() for k in plain])
-        starts = np.cumsum(size) - size
-        ids = np.zeros(int(size.sum()), np.uint32)
-        spot = np.ones(len(ids), bool)
-        for k, part in parts.items():
-            ids[starts[k] : starts[k] + len(part)] = part
-            spot[starts[k] : starts[k] + len(part)] = False
-        ids[spot] = flat
+        kinds: tuple[list, list, list] = ([], [], [])  # plain words, others, and what could hold a special token's name
+        texts: tuple[list, list] = ([], [])
+        parts = []
+        for k, raw in enumerate(self.pending):
+            if b"<|" in raw:
+                kinds[2].append(k)
+                continue
+            w = raw.decode()
+            letters, marks = match.groups() if self.plain is not None and (match := PLAIN.fullmatch(w)) else ("", "")
+            kind = not (letters or marks)
+            kinds[kind].append(k)
+            texts[kind].append(f"{letters} {marks}" if letters and marks else w)
+            if not kind:
+                parts.append(2 if letters and marks else 1)
+        found = []
+        if texts[0]:
+            found.append((kinds[0], self._plain_rows(texts[0], np.array(parts)) or self._rows([self.pending[k].decode() for k in kinds[0]])))
+        if texts[1]:
+            found.append((kinds[1], self._rows(texts[1])))
+        for k in kinds[2]:
+            special = np.array(self.tokenizer.encode(self.pending[k].decode(), add_special_tokens=False).ids, np.uint32)
+            found.append(([k], (np.array([len(special)]), special)))
+        # Words keep their order in ``size`` and ``starts``, their ids come in that of the kinds.
+        size, starts, used = np.zeros(len(self.pending), np.int64), np.zeros(len(self.pending), np.int64), 0
+        for at, (n, flat) in found:
+            size[at], starts[at] = n, used + np.cumsum(n) - n
+            used += len(flat)
+        ids = np.concatenate([flat for _, (_, flat) in found])
         n, m = self.known + len(size), self.used + len(ids)
         while n > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -116,12 +163,14 @@ class WordIds(dict):
         return out
 
 
+#: Words that a worker keeps: some 200 bytes each.
+MOST_HELD = 1_000_000
 _HELD: dict[str, WordIds] = {}
 
 
 def word_ids(name: str) -> WordIds:
     if name not in _HELD:
-        _HELD[name] = WordIds(tokenizer_file(name))
+        _HELD[name] = WordIds(tokenizer_file(name), MOST_HELD)
     return _HELD[name]
 
 

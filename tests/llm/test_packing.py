@@ -86,3 +86,18 @@ def test_equal_rows_share_no_group(spark):
     out = pack(frame(spark, [(1, "a few words", None, None, 0)] * 300), per_group=20)
     sizes = [r["count"] for r in out.groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()]
     assert sum(sizes) == 300 and max(sizes) < 60
+
+
+def test_new_plain_words_skip_the_steps_that_leave_them_alone():
+    """Nearly all new words go to the tokenizer without its normaliser, marks apart from letters; ids are the library's."""
+    known = WordIds(FILE)
+    slow, rows = [], known._rows
+    known._rows = lambda words: slow.extend(words) or rows(words)
+    text = " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}é{'uvwxyz'[k % 6]}" + ("", ".", ",$$$", "'")[k % 4] for k in range(500))
+    odd = "it's 't's ''s élan's ÷a ÿ÷ß.ÿ µm ªº a1b2!! _a_ w</w> </w> ﬁ.. İ. e\u0301. <\u0338 \x00a\x00. É, ... ' 's"
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abzéßÿ÷×'<>/w|.,$1_\u0338\u0301 \u00a0\u2003stmdlİ") for _ in range(60)) for _ in range(300)]
+    whole = Tokenizer.from_file(FILE)
+    assert known.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert not slow
+    assert [i.tolist() for i in known.encode([x.encode() for x in (odd, *noise)])] == [whole.encode(x, add_special_tokens=False).ids for x in (odd, *noise)]
