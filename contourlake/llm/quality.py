@@ -15,7 +15,6 @@ collected or broadcast but four counts of counts for each language.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ranges
-from .kernels import LOWER, Words, grams, mix, slices, text_buffer, words
+from .kernels import GAP, LOWER, Words, grams, mix, slices, text_buffer, words
 from .store import table, written
 
-MARKS = np.frombuffer(b"#*$%&|<>", np.uint8)
+MARK = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+#: Bytes of words that begin a character.
+WORD_CHAR = ~GAP & ((np.arange(256) & 0xC0) != 0x80)
 #: Shorter texts have fewer than 50 words.
 LEAST_CHARS = 99
 #: Longer words are cut, into pieces of so many bytes.
@@ -38,6 +39,8 @@ PASSES = 4
 #: Units of one segment.
 UNITS_EACH = 3 << 18
 BEFORE = 16
+#: Lesser counts are answered exactly.
+EXACT = 1024
 LOW_WORD = np.uint64(0xFFFFFFFF)
 
 
@@ -126,7 +129,7 @@ class Segment:
 
     def tongues(self):
         """For each language its number, its units' places, their hashes, keys of pairs and what stands before; one language is held at a time."""
-        for t in np.unique(self.whole.tongue).tolist():
+        for t in np.flatnonzero(np.bincount(self.whole.tongue)).tolist():
             place = np.flatnonzero(self.whole.tongue == t)
             unit = self.whole.unit[place]
             yield t, place, unit, pair_keys(self.whole.before[place], unit), self.whole.earlier[place]
@@ -145,14 +148,21 @@ def _segments(batches, tongues: Tongues):
         yield Segment(parts, ranges.name_of(whole.unit), whole)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting takes less time than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns in a row, each with its length."""
+    """Columns in a row, each with its length, after the length of all."""
     body = b"".join(np.uint32(len(c)).tobytes() + ranges.planes(c) for c in columns)
-    return zlib.compress(body, 1)
+    return np.uint64(len(body)).tobytes() + pa.compress(body, "zstd", asbytes=True)
 
 
 def _unpacked(body: bytes, *kinds: type) -> list[np.ndarray]:
-    body, at, out = zlib.decompress(body), 0, []
+    at, out = 0, []
+    body = pa.decompress(memoryview(body)[8:], int(np.frombuffer(body, np.uint64, 1)[0]), "zstd", asbytes=True)
     for kind in kinds:
         n = int(np.frombuffer(body, np.uint32, 1, at)[0])
         size = n * np.dtype(kind).itemsize
@@ -182,7 +192,7 @@ def _ask_pairs(tongues: Tongues, log_pieces: int, turn: int):
                 mine = (key >> np.uint64(64 - log_pieces)) % np.uint64(PASSES) == turn
                 keys, back = np.unique(key[mine], return_inverse=True)
                 earlier = earlier[mine]
-                triple = np.unique((back.astype(np.uint64) << np.uint64(BEFORE)) | (earlier & np.uint64((1 << BEFORE) - 1)))
+                triple = _distinct((back.astype(np.uint64) << np.uint64(BEFORE)) | (earlier & np.uint64((1 << BEFORE) - 1)))
                 owner, mark = (triple >> np.uint64(BEFORE)).astype(np.int64), triple.astype(np.uint16)
                 n = np.bincount(owner, minlength=len(keys))
                 first = np.append(0, np.cumsum(n))
@@ -194,12 +204,18 @@ def _ask_pairs(tongues: Tongues, log_pieces: int, turn: int):
 
 
 def code(x: np.ndarray) -> np.ndarray:
-    """Counts in 16 bits: their logarithms to a two-thousandth, one more than that; 0 for none."""
-    return np.where(x > 0, np.rint(2048 * np.log(np.maximum(x, 1))) + 1, 0).astype(np.uint16)
+    """Counts in 16 bits: those below ``EXACT`` as they are, so that most high bytes are 0; of others the logarithms to a two-thousandth."""
+    out = x.astype(np.uint16)
+    large = x >= EXACT
+    out[large] = EXACT + np.rint(2048 * np.log(x[large])) - np.rint(2048 * np.log(EXACT))
+    return out
 
 
 def decoded(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.rint(np.exp((x.astype(float) - 1) / 2048)), 0)
+    out = x.astype(float)
+    large = x > EXACT
+    out[large] = np.rint(np.exp((out[large] - EXACT + np.rint(2048 * np.log(EXACT))) / 2048))
+    return out
 
 
 def _by_context(keys: np.ndarray) -> np.ndarray:
@@ -209,7 +225,7 @@ def _by_context(keys: np.ndarray) -> np.ndarray:
 
 
 def modelled(bodies):
-    """One piece of the model: answers to the segments, and, for none of them, the piece itself.
+    """One piece of the model: answers to the segments, and, for none of them, what the units need of it.
 
     Of k different marks of 16 bits, as many units stood before as make k likeliest (linear counting).
     """
@@ -217,7 +233,7 @@ def modelled(bodies):
     own = [np.cumsum(gaps) for gaps, _, _ in found]
     keys, back = np.unique(np.concatenate(own), return_inverse=True)
     each = np.concatenate([n.astype(np.int64) + 1 for _, n, _ in found])
-    triple = np.unique((np.repeat(back, each).astype(np.uint64) << np.uint64(BEFORE)) | np.concatenate([m for _, _, m in found]))
+    triple = _distinct((np.repeat(back, each).astype(np.uint64) << np.uint64(BEFORE)) | np.concatenate([m for _, _, m in found]))
     k = np.bincount((triple >> np.uint64(BEFORE)).astype(np.int64), minlength=len(keys))
     count = np.maximum(1, np.rint(-65536 * np.log1p(-np.minimum(k, 65535) / 65536))).astype(np.int64)
     first = _by_context(keys)
@@ -229,12 +245,14 @@ def modelled(bodies):
         at = back[used : used + len(mine)]
         used += len(mine)
         yield seg, _packed(codes[at], *stats[:, context[at[_by_context(mine)]]])
-    yield None, _packed(_gaps(keys), count.astype(np.uint32))
+    unit, contexts = np.unique(keys & LOW_WORD, return_counts=True)
+    yield None, _packed(_gaps(unit).astype(np.uint32), contexts.astype(np.uint32), np.array(_counts_of_counts(count), np.int64))
 
 
-def _model_part(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    gaps, count = _unpacked(body, np.uint64, np.uint32)
-    return np.cumsum(gaps), count
+def _model_part(body: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of a piece of the model the units, how many contexts each has, and the counts of counts."""
+    gaps, contexts, stats = _unpacked(body, np.uint32, np.uint32, np.int64)
+    return np.cumsum(gaps, dtype=np.uint64), contexts, stats.tolist()
 
 
 def _counts_of_counts(n: np.ndarray) -> list[int]:
@@ -249,7 +267,7 @@ STATS_DDL = "row int, " + ", ".join(f"{c} long" for c in STATS)
 def _pair_stats(batches):
     schema = pa.schema([("row", pa.int32()), *((c, pa.int64()) for c in STATS)])
     for batch in batches:
-        yield ranges.batch_of([(t, *_counts_of_counts(_model_part(b)[1])) for t, b in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True)], schema)
+        yield ranges.batch_of([(t, *_model_part(b)[2]) for t, b in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True)], schema)
 
 
 def _unit_rows(seg, t: int, unit: np.ndarray, counts, log_pieces: int) -> list[tuple]:
@@ -263,7 +281,7 @@ def _count_units(log_pieces: int):
     def scan(batches):
         for batch in batches:
             for t, body in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                yield ranges.batch_of(_unit_rows(None, t, *np.unique(_model_part(body)[0] & LOW_WORD, return_counts=True), log_pieces))
+                yield ranges.batch_of(_unit_rows(None, t, *_model_part(body)[:2], log_pieces))
 
     return scan
 
@@ -271,7 +289,7 @@ def _count_units(log_pieces: int):
 def _ask_units(tongues: Tongues, log_pieces: int):
     def scan(batches):
         for segment in _segments(batches, tongues):
-            yield ranges.batch_of([row for t, _, unit, _, _ in segment.tongues() for row in _unit_rows(segment.name, t, np.unique(unit >> np.uint64(32)), None, log_pieces)])
+            yield ranges.batch_of([row for t, _, unit, _, _ in segment.tongues() for row in _unit_rows(segment.name, t, _distinct(unit >> np.uint64(32)), None, log_pieces)])
 
     return scan
 
@@ -346,28 +364,27 @@ def base_features(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     n = w.counts()
 
     def by_text(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(flags, dtype=np.int64))[at])
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(flags, out=sums[1:])
+        return np.diff(sums[at])
 
-    within = np.zeros(len(data) + 1, np.int8)
-    np.add.at(within, w.start, 1)
-    np.add.at(within, w.end, -1)
-    within = np.cumsum(within[:-1], dtype=np.int8) > 0
     repeated = np.zeros(len(n), np.int64)
     g = grams(w.hashes(), 3)
     duplicate = np.zeros(len(n), np.int64)
     raw = data.tobytes()
     for i, (low, high) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
         if high - low >= 4:
-            _, back, count = np.unique(g[low : high - 2], return_inverse=True, return_counts=True)
-            again = np.flatnonzero(count[back] > 1)
-            if len(again):
+            own = np.sort(g[low : high - 2])
+            twice = own[1:][own[1:] == own[:-1]]
+            if len(twice):
+                again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, g[low : high - 2]), len(twice) - 1)] == g[low : high - 2])
                 covered = np.zeros(high - low, bool)
                 for k in range(3):
                     covered[again + k] = True
                 repeated[i] = covered.sum()
         lines = [x for x in raw[at[i] : at[i + 1]].split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
         duplicate[i] = len(lines) - len(set(lines))
-    return {"n_words": n, "word_chars": by_text(within & ((data & 0xC0) != 0x80)), "n_symbols": by_text(np.isin(data, MARKS)), "n_dup_lines": duplicate, "n_repeat_words": repeated}
+    return {"n_words": n, "word_chars": by_text(WORD_CHAR[data]), "n_symbols": by_text(MARK[data]), "n_dup_lines": duplicate, "n_repeat_words": repeated}
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -386,7 +403,7 @@ def _score(tongues: Tongues, told: list[str], counted: str, pair_stats: dict, un
         for t, place, unit, key, _ in segment.tongues():
             keys, back = np.unique(key, return_inverse=True)
             count, *stats, alone = known.get(t, [()] * 6)
-            kinds, first = np.unique(unit >> np.uint64(32)), _by_context(keys)
+            kinds, first = _distinct(unit >> np.uint64(32)), _by_context(keys)
             if (len(count), len(stats[0]), len(alone)) == (len(keys), len(first), len(kinds)):
                 context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
                 alone = alone[np.searchsorted(kinds, keys & LOW_WORD)]

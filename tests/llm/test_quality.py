@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from contourlake.llm import quality
-from contourlake.llm.kernels import text_buffer
+from contourlake.llm.kernels import mix, text_buffer
 from contourlake.llm.quality import discounts, judged, keep_good, op3_quality_rules, units
 
 from .fixtures import WORD, documents, forgetful, frame, prose, stored
@@ -181,3 +181,24 @@ def test_small_languages_are_judged_together(spark):
 
 def test_empty_table(spark, tmp_path):
     assert op3_quality_rules(spark, stored(spark, tmp_path, [])).count() == 0
+
+
+def test_answers_are_small_and_say_the_same():
+    """Counts below 1,024 are exact and mostly leave the high byte 0; of a piece of the model only its units are kept, not its pairs."""
+    counts = np.array([0, 1, 2, 5, 255, 256, 1023, 1024, 1025, 5000, 10**6, 10**10])
+    got = quality.decoded(quality.code(counts))
+    assert (got[counts <= 1024] == counts[counts <= 1024]).all()
+    assert (got == np.where(counts > 0, np.rint(np.exp(np.rint(2048 * np.log(np.maximum(counts, 1))) / 2048)), 0)).all()
+    assert (quality.code(np.arange(256)) < 256).all()
+    rng = np.random.default_rng(5)
+    words = mix(np.arange(1, 301, dtype=np.uint64))
+    key = np.unique(quality.pair_keys(rng.choice(words, 20_000), rng.choice(words, 20_000)))
+    body = quality._packed(quality._gaps(key), np.zeros(len(key), np.uint16), rng.integers(0, 2**16, len(key)).astype(np.uint16))
+    kept = dict(quality.modelled([("a", body)]))
+    assert len(kept[None]) < len(key) / 4
+    unit, contexts, stats = quality._model_part(kept[None])
+    assert dict(zip(unit.tolist(), contexts.tolist(), strict=True)) == Counter((key & quality.LOW_WORD).tolist())
+    assert stats == [len(key), 0, 0, 0, len(key), len(key)]
+    codes = quality._unpacked(kept["a"], *[np.uint16] * 5)[0]
+    assert len(codes) == len(key)
+    assert (quality.decoded(codes) == 1).all()
